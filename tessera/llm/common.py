@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,24 +170,25 @@ def pieces(batch: pa.RecordBatch, max_bytes: int = 4 << 20, column: str = "text"
 
 
 def components(stash: Stash, links: DataFrame, name: str) -> DataFrame:
-    """(node, component): the smallest node reachable over links (a, b), by alternating large and small stars.
+    """(node, component): the smallest node reachable over links (a, b).
 
-    Each round is one shuffle of the links and is written to the shared folder; labels at least
-    halve their depth, so that rounds grow with the logarithm of the longest chain.
+    Every node keeps its smallest smaller neighbour and hands it to the others; then it jumps to that
+    neighbour's own. All tables of a round are written to the shared folder, so joins on a hot
+    neighbour have two shuffled sides that adaptive execution can split. Rounds grow with the
+    logarithm of the longest chain.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    held, mark, last = stash.keep(links, f"{name}-0"), None, None
-    for k in range(1, 60):
-        both = held.unionAll(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        new = stash.keep(small, f"{name}-{k}")
-        row = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"), F.countDistinct("a").alias("d")).first()
-        mark, last = (row.n, row.s), mark
+    held = stash.keep(links, f"{name}-0")
+    for k in range(1, 200):
+        low = stash.keep(held.groupBy("a").agg(F.min("b").alias("m")), f"{name}-low-{k}")
+        jump = low.alias("x").join(low.alias("y"), F.col("x.m") == F.col("y.a"), "left").select(F.col("x.a").alias("a"), F.coalesce("y.m", "x.m").alias("b"), F.col("y.m").isNotNull().alias("moved"))
+        rest = held.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))
+        new = jump.unionAll(rest).groupBy("a", "b").agg(F.max("moved").alias("moved"))
+        new = stash.keep(new, f"{name}-{k}")
+        moved = new.where("moved").limit(1).count()
         stash.drop(f"{name}-{k - 1}")
-        held = new
-        if mark == last:
+        stash.drop(f"{name}-low-{k}")
+        held = new.select("a", "b")
+        if not moved:
             break
     return held.select(F.col("a").alias("node"), F.col("b").alias("component"))

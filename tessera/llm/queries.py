@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import sentencepiece_codec, sstable
+from tessera.llm import ngram_join, sentencepiece_codec, sstable
 from tessera.llm.common import Stash, documents
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -37,5 +37,10 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(spark, manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op5_token_shards": op5_token_shards}
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles have a Jaccard similarity of 0.75 or more."""
+    return ngram_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+QUERIES = {"op2_ngram_join": op2_ngram_join, "op1_sentencepiece": op1_sentencepiece, "op5_token_shards": op5_token_shards}
 ORACLES: dict[str, str] = {}
