@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ngram_join, sentencepiece_codec, sstable
+from tessera.llm import ngram_join, repeats, sentencepiece_codec, sstable
 from tessera.llm.common import Stash, documents
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -42,5 +42,16 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-QUERIES = {"op2_ngram_join": op2_ngram_join, "op1_sentencepiece": op1_sentencepiece, "op5_token_shards": op5_token_shards}
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of strings of 100 bytes that start earlier."""
+    return repeats.remove(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {"op6_suffix_dedup": op6_suffix_dedup, "op2_ngram_join": op2_ngram_join, "op1_sentencepiece": op1_sentencepiece, "op5_token_shards": op5_token_shards}
 ORACLES: dict[str, str] = {}
