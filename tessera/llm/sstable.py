@@ -24,6 +24,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship
+from tessera.llm.common import LOWER, pieces, ship, text_buffer
 
 MAGIC = b"TSSTAB01"
 FOOTER = struct.Struct("<QQQQIIQ8s")
 INDEX = struct.Struct(">9sQII")
 BLOCK = 32 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-CACHE_WORDS = 600_000  # bounds a Python worker's memory; results don't depend on it
+CACHE_WORDS = 1_000_000  # bounds a Python worker's memory; results don't depend on it
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -151,9 +152,26 @@ class ShardReader:
         return out
 
 
+def _kinds() -> np.ndarray:
+    """1: ASCII letters; 2: ASCII marks that always part from letters and open no special token; 3: white space."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[[*range(65, 91), *range(97, 123)]] = 1
+    kinds[[*b'.,;:!?()"%$#&*-+=/']] = 2
+    kinds[[*b" \n\t\r"]] = 3
+    return kinds
+
+
+KINDS = _kinds()
+
+
 class WordTokenizer:
-    """The tokenizers library with a cache of words: no vocabulary piece, normaliser rule or
-    pre-token crosses plain white space, so a text's ids are those of its words in order."""
+    """The tokenizers library, asked once for each distinct segment of many texts.
+
+    A segment is white space and what follows it, cut between ASCII letters and marks: no
+    vocabulary piece, normaliser rule or pre-token crosses these places. ASCII capitals are lowered
+    first (the normaliser does it anyway), but not before a byte of another alphabet, where
+    a combining mark may stand, nor in texts that may hold a special token.
+    """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -161,22 +179,51 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_str(model)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[str, bytes] = {}
-        self.words = re.compile(r"[^ \n\t\r]+").findall
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        cut = [self.words(t) if t else [] for t in texts]
-        missing = list({w for x in cut for w in x if w not in self.cache})
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_WORDS:
-                self.cache.clear()
-                missing = list({w for x in cut for w in x})
-            kind = f"<u{self.width}"
-            for at in range(0, len(missing), 20_000):
-                part = missing[at : at + 20_000]
-                self.cache.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
-        end, get = end_id.to_bytes(self.width, "little"), self.cache.__getitem__
-        return [b"".join(map(get, x)) + end for x in cut]
+        self.kind = np.dtype(f"<u{self.width}")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def known(self, segments: list[str]) -> list[bytes]:
+        """Ids of distinct segments; those not asked for in a whole generation are forgotten."""
+        young, old = self.young, self.old
+        missing = [x for x in segments if x not in young]
+        for x in missing:
+            if x in old:
+                young[x] = old[x]
+        missing = [x for x in missing if x not in old]
+        for at in range(0, len(missing), 20_000):
+            part = missing[at : at + 20_000]
+            young.update((w, array("HI"[self.width // 4], e.ids).tobytes()) for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
+        out = [young[x] for x in segments]
+        if len(young) > CACHE_WORDS // 2:
+            self.young, self.old = {}, young
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        data, offsets = text_buffer(texts)
+        end = np.array([end_id], self.kind).tobytes()
+        if not len(data):
+            return [end] * len(texts)
+        if b"<|" not in data.tobytes():
+            plain = np.append(data[1:] < 0x80, True)
+            data = np.where(plain, LOWER[data], data)
+        kind = KINDS[data]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = (kind[1:] == 3) & (kind[:-1] != 3) | (kind[1:] + kind[:-1] == 3) & (kind[1:] != 3) & (kind[:-1] != 3)
+        cut[offsets] = True
+        starts = np.flatnonzero(cut)
+        buffers = [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
+        coded = pa.StringArray.from_buffers(len(starts) - 1, buffers[1], buffers[2]).dictionary_encode()
+        held = self.known(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(held), self.kind)
+        size = np.array([len(x) for x in held], np.int64) // self.width
+        first = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        count = size[which]
+        ends = np.cumsum(count)
+        ids = flat[np.arange(ends[-1]) + np.repeat(first[which] - (ends - count), count)].tobytes()
+        at = (np.append(0, ends)[np.searchsorted(starts, offsets)] * self.width).tolist()
+        return [ids[a:b] + end for a, b in zip(at[:-1], at[1:])]
 
 
 def tokenizer_of(model: str) -> WordTokenizer:
@@ -214,9 +261,8 @@ def write(df: DataFrame, model_path: str, to: str, end_id: int = 1, doc_id: str
         with store.open_output_stream(own, compression=None) as out:
             writer = ShardWriter(out, tokenizer.width)
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    for i, value in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1).to_pylist(), end_id)):
+                for part in pieces(batch):
+                    for i, value in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1), end_id)):
                         writer.add(i, value)
             writer.close()
         store.move(own, path)
