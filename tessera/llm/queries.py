@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ngram_join, repeats, sentencepiece_codec, sstable
-from tessera.llm.common import Stash, documents
+from tessera.llm import langid, ngram_join, repeats, sentencepiece_codec, sstable
+from tessera.llm.common import Stash, crc_mod, documents
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -53,5 +53,13 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_suffix_dedup": op6_suffix_dedup, "op2_ngram_join": op2_ngram_join, "op1_sentencepiece": op1_sentencepiece, "op5_token_shards": op5_token_shards}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learnt from three quarters of the documents."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op8_language": op8_language, "op6_suffix_dedup": op6_suffix_dedup, "op2_ngram_join": op2_ngram_join, "op1_sentencepiece": op1_sentencepiece, "op5_token_shards": op5_token_shards}
 ORACLES: dict[str, str] = {}
