@@ -226,7 +226,7 @@ def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str
         ordered = docs.orderBy(F.col("doc").asc_nulls_first(), "text").withColumn("doc", F.monotonically_increasing_id())
         docs = stash.keep(ordered, "ordered")
     settled = stash.keep(settle(slice_rows(docs.select("doc", "text"), length), n), "settled")
-    shards = sort_shards(fetch(docs.select("doc", "text"), settled.where("h is not null"), length), max(1, n // 2), length)
+    shards = sort_shards(fetch(docs.select("doc", "text"), settled.where("h is not null"), length), n, length)
     again = stash.keep(shards.select("doc", "low", "count"), "again")
     found = settled.where("h is null").select("doc", "low", "count").unionAll(again)
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("low", "count")).alias("rows"))

@@ -24,8 +24,8 @@ BASE_CASE = 16 << 20  # names that are sorted in memory
 class BucketQueue:
     """Positions by bucket, each bucket in order of arrival; spills to a folder of the task."""
 
-    def __init__(self, memory: int = MEMORY):
-        self.memory, self.held = memory, 0
+    def __init__(self, memory: int = MEMORY, kind: type = np.int64):
+        self.memory, self.held, self.kind = memory, 0, kind
         self.parts: dict[int, list[np.ndarray]] = {}
         self.folder: str | None = None
 
@@ -54,12 +54,12 @@ class BucketQueue:
     def pop(self, c: int) -> np.ndarray:
         """All that waits for a character, in order of arrival."""
         if c not in self.parts:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, self.kind)
         parts = self.parts.pop(c)
         if self.folder and os.path.exists(path := os.path.join(self.folder, str(c))):
-            parts.insert(0, np.fromfile(path, np.int64))
+            parts.insert(0, np.fromfile(path, self.kind))
             os.remove(path)
-        out = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        out = np.concatenate(parts) if parts else np.zeros(0, self.kind)
         self.held = max(0, self.held - sum(x.nbytes for x in parts))
         return out
 
@@ -83,9 +83,10 @@ def s_types(text: np.ndarray) -> np.ndarray:
 def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, memory: int) -> np.ndarray:
     """Order of all suffixes from that of the leftmost S-type ones."""
     chars = np.unique(text)
-    seeds, queue, left = BucketQueue(memory), BucketQueue(memory), BucketQueue(memory)
+    kind = np.int32 if len(text) < 1 << 31 else np.int64
+    seeds, queue, left = (BucketQueue(memory, kind) for _ in range(3))
     try:
-        seeds.push(text[lms], lms)
+        seeds.push(text[lms], lms.astype(kind))
         for c in chars.tolist():
             new = queue.pop(c)
             while len(new):  # suffixes that begin with a run of c come in rounds
@@ -103,7 +104,7 @@ def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, memory: int) ->
         for c in chars[::-1].tolist():
             new = queue.pop(c)
             if c == chars[0]:  # nothing precedes the sentinel in order
-                new = np.array([len(text) - 1], np.int64) if not len(new) else new
+                new = np.array([len(text) - 1], kind) if not len(new) else new
             while len(new):
                 out.append(new)
                 before = new[new > 0] - 1
@@ -149,14 +150,15 @@ def suffix_array(text: np.ndarray, depth: int, memory: int = MEMORY, base_case:
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     if n < 3 or len(lms) < 2:
         return np.argsort(text, kind="stable") if n < 3 else induce(text, is_s, lms, memory)
-    first = induce(text, is_s, lms, memory)
     mark = np.zeros(n, bool)
     mark[lms] = True
-    ordered = first[mark[first]]
+    ordered = induce(text, is_s, lms, memory)
+    ordered = ordered[mark[ordered]]
     # equal substrings from one LMS position to the next, by hash and length
     end = np.append(lms[1:] + 1, n)
     code = mix64(text.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * powers(BASE, n)
-    sums = np.append(np.uint64(0), np.cumsum(code))
+    sums = np.append(np.uint64(0), np.cumsum(code, out=code))
+    del code
     value = mix64((sums[end] - sums[lms]) * powers(BASE_INVERSE, n)[lms] + (end - lms).astype(np.uint64))
     at = np.searchsorted(lms, ordered)
     value = value[at]
