@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, Stash, components, mix64, pieces, powers, prefix_hashes, range_hashes, small_or_plain, text_buffer, words_of
 
-SKETCH_BITS = 22  # counters of the global order: 4 million, whatever the input
+SKETCH_BITS = 24  # counters of the global order: 16 million, whatever the input
+COUNTED = 6 << 20  # n-grams that a task holds before it counts them
 BLOCKS = 64
 FRAGMENTS = 4
 SHINGLE_BASE = 0xD1342543DE82EF95
@@ -79,14 +80,25 @@ def scan_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << SKETCH_BITS, np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def count() -> None:
+            slots, times = np.unique(np.concatenate(waiting), return_counts=True)
+            counters[slots] += times.astype(np.uint32)
+            waiting.clear()
+
         names = ["doc", "n", "s1", "s2", "block", "counts"]
         kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
         for batch in batches:
             for part in pieces(batch):
                 grams, offsets = gram_sets(part.column(1), width)
-                counters += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counters)).astype(np.uint32)
+                waiting.append((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
+                if sum(map(len, waiting)) > COUNTED:
+                    count()
                 rows = [part.column(0), np.diff(offsets), sums_of(mix64(grams ^ np.uint64(0x5851F42D4C957F2D)), offsets).view(np.int64), sums_of(mix64(grams + np.uint64(0x14057B7EF767814F)), offsets).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(rows, kinds)), *(pa.nulls(part.num_rows, k) for k in kinds[4:])], names=names)
+        if waiting:
+            count()
         for k, held in enumerate(counters.reshape(BLOCKS, -1)):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds[:4]), pa.array([k], kinds[4]), pa.array([zlib.compress(held.tobytes(), 1)], kinds[5])], names=names)
 
@@ -180,9 +192,10 @@ def enough(a: str, b: str, share: int):
 def verified(pairs: DataFrame, parts: DataFrame, share: int) -> DataFrame:
     """Pairs (a, b, na, nb) whose overlaps, counted by fragment and summed, reach the similarity."""
     # hubs first: their rows are few bytes a pair, then each document meets its own parts
-    hub = pairs.join(parts.select(F.col("doc").alias("b"), "fragment", F.col("grams").alias("right")), "b")
-    both = hub.join(parts.select(F.col("doc").alias("a"), "fragment", F.col("grams").alias("left")), ["a", "fragment"])
-    counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("left", "right")).alias("part"))
+    cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))).alias("p")
+    hub = cut.join(parts.alias("y"), F.expr("p.b = y.doc and p.fragment = y.fragment")).selectExpr("p.a", "p.b", "p.na", "p.nb", "p.fragment", "y.grams as right").alias("h")
+    both = hub.join(parts.alias("x"), F.expr("h.a = x.doc and h.fragment = x.fragment"))
+    counted = both.select("h.a", "h.b", "h.na", "h.nb", F.size(F.array_intersect("x.grams", "h.right")).alias("part"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
     return summed.where(enough("overlap", "na + nb", share))
 
@@ -200,24 +213,25 @@ def join(docs: DataFrame, width: int = 5, share: int = 75, doc_id: str = "doc_id
     classes = named.groupBy("s1", "s2", "n").agg(F.min("doc").alias("head"), F.count("*").alias("copies")).where("copies > 1")
     copies = stash.keep(named.join(classes, ["s1", "s2", "n"]).select("doc", "head").distinct(), "copies")
 
+    def headed(pairs: DataFrame) -> DataFrame:
+        """Pairs between the first documents of their classes; members of one class need none."""
+        for side in ("a", "b"):
+            pairs = pairs.join(copies.select(F.col("doc").alias(side), F.col("head").alias(f"head_{side}")), side, "left")
+        return pairs.select(F.coalesce("head_a", "a").alias("a"), F.coalesce("head_b", "b").alias("b"), "na", "nb").where("a <> b").distinct()
+
     window = Window.partitionBy("key").orderBy("pos", "doc")
     index = prefix_rows(docs, width, share, rank).select("*", F.first(F.struct("doc", "n", "pos")).over(window).alias("hub"), F.lead("doc").over(window).alias("next"), F.row_number().over(window).alias("row"))
     index = index.where("next is not null or row > 1").select("key", "doc", "n", "pos", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
     index = stash.keep(index, "index")
     stars = index.where("doc <> hub").where(enough("least(n - pos, hub_n - hub_pos)", "n + hub_n", share))
-    stars = stash.keep(stars.select(F.col("doc").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb")).distinct(), "stars")
+    stars = stash.keep(headed(stars.select(F.col("doc").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb")).distinct()), "stars")
 
     def parts_of(pairs: DataFrame, name: str) -> DataFrame:
         wanted = stash.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), f"{name}-docs")
         few = small_or_plain(wanted, wanted.count())
         return stash.keep(fragment_rows(docs.join(few, "doc", "left_semi").select("doc", "text"), width, rank, weight), f"{name}-parts")
 
-    def headed(links: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            links = links.join(copies.select(F.col("doc").alias(side), F.col("head").alias(f"head_{side}")), side, "left")
-        return links.select(F.coalesce("head_a", "a").alias("a"), F.coalesce("head_b", "b").alias("b")).where("a <> b").distinct()
-
-    links = stash.keep(headed(verified(stars, parts_of(stars, "stars"), share)), "links")
+    links = stash.keep(verified(stars, parts_of(stars, "stars"), share).select("a", "b"), "links")
     # a repeated identifier binds the classes of its rows
     same = copies.withColumnRenamed("head", "b").withColumnRenamed("doc", "a").where("a <> b")
     found = components(stash, links.unionAll(same), "first")
@@ -226,9 +240,9 @@ def join(docs: DataFrame, width: int = 5, share: int = 75, doc_id: str = "doc_id
     tagged = stash.keep(tagged.select("key", "doc", "n", "pos", "hub", F.coalesce("component", "doc").alias("component"), F.coalesce("hub_component", "hub").alias("hub_component")).where("doc <> hub"), "tagged")
     outside = tagged.where("component <> hub_component").alias("o")
     across = outside.join(tagged.alias("m"), F.expr("o.key = m.key and o.component <> m.component and (m.component = m.hub_component or o.doc < m.doc)") & enough("least(o.n - o.pos, m.n - m.pos)", "o.n + m.n", share))
-    across = stash.keep(across.select(F.col("o.doc").alias("a"), F.col("m.doc").alias("b"), F.col("o.n").alias("na"), F.col("m.n").alias("nb")).distinct(), "across")
+    across = stash.keep(headed(across.select(F.col("o.doc").alias("a"), F.col("m.doc").alias("b"), F.col("o.n").alias("na"), F.col("m.n").alias("nb")).distinct()), "across")
     if across.limit(1).count():
-        more = headed(verified(across, parts_of(across, "across"), share))
+        more = verified(across, parts_of(across, "across"), share).select("a", "b")
         links = stash.keep(links.unionAll(more), "all-links")
         found = components(stash, links.unionAll(same), "second")
     degree = links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("n_links"))
