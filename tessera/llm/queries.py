@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, ngram_join, repeats, sentencepiece_codec, sstable, toxicity
-from tessera.llm.common import Stash, crc_mod, documents
+from tessera.llm import langid, ngram_join, pitman_yor, repeats, sentencepiece_codec, sstable, toxicity
+from tessera.llm.common import Stash, crc_mod, documents, ship
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -71,5 +71,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op9_toxicity": op9_toxicity, "op8_language": op8_language, "op6_suffix_dedup": op6_suffix_dedup, "op2_ngram_join": op2_ngram_join, "op1_sentencepiece": op1_sentencepiece, "op5_token_shards": op5_token_shards}
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text under a hierarchical Pitman-Yor model of nine tenths of them."""
+    ship(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    chunk = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / 4096))
+    docs = docs.select("doc_id", "text", chunk.alias("chunk"))
+    learn = F.coalesce(crc_mod("doc_id", 10) != 0, F.lit(True))
+    scored = pitman_yor.score(docs, learn, shard=F.col("chunk"))
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op10_pitman_yor": op10_pitman_yor, "op9_toxicity": op9_toxicity, "op8_language": op8_language, "op6_suffix_dedup": op6_suffix_dedup, "op2_ngram_join": op2_ngram_join, "op1_sentencepiece": op1_sentencepiece, "op5_token_shards": op5_token_shards}
 ORACLES: dict[str, str] = {}
