@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, ngram_join, pitman_yor, repeats, sentencepiece_codec, sstable, toxicity
+from tessera.llm import langid, neighbours, ngram_join, pitman_yor, repeats, sentencepiece_codec, sstable, toxicity
 from tessera.llm.common import Stash, crc_mod, documents, ship
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -82,5 +82,11 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op10_pitman_yor": op10_pitman_yor, "op9_toxicity": op9_toxicity, "op8_language": op8_language, "op6_suffix_dedup": op6_suffix_dedup, "op2_ngram_join": op2_ngram_join, "op1_sentencepiece": op1_sentencepiece, "op5_token_shards": op5_token_shards}
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products found for every vector whose id is divisible by 20."""
+    ship(spark)
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {"op4_neighbours": op4_neighbours, "op10_pitman_yor": op10_pitman_yor, "op9_toxicity": op9_toxicity, "op8_language": op8_language, "op6_suffix_dedup": op6_suffix_dedup, "op2_ngram_join": op2_ngram_join, "op1_sentencepiece": op1_sentencepiece, "op5_token_shards": op5_token_shards}
 ORACLES: dict[str, str] = {}
