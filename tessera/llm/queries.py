@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, neighbours, ngram_join, pitman_yor, repeats, sentencepiece_codec, sstable, toxicity
+from tessera.llm import decontaminate, langid, neighbours, ngram_join, pitman_yor, repeats, sentencepiece_codec, sstable, toxicity
 from tessera.llm.common import Stash, crc_mod, documents, ship
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -88,5 +88,11 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op4_neighbours": op4_neighbours, "op10_pitman_yor": op10_pitman_yor, "op9_toxicity": op9_toxicity, "op8_language": op8_language, "op6_suffix_dedup": op6_suffix_dedup, "op2_ngram_join": op2_ngram_join, "op1_sentencepiece": op1_sentencepiece, "op5_token_shards": op5_token_shards}
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, in whatever order of its parts."""
+    found = decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "item_words", "covered", "longest", F.size("tiles").alias("n_tiles"), F.round(F.col("covered") / F.col("item_words"), 6).alias("coverage"))
+
+
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_neighbours": op4_neighbours, "op10_pitman_yor": op10_pitman_yor, "op9_toxicity": op9_toxicity, "op8_language": op8_language, "op6_suffix_dedup": op6_suffix_dedup, "op2_ngram_join": op2_ngram_join, "op1_sentencepiece": op1_sentencepiece, "op5_token_shards": op5_token_shards}
 ORACLES: dict[str, str] = {}
