@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER, Stash, components, mix64, pieces, powers, prefix_hashes, range_hashes, small_or_plain, text_buffer, words_of
 
 SKETCH_BITS = 24  # counters of the global order: 16 million, whatever the input
-COUNTED = 6 << 20  # n-grams that a task holds before it counts them
+COUNTED = 4 << 20  # n-grams that a task holds before it counts them
 BLOCKS = 64
 FRAGMENTS = 4
 SHINGLE_BASE = 0xD1342543DE82EF95
@@ -90,7 +90,7 @@ def scan_sets(docs: DataFrame, width: int) -> DataFrame:
         names = ["doc", "n", "s1", "s2", "block", "counts"]
         kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, 2 << 20):
                 grams, offsets = gram_sets(part.column(1), width)
                 waiting.append((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
                 if sum(map(len, waiting)) > COUNTED:
@@ -135,7 +135,7 @@ def prefix_rows(docs: DataFrame, width: int, share: int, rank: np.ndarray) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, 2 << 20):
                 grams, offsets = gram_sets(part.column(1), width)
                 key = rank[grams >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56) | grams >> np.uint64(8)
                 marks = zip(sums_of(mix64(grams ^ np.uint64(0x5851F42D4C957F2D)), offsets).tolist(), sums_of(mix64(grams + np.uint64(0x14057B7EF767814F)), offsets).tolist())
@@ -170,7 +170,7 @@ def fragment_rows(docs: DataFrame, width: int, rank: np.ndarray, weight: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, 2 << 20):
                 grams, offsets = gram_sets(part.column(1), width)
                 q = rank[grams >> np.uint64(64 - SKETCH_BITS)]
                 place = np.minimum(FRAGMENTS - 1, FRAGMENTS * (below[q] + share[q] * (grams.astype(np.float64) / 2.0**64))).astype(np.int64)
@@ -221,7 +221,8 @@ def join(docs: DataFrame, width: int = 5, share: int = 75, doc_id: str = "doc_id
 
     window = Window.partitionBy("key").orderBy("pos", "doc")
     index = prefix_rows(docs, width, share, rank).select("*", F.first(F.struct("doc", "n", "pos")).over(window).alias("hub"), F.lead("doc").over(window).alias("next"), F.row_number().over(window).alias("row"))
-    index = index.where("next is not null or row > 1").select("key", "doc", "n", "pos", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
+    # beside its hub; `third`: the group has more than the two
+    index = index.where("row > 1").select("key", "doc", "n", "pos", F.expr("row > 2 or next is not null").alias("third"), F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
     index = stash.keep(index, "index")
     stars = index.where("doc <> hub").where(enough("least(n - pos, hub_n - hub_pos)", "n + hub_n", share))
     stars = stash.keep(headed(stars.select(F.col("doc").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb")).distinct()), "stars")
@@ -236,7 +237,8 @@ def join(docs: DataFrame, width: int = 5, share: int = 75, doc_id: str = "doc_id
     same = copies.withColumnRenamed("head", "b").withColumnRenamed("doc", "a").where("a <> b")
     found = components(stash, links.unionAll(same), "first")
 
-    tagged = index.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").join(found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
+    few = small_or_plain(found, found.count())
+    tagged = index.where("third").join(few.select(F.col("node").alias("doc"), "component"), "doc", "left").join(few.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
     tagged = stash.keep(tagged.select("key", "doc", "n", "pos", "hub", F.coalesce("component", "doc").alias("component"), F.coalesce("hub_component", "hub").alias("hub_component")).where("doc <> hub"), "tagged")
     outside = tagged.where("component <> hub_component").alias("o")
     across = outside.join(tagged.alias("m"), F.expr("o.key = m.key and o.component <> m.component and (m.component = m.hub_component or o.doc < m.doc)") & enough("least(o.n - o.pos, m.n - m.pos)", "o.n + m.n", share))
