@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import Stash, pieces, prefix_hashes, range_hashes, text_buffer
 from tessera.llm.suffix_array import suffix_array
@@ -214,12 +215,12 @@ def sort_shards(slices: DataFrame, partitions: int, length: int) -> DataFrame:
     return slices.repartition(partitions, "h").mapInArrow(run, MARK)
 
 
-def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, kept binary, spans array of [start, end)) of every row."""
+def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, kept binary, spans array of [start, end)) of every row, and the columns to carry along."""
     spark = docs.sparkSession
     stash = Stash(spark, "repeats")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(1).alias("one"), *carry).alias("carried"))
     ids = docs.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 or doc is null").limit(1).count()
     docs = docs.withColumn("id", F.col("doc"))
     if ids:
@@ -230,7 +231,7 @@ def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str
     again = stash.keep(shards.select("doc", "low", "count"), "again")
     found = settled.where("h is null").select("doc", "low", "count").unionAll(again)
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("low", "count")).alias("rows"))
-    both = docs.join(spans, "doc", "left").select("id", "text", "rows")
+    both = docs.join(spans, "doc", "left").select("id", "text", "rows", "carried")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
@@ -249,7 +250,8 @@ def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str
                         at = c["end"]
                     out.append((i, len(raw), b"".join([*kept, raw[at:]]), cuts))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["id", "n_bytes", "kept", "spans"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(zip(*out), kinds)), part.column(3)], names=["id", "n_bytes", "kept", "spans", "carried"])
 
-    done = both.mapInArrow(run, "id long, n_bytes long, kept binary, spans array<struct<start:int,end:int>>")
-    return done.withColumnRenamed("id", doc_id)
+    schema = T.StructType.fromDDL("id long, n_bytes long, kept binary, spans array<struct<start:int,end:int>>").add(both.schema["carried"])
+    done = both.mapInArrow(run, schema)
+    return done.select(F.col("id").alias(doc_id), "n_bytes", "kept", "spans", *(F.col("carried")[c].alias(c) for c in carry))
