@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER, Stash, components, mix64, pieces, powers, prefix_hashes, range_hashes, small_or_plain, text_buffer, words_of
 
 SKETCH_BITS = 24  # counters of the global order: 16 million, whatever the input
-COUNTED = 4 << 20  # n-grams that a task holds before it counts them
+COUNTED = 2 << 20  # n-grams that a task holds before it counts them
 BLOCKS = 64
 FRAGMENTS = 4
 SHINGLE_BASE = 0xD1342543DE82EF95
@@ -79,18 +79,18 @@ def scan_sets(docs: DataFrame, width: int) -> DataFrame:
     """One row a document (doc, n, s1, s2) and, for each task, the rows of its counters (block, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counters = np.zeros(1 << SKETCH_BITS, np.uint16)  # a task's own counts end at 65535: order alone depends on them
         waiting: list[np.ndarray] = []
 
         def count() -> None:
             slots, times = np.unique(np.concatenate(waiting), return_counts=True)
-            counters[slots] += times.astype(np.uint32)
+            counters[slots] = np.minimum(counters[slots] + times, 65535)
             waiting.clear()
 
         names = ["doc", "n", "s1", "s2", "block", "counts"]
         kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
         for batch in batches:
-            for part in pieces(batch, 2 << 20):
+            for part in pieces(batch, 1 << 20):
                 grams, offsets = gram_sets(part.column(1), width)
                 waiting.append((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
                 if sum(map(len, waiting)) > COUNTED:
@@ -113,7 +113,7 @@ def global_order(scanned: DataFrame) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.frombuffer(zlib.decompress(raw), np.uint32)
+                counts = np.frombuffer(zlib.decompress(raw), np.uint16)
                 held[k] = held[k] + counts if k in held else counts.astype(np.int64)
         for k, counts in held.items():
             rank = np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8)
@@ -135,7 +135,7 @@ def prefix_rows(docs: DataFrame, width: int, share: int, rank: np.ndarray) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in pieces(batch, 2 << 20):
+            for part in pieces(batch, 1 << 20):
                 grams, offsets = gram_sets(part.column(1), width)
                 key = rank[grams >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56) | grams >> np.uint64(8)
                 marks = zip(sums_of(mix64(grams ^ np.uint64(0x5851F42D4C957F2D)), offsets).tolist(), sums_of(mix64(grams + np.uint64(0x14057B7EF767814F)), offsets).tolist())
@@ -143,7 +143,7 @@ def prefix_rows(docs: DataFrame, width: int, share: int, rank: np.ndarray) -> Da
                 for k, (a, b, doc, mark) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), part.column(0).to_pylist(), marks)):
                     if a == b or doc is None or mark in seen:
                         continue
-                    if len(seen) < 200_000:
+                    if len(seen) < 100_000:
                         seen.add(mark)
                     p = b - a - (share * (b - a) + 99) // 100 + 1
                     held = key[a:b]
@@ -170,7 +170,7 @@ def fragment_rows(docs: DataFrame, width: int, rank: np.ndarray, weight: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 2 << 20):
+            for part in pieces(batch, 1 << 20):
                 grams, offsets = gram_sets(part.column(1), width)
                 q = rank[grams >> np.uint64(64 - SKETCH_BITS)]
                 place = np.minimum(FRAGMENTS - 1, FRAGMENTS * (below[q] + share[q] * (grams.astype(np.float64) / 2.0**64))).astype(np.int64)
