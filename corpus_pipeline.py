@@ -50,9 +50,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it."""
-    path = tokenizer_path(PIECE_MODEL)
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.select(*COLUMNS), path), path)
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = sentencepiece_codec.round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(PIECE_MODEL))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("same").alias("round_trip"))
 
 
 STAGES = [

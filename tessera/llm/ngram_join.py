@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, Stash, components, mix64, pieces, powers, prefix_hashes, range_hashes, small_or_plain, text_buffer, words_of
+from tessera.llm.common import LOWER, Stash, components, mix64, pieces, powers, prefix_hashes, range_hashes, small_or_plain, text_buffer, tidy, words_of
 
 SKETCH_BITS = 24  # counters of the global order: 16 million, whatever the input
 COUNTED = 2 << 20  # n-grams that a task holds before it counts them
@@ -101,6 +101,8 @@ def scan_sets(docs: DataFrame, width: int) -> DataFrame:
             count()
         for k, held in enumerate(counters.reshape(BLOCKS, -1)):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds[:4]), pa.array([k], kinds[4]), pa.array([zlib.compress(held.tobytes(), 1)], kinds[5])], names=names)
+        del counters
+        tidy()
 
     tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism  # counters a task: few tasks, little traffic
     return docs.coalesce(tasks).mapInArrow(run, "doc long, n long, s1 long, s2 long, block int, counts binary")
@@ -159,6 +161,7 @@ def prefix_rows(docs: DataFrame, width: int, share: int, rank: np.ndarray) -> Da
                 rows = [np.concatenate(keys).view(np.int64), part.column(0).to_numpy(zero_copy_only=False)[owner].astype(np.int64), np.diff(offsets)[owner].astype(np.int32), pos.astype(np.int32)]
                 for at in range(0, len(owner), 1 << 17):
                     yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 17)]) for x in rows], names=["key", "doc", "n", "pos"])
+        tidy()
 
     return docs.mapInArrow(run, "key long, doc long, n int, pos int")
 
@@ -180,6 +183,7 @@ def fragment_rows(docs: DataFrame, width: int, rank: np.ndarray, weight: np.ndar
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(grams[by].view(np.int64)))
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, FRAGMENTS).astype(np.int64)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), part.num_rows)), lists], names=["doc", "fragment", "grams"])
+        tidy()
 
     return docs.where("doc is not null").mapInArrow(run, "doc long, fragment int, grams array<long>").where(F.size("grams") > 0)
 

@@ -19,9 +19,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of every whole text through SentencePiece ids."""
-    path = tokenizer_path(PIECE_MODEL)
-    ids = sentencepiece_codec.encode(documents(spark, sf_dir), path).select("doc_id", "ids")
-    return sentencepiece_codec.decode(ids, path).select(
+    return sentencepiece_codec.round_trip(documents(spark, sf_dir), tokenizer_path(PIECE_MODEL)).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Stash, pieces, prefix_hashes, range_hashes, text_buffer
+from tessera.llm.common import Stash, pieces, prefix_hashes, range_hashes, text_buffer, tidy
 from tessera.llm.suffix_array import suffix_array
 
 ANCHOR = 32
@@ -127,6 +127,7 @@ def slice_rows(docs: DataFrame, length: int) -> DataFrame:
                 if len(doc):
                     yield marks(doc[fresh], low[fresh], count[fresh], h[fresh], s[fresh])
                     yield marks(*merged(doc[~fresh], low[~fresh], count[~fresh]))
+        tidy()
 
     return docs.mapInArrow(run, MARK)
 
@@ -211,6 +212,7 @@ def sort_shards(slices: DataFrame, partitions: int, length: int) -> DataFrame:
         table = table.take(by)
         data, offsets = text_buffer(table["bytes"].combine_chunks())
         yield marks(*repeated_in(table["doc"].to_numpy(), table["low"].to_numpy().astype(np.int64), data, np.diff(offsets), length))
+        tidy()
 
     return slices.repartition(partitions, "h").mapInArrow(run, MARK)
 

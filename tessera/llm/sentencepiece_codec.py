@@ -21,10 +21,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import pieces, ship
+from tessera.llm.common import pieces, ship, tidy
 
 NO_RANK = np.iinfo(np.int32).max
-CACHE_SEGMENTS = 500_000  # bounds a Python worker's memory; results don't depend on it
+CACHE_SEGMENTS = 300_000  # bounds a Python worker's memory; results don't depend on it
 _MODELS: dict[bytes, PieceModel] = {}
 
 
@@ -208,6 +208,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
                 flat, offsets = model.encode_texts(part.column(part.schema.get_field_index(text)).to_pylist())
                 held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, held], names=[*part.schema.names, ids])
+        tidy()
 
     return df.mapInArrow(run, schema)
 
@@ -231,3 +232,26 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, text])
 
     return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df with ids and decoded text instead of its text, in one pass of one Python worker a task."""
+    ship(df.sparkSession)
+    with open(model_path, "rb") as f:
+        proto = f.read()
+    kept = [f for f in df.schema.fields if f.name != text]
+    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.StringType(), False), T.StructField("same", T.BooleanType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(proto)
+        for batch in batches:
+            for part in pieces(batch, 2 << 20, text):
+                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                flat, offsets = model.encode_texts(texts)
+                out = model.decode_flat(flat, offsets)
+                held = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                same = pa.array([a == (b or "") for a, b in zip(out, texts)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in kept), held, pa.array(out, pa.string()), same], names=schema.names)
+        tidy()
+
+    return df.mapInArrow(run, schema)

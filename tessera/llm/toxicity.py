@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import ship
+from tessera.llm.common import pieces, ship, tidy
 
 SAMPLE = 20_000  # bound of the labelled rows that a model is fitted on
 LEXICON = 2_000  # bound of the learnt lexicon
@@ -237,8 +237,10 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            x = np.array([features(t, model.lexicon) for t in texts]).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], names=[*batch.schema.names, "toxicity"])
+            for part in pieces(batch, 2 << 20, text):
+                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                x = np.array([features(t, model.lexicon) for t in texts]).reshape(-1, len(NAMES))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x), pa.float64())], names=[*part.schema.names, "toxicity"])
+        tidy()
 
     return docs.mapInArrow(run, schema)

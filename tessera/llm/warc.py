@@ -10,14 +10,14 @@ that a URL with a third of all captures is dealt out by time.
 Defined cases of resolve(): a revisit without URL or date, or without an earlier response, has outcome
 `no_original`; one whose validators differ is `mismatch` and gets no body; without validators in common it is
 `unchecked` and gets the body; else `resolved`. Of responses of equal date the larger record_id
-counts. Repeated record ids are one record. Names of headers are lower case.
+counts, of responses of one record_id one. Repeated revisits come back one by one. Names of headers are lower case.
 """
 
 from __future__ import annotations
 
 import gzip
-import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,20 +49,22 @@ def canonical(url: Column) -> Column:
 
 def resolve(records: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """(record_id, url, original_id, outcome, headers, body) of every revisit; records: columns of RECORD."""
-    names = ("record_id", "warc_type", "uri", "date", "status", "headers", "body")
-    one = records.groupBy("record_id").agg(F.min_by(F.struct(*names[1:]), F.xxhash64("warc_type", "uri", "date", "status", "body")).alias("r")).select("record_id", "r.*")
-    timed = one.select("*", canonical(F.col("uri")).alias("url"), F.unix_micros(F.try_to_timestamp("date")).alias("t"))
-    full = (F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("url").isNotNull() & F.col("t").isNotNull()
-    slim = timed.where(full | (F.col("warc_type") == "revisit")).select("record_id", "url", "t", F.coalesce(full, F.lit(False)).alias("full"), F.floor(F.col("t") / stretch).alias("stretch"))
+    timed = records.select("record_id", "warc_type", "headers", "status", "body", canonical(F.col("uri")).alias("url"), F.unix_micros(F.try_to_timestamp("date")).alias("t"))
+    full = F.coalesce((F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("url").isNotNull() & F.col("t").isNotNull(), F.lit(False))
+    own = F.when(F.col("warc_type") == "revisit", F.col("headers"))
+    slim = timed.where(full | (F.col("warc_type") == "revisit")).select("record_id", "url", "t", full.alias("full"), own.alias("headers"), F.floor(F.col("t") / stretch).alias("stretch"))
+    placed = slim.where("url is not null and t is not null")
     mark = F.when(F.col("full"), F.struct("t", "record_id"))
     within = Window.partitionBy("url", "stretch").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    inner = slim.where("url is not null and t is not null").withColumn("near", F.max(mark).over(within)).where("not full")
+    inner = placed.withColumn("near", F.max(mark).over(within)).where("not full")
     before = Window.partitionBy("url").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slim.where("url is not null and t is not null").groupBy("url", "stretch").agg(F.max(mark).alias("last")).select("url", "stretch", F.max("last").over(before).alias("far"))
-    found = inner.join(carried, ["url", "stretch"]).select("record_id", F.coalesce("near", "far").getField("record_id").alias("original_id"))
-    revisits = timed.where("warc_type = 'revisit'").select("record_id", "url", "headers").join(found, "record_id", "left")
-    stored = timed.where(full).select(F.col("record_id").alias("original_id"), F.col("headers").alias("stored"), "body")
-    both = revisits.join(stored, "original_id", "left")
+    carried = placed.groupBy("url", "stretch").agg(F.max(mark).alias("last")).select("url", "stretch", F.max("last").over(before).alias("far"))
+    found = inner.join(carried, ["url", "stretch"]).select("record_id", "url", "headers", F.coalesce("near", "far").getField("record_id").alias("original_id"))
+    lost = slim.where("not full and (url is null or t is null)").select("record_id", "url", "headers", F.lit(None).cast("string").alias("original_id"))
+    revisits = found.unionByName(lost)
+    # bodies take part in one shuffle, by the identifier that they are joined on, and are never broadcast
+    stored = timed.where(full).groupBy(F.col("record_id").alias("original_id")).agg(F.min_by(F.struct(F.col("headers").alias("stored"), "body"), F.xxhash64("t", "body")).alias("r")).select("original_id", "r.*")
+    both = revisits.join(stored.hint("merge"), "original_id", "left")
 
     def tag(h: str) -> Column:
         return F.regexp_replace(F.col(h)["etag"], "^W/", "")
@@ -89,35 +91,69 @@ def record_bytes(r: dict) -> bytes:
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 1, mtime=0)
 
 
-def fields_of(stream) -> dict[str, str]:
+def fields_of(raw: bytes) -> dict[str, str]:
+    """Header fields with names in lower case; folded lines are joined."""
     out: dict[str, str] = {}
     last = ""
-    while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-        text = line.decode("utf-8", "replace").rstrip("\r\n")
-        if text[:1] in " \t" and last:
-            out[last] += " " + text.strip()
-        elif ":" in text:
-            last, value = text.split(":", 1)
+    for line in raw.decode("utf-8", "replace").splitlines():
+        if line[:1] in " \t" and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            last, _, value = line.partition(":")
             last = last.strip().lower()
             out[last] = value.strip()
     return out
 
 
+def inflated(stream, size: int = 1 << 20) -> Iterator[bytes]:
+    """Parts of a plain stream, or of one of gzip members."""
+    held = stream.read(size)
+    if held[:2] != b"\x1f\x8b":
+        while held:
+            yield held
+            held = stream.read(size)
+        return
+    member = zlib.decompressobj(31)
+    while held:
+        out = [member.decompress(held)]
+        while member.eof and member.unused_data:
+            rest, member = member.unused_data, zlib.decompressobj(31)
+            out.append(member.decompress(rest))
+        if member.eof:
+            member = zlib.decompressobj(31)
+        yield b"".join(out)
+        held = stream.read(size)
+
+
 def parse(stream) -> Iterator[dict]:
-    """Response and revisit records of a plain or gzipped stream, one at a time."""
-    held = io.BufferedReader(stream) if not hasattr(stream, "peek") else stream
-    if held.peek(2)[:2] == b"\x1f\x8b":
-        held = io.BufferedReader(gzip.GzipFile(fileobj=held))
-    while line := held.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        head = fields_of(held)
-        block = io.BytesIO(held.read(int(head.get("content-length", 0))))
+    """Response and revisit records of a plain or gzipped stream, one at a time; a record that is cut off is left out."""
+    parts, held, at = inflated(stream), b"", 0
+
+    def more() -> bool:
+        nonlocal held, at
+        if (part := next(parts, None)) is None:
+            return False
+        held, at = held[at:] + part, 0
+        return True
+
+    while True:
+        while (start := held.find(b"WARC/", at)) < 0 or (end := held.find(b"\r\n\r\n", start)) < 0:
+            if not more():
+                return
+        head = fields_of(held[start:end])
+        at, size = start, int(head.get("content-length", 0))
+        while len(held) < at + (end - start) + 4 + size:
+            if not more():
+                return
+            end, start = end - start, 0
+        begin = end + 4
+        at = begin + size
         kind = head.get("warc-type")
         if kind in ("response", "revisit"):
-            status = block.readline().split()
-            headers = fields_of(block)
-            yield {"record_id": head.get("warc-record-id", "").strip("<>"), "warc_type": kind, "uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None, "headers": headers, "body": block.read() if kind == "response" else None}
+            top, _, body = held[begin:at].partition(b"\r\n\r\n")
+            line, _, fields = top.partition(b"\r\n")
+            status = line.split()
+            yield {"record_id": head.get("warc-record-id", "").strip("<>"), "warc_type": kind, "uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None, "headers": fields_of(fields), "body": body if kind == "response" else None}
 
 
 ARROW = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
