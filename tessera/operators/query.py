@@ -50,7 +50,8 @@ def neighbors(g: Graph, direction: str = "both", kinds: tuple[str, ...] | None =
     forward = (F.col("r") != TARGET) & (F.col("s") == TARGET)
     backward = (F.col("r") == TARGET) & (F.col("s") != TARGET)
     way = {"out": forward, "in": backward, "both": forward | backward}[direction]
-    return pairs.where(~F.col("is_directed") | way).select("node_id", "neighbor").distinct()
+    # a directed self-loop makes a node its own neighbour, an undirected one doesn't
+    return pairs.where(F.when(F.col("is_directed"), way).otherwise(F.col("node_id") != F.col("neighbor"))).select("node_id", "neighbor").distinct()
 
 
 def incident_edges(g: Graph, nodes: DataFrame | None = None, direction: str = "both") -> DataFrame:
