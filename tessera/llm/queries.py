@@ -98,8 +98,9 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     stash = Stash(spark, "op7")
     folder = f"{stash.root}/warc"
     names = stash.keep(warc.write(warc.captures(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder), "names")
-    records = warc.read(spark, names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name"), folder)
-    done = warc.resolve(records)
+    names = names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+    heads = stash.keep(warc.read(spark, names, folder, ("record_id", "warc_type", "uri", "date", "status", "headers")), "heads")
+    done = warc.resolve(heads, bodies=warc.read(spark, names, folder, ("record_id", "body")))
     headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
     return done.select("record_id", "url", "original_id", "outcome", headers.alias("headers"), F.md5("body").alias("body_md5"))
 

@@ -36,7 +36,8 @@ from tessera.llm.common import Stash, pieces, prefix_hashes, range_hashes, text_
 from tessera.llm.suffix_array import suffix_array
 
 ANCHOR = 32
-SEEN = 300_000  # slices a task remembers to settle copies early; the shuffle settles the rest
+SHARDS = 3  # a shuffle partition: a smaller shard, a smaller worker
+SEEN = 200_000  # slices a task remembers to settle copies early; the shuffle settles the rest
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -110,7 +111,7 @@ def slice_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], tuple[int, int]] = {}
         for batch in batches:
-            for part in pieces(batch, 2 << 20):
+            for part in pieces(batch, 1 << 20):
                 owner, low, count, h, s = slices_of(part.column(1), length)
                 doc = part.column(0).to_numpy(zero_copy_only=False)[owner].astype(np.int64)
                 by, new = earliest(h, s, doc, low)
@@ -192,8 +193,8 @@ def repeated_in(doc: np.ndarray, low: np.ndarray, data: np.ndarray, size: np.nda
     order = order[strings[order]]
     same = np.zeros(len(order), bool)
     words = np.lib.stride_tricks.sliding_window_view(text, length)
-    for a in range(1, len(order), 1 << 15):
-        b = min(len(order), a + (1 << 15))
+    for a in range(1, len(order), 1 << 14):
+        b = min(len(order), a + (1 << 14))
         same[a:b] = (words[order[a:b]] == words[order[a - 1 : b - 1]]).all(axis=1)
     first = np.flatnonzero(~same)
     least = np.repeat(np.minimum.reduceat(order, first), np.diff(np.append(first, len(order))))
@@ -229,7 +230,7 @@ def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str
         ordered = docs.orderBy(F.col("doc").asc_nulls_first(), "text").withColumn("doc", F.monotonically_increasing_id())
         docs = stash.keep(ordered, "ordered")
     settled = stash.keep(settle(slice_rows(docs.select("doc", "text"), length), n), "settled")
-    shards = sort_shards(fetch(docs.select("doc", "text"), settled.where("h is not null"), length), n, length)
+    shards = sort_shards(fetch(docs.select("doc", "text"), settled.where("h is not null"), length), SHARDS * n, length)
     again = stash.keep(shards.select("doc", "low", "count"), "again")
     found = settled.where("h is null").select("doc", "low", "count").unionAll(again)
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("low", "count")).alias("rows"))

@@ -72,7 +72,7 @@ def s_types(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next (the last one, the sentinel, is)."""
     n = len(text)
     differs = np.append(text[:-1] != text[1:], True)
-    at = np.where(differs, np.arange(n), n)
+    at = np.where(differs, np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64), n)
     at = np.minimum.accumulate(at[::-1])[::-1]  # next position that differs from its follower
     out = np.ones(n, bool)
     inner = at < n - 1

@@ -15,7 +15,6 @@ counts, of responses of one record_id one. Repeated revisits come back one by on
 
 from __future__ import annotations
 
-import gzip
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,9 +46,13 @@ def canonical(url: Column) -> Column:
     return F.when(part[1] == "", F.trim(url)).otherwise(built)
 
 
-def resolve(records: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """(record_id, url, original_id, outcome, headers, body) of every revisit; records: columns of RECORD."""
-    timed = records.select("record_id", "warc_type", "headers", "status", "body", canonical(F.col("uri")).alias("url"), F.unix_micros(F.try_to_timestamp("date")).alias("t"))
+def resolve(records: DataFrame, stretch: int = STRETCH, bodies: DataFrame | None = None) -> DataFrame:
+    """(record_id, url, original_id, outcome, headers, body) of every revisit; records: columns of RECORD.
+
+    bodies: (record_id, body) of full responses, if records come without them.
+    """
+    with_body = F.col("body") if bodies is None else F.lit(None).cast("binary").alias("body")
+    timed = records.select("record_id", "warc_type", "headers", "status", with_body, canonical(F.col("uri")).alias("url"), F.unix_micros(F.try_to_timestamp("date")).alias("t"))
     full = F.coalesce((F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("url").isNotNull() & F.col("t").isNotNull(), F.lit(False))
     own = F.when(F.col("warc_type") == "revisit", F.col("headers"))
     slim = timed.where(full | (F.col("warc_type") == "revisit")).select("record_id", "url", "t", full.alias("full"), own.alias("headers"), F.floor(F.col("t") / stretch).alias("stretch"))
@@ -63,8 +66,13 @@ def resolve(records: DataFrame, stretch: int = STRETCH) -> DataFrame:
     lost = slim.where("not full and (url is null or t is null)").select("record_id", "url", "headers", F.lit(None).cast("string").alias("original_id"))
     revisits = found.unionByName(lost)
     # bodies take part in one shuffle, by the identifier that they are joined on, and are never broadcast
-    stored = timed.where(full).groupBy(F.col("record_id").alias("original_id")).agg(F.min_by(F.struct(F.col("headers").alias("stored"), "body"), F.xxhash64("t", "body")).alias("r")).select("original_id", "r.*")
-    both = revisits.join(stored.hint("merge"), "original_id", "left")
+    if bodies is None:
+        stored = timed.where(full).groupBy(F.col("record_id").alias("original_id")).agg(F.min_by(F.struct(F.col("headers").alias("stored"), "body"), F.xxhash64("t", "body")).alias("r")).select("original_id", "r.*")
+        both = revisits.join(stored.hint("merge"), "original_id", "left")
+    else:
+        stored = timed.where(full).groupBy(F.col("record_id").alias("original_id")).agg(F.min_by(F.col("headers"), F.xxhash64("t")).alias("stored"))
+        held = bodies.groupBy(F.col("record_id").alias("original_id")).agg(F.min("body").alias("body"))
+        both = revisits.join(stored, "original_id", "left").join(held.hint("merge"), "original_id", "left")
 
     def tag(h: str) -> Column:
         return F.regexp_replace(F.col(h)["etag"], "^W/", "")
@@ -88,7 +96,8 @@ def record_bytes(r: dict) -> bytes:
     head = ["WARC/1.1", f"WARC-Type: {r['warc_type']}", f"WARC-Record-ID: <{r['record_id']}>"]
     head += [f"{k}: {v}" for k, v in (("WARC-Target-URI", r["uri"]), ("WARC-Date", r["date"]), ("WARC-Profile", NOT_MODIFIED if revisit else None)) if v is not None]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
-    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 1, mtime=0)
+    member = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return member.compress(b"".join(("\r\n".join(head).encode(), b"\r\n\r\n", block, b"\r\n\r\n"))) + member.flush()
 
 
 def fields_of(raw: bytes) -> dict[str, str]:
@@ -170,7 +179,9 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         with store.open_output_stream(own, compression=None) as out:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
-                    for r in batch.slice(at, 256).to_pylist():
+                    columns = (x.to_pylist() for x in batch.slice(at, 256).columns)
+                    for row in zip(*columns):
+                        r = dict(zip(ARROW.names, row))
                         out.write(record_bytes(r | {"headers": dict(r["headers"] or ())}))
                         n += 1
         store.move(own, f"{root}/{name}")
@@ -179,25 +190,31 @@ def write(records: DataFrame, folder: str) -> DataFrame:
     return records.select(*ARROW.names).mapInArrow(run, "name string, records long")
 
 
-def read(spark: SparkSession, names: DataFrame, folder: str) -> DataFrame:
-    """Records of the named files of a folder, streamed."""
+def read(spark: SparkSession, names: DataFrame, folder: str, only: tuple[str, ...] = ()) -> DataFrame:
+    """Records of the named files of a folder, streamed; `only` some columns, and then with `body` only full responses."""
     ship(spark)
+    columns = only or tuple(ARROW.names)
+    schema = pa.schema([ARROW.field(c) for c in columns])
+    bodies = bool(only) and "body" in only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with store.open_input_stream(f"{root}/{name}", compression=None) as raw:
-                    held: list[dict] = []
+                    held: list[tuple] = []
                     for r in parse(raw):
-                        held.append(r | {"headers": list(r["headers"].items())})
-                        if len(held) == 256:
-                            yield pa.RecordBatch.from_pylist(held, ARROW)
+                        if bodies and (r["warc_type"], r["status"]) != ("response", 200):
+                            continue
+                        held.append(tuple(list(r[c].items()) if c == "headers" else r[c] for c in columns))
+                        if len(held) == 512:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
                             held = []
                     if held:
-                        yield pa.RecordBatch.from_pylist(held, ARROW)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
 
-    return names.select("name").mapInArrow(run, RECORD)
+    kinds = {f.split(" ")[0]: f for f in RECORD.split(", ")}
+    return names.select("name").mapInArrow(run, ", ".join(kinds[c] for c in columns))
 
 
 def captures(pages: DataFrame) -> DataFrame:
