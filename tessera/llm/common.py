@@ -20,13 +20,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS = 1000
 WORD_GAPS = np.zeros(256, bool)
 WORD_GAPS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package once a session, so that they need no copy of the repository."""
+    """Give executors this package once a session, so that they need no copy of the repository.
+
+    Arrow batches get BATCH_ROWS rows where the session has Spark's default: whole documents of
+    10,000 rows would fill an executor's memory beside its heap.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
