@@ -50,8 +50,7 @@ def add_nodes(g: Graph, nodes: DataFrame, slice: str | None = None) -> Graph:
     layer = F.col("layer") if "layer" in nodes.columns else flat_layer()
     order = F.col("ord").cast("long") if "ord" in nodes.columns else F.lit(None).cast("long")
     rows = nodes.where("node_id is not null").select("node_id", layer.alias("layer"), F.lit("node").alias("kind"), order.alias("ord")).dropDuplicates(["node_id", "layer"])
-    fresh = rows.join(g.entities.select("node_id", "layer"), ["node_id", "layer"], "left_anti")
-    out = {"entities": g.entities.unionByName(fresh)}
+    out = {"entities": with_entities(g.entities, rows)}
     if attrs:
         out["node_attrs"] = upsert(g.node_attrs, nodes.select("node_id", *attrs).dropDuplicates(["node_id"]), ("node_id",))
     where = slice or g.active_slice
@@ -61,9 +60,18 @@ def add_nodes(g: Graph, nodes: DataFrame, slice: str | None = None) -> Graph:
     return g.having(**out)
 
 
+def with_entities(old: DataFrame, *new: DataFrame) -> DataFrame:
+    """Entities and those of further frames that aren't among them; each frame is read once, so plans of many edits stay small."""
+    rows = old.withColumn("_k", F.lit(0))
+    for k, df in enumerate(new, 1):
+        rows = rows.unionByName(df.withColumn("_k", F.lit(k)), allowMissingColumns=True)
+    first = rows.groupBy("node_id", "layer").agg(F.min_by(F.struct("kind", "ord"), "_k").alias("x"))
+    return first.select("node_id", "layer", "x.kind", "x.ord")
+
+
 def with_slices(g: Graph, ids: DataFrame) -> DataFrame:
-    fresh = ids.distinct().join(g.slices.select("slice_id"), "slice_id", "left_anti").withColumn("ord", F.lit(None).cast("long"))
-    return g.slices.unionByName(fresh, allowMissingColumns=True)
+    rows = g.slices.unionByName(ids.select("slice_id").distinct(), allowMissingColumns=True)
+    return rows.groupBy("slice_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in g.slices.columns if c != "slice_id"))
 
 
 def entry(node: Column, coef: Column | None = None, layer: Column | None = None) -> Column:
@@ -144,14 +152,12 @@ def add_edges(g: Graph, edges: DataFrame, slice: str | None = None) -> Graph:
     old = g.edges.select("edge_id", F.col("policy").alias("kept"))
     fresh = fresh.join(old, "edge_id", "left").withColumn("policy", F.coalesce("policy", "kept")).select(*CORE)
     ids = rows.select("edge_id")
-    seen = members.select("node_id", "layer").distinct()
-    as_entities = rows.where(F.col("as_entity") | (F.col("kind") == STUB)).select(F.col("edge_id").alias("node_id"), flat_layer().alias("layer"), F.lit("edge_entity").alias("kind"), F.lit(None).cast("long").alias("ord"))
-    held = g.entities.unionByName(as_entities.join(g.entities.select("node_id", "layer"), ["node_id", "layer"], "left_anti"))
-    new_nodes = seen.join(held.select("node_id", "layer"), ["node_id", "layer"], "left_anti").select("node_id", "layer", F.lit("node").alias("kind"), F.lit(None).cast("long").alias("ord"))
+    as_entities = rows.where(F.col("as_entity") | (F.col("kind") == STUB)).select(F.col("edge_id").alias("node_id"), flat_layer().alias("layer"), F.lit("edge_entity").alias("kind"))
+    new_nodes = members.select("node_id", "layer", F.lit("node").alias("kind"))
     out = {
         "edges": g.edges.join(ids, "edge_id", "left_anti").unionByName(fresh),
         "members": g.members.join(ids, "edge_id", "left_anti").unionByName(members),
-        "entities": held.unionByName(new_nodes),
+        "entities": with_entities(g.entities, as_entities, new_nodes),
         "slice_edges": g.slice_edges.unionByName(rows.select("slice_id", "edge_id")).distinct(),
         "slices": with_slices(g, rows.select("slice_id")),
     }
