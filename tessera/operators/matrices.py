@@ -105,9 +105,13 @@ def member_degree(g: Graph) -> DataFrame:
 
 
 def weighted_degree(g: Graph) -> DataFrame:
-    """(node_id, value): sum of the weights of member entries."""
-    entries = g.members.select("edge_id", "node_id").join(g.structural().select("edge_id", "weight"), "edge_id")
-    return entries.groupBy("node_id").agg(F.sum("weight").alias("value"))
+    """(node_id, value): sum of the weights of member entries.
+
+    An entry of an edge without explicit coefficients has its weight as its size, so only the others are joined with their edges.
+    """
+    explicit = g.structural().where("explicit").select("edge_id", "weight")
+    rows = g.members.select("edge_id", "node_id", F.abs("coef").alias("w")).join(F.broadcast(explicit) if explicit.isEmpty() else explicit, "edge_id", "left")
+    return rows.groupBy("node_id").agg(F.sum(F.coalesce("weight", "w")).alias("value"))
 
 
 def incidence_lists(g: Graph, values: bool = False) -> DataFrame:

@@ -32,13 +32,20 @@ def dense(cells: DataFrame, ids: list[str]) -> np.ndarray:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    if not df.sparkSession.sparkContext.getCheckpointDir():
+    """Rows written to the shared checkpoint folder; a temporary folder is set only where the session names none."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
         from tempfile import mkdtemp
 
-        df.sparkSession.sparkContext.setCheckpointDir(mkdtemp(prefix="tessera-checkpoint-"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint()
 
 
+def settle(g: Graph) -> Graph:
+    """The graph with all its tables checkpointed: plans after many edits start anew."""
+    return g.having(**{t: cut(df) for t, df in g.tables.items()})
+
+
 def power(cells: DataFrame, start: DataFrame, apart: list[DataFrame] = (), rounds: int = ROUNDS, tolerance: float = 1e-10) -> tuple[float, DataFrame]:
     """Dominant eigenpair of a symmetric matrix, orthogonal to unit vectors (i, x)."""
     x, last = start, None

@@ -23,7 +23,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by the names of the graph."""
     rows = table(spark, sf_dir, "lineitem")
     edge = F.concat_ws(":", F.lit("PS"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    return rows.select(edge.alias("edge_id"), named("P", "l_partkey").alias("source"), named("S", "l_suppkey").alias("target"), F.col("l_quantity").alias("quantity"), "l_returnflag", F.col("l_linestatus").alias("status"), F.year("l_shipdate").alias("year"), "l_orderkey")
+    return rows.select(edge.alias("edge_id"), named("P", "l_partkey").alias("source"), named("S", "l_suppkey").alias("target"), F.col("l_quantity").alias("quantity"), "l_returnflag", F.col("l_linestatus").alias("status"), F.year("l_shipdate").alias("year"), "l_orderkey", "l_partkey", "l_suppkey")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,10 @@ def empty_types() -> list[tuple[str, str]]:
 
 
 def supply_pairs(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("edge_id", "source", "target").agg(F.sum("quantity").alias("weight"), F.count("*").alias("n_lines"))
+    """Lines summed by part and supplier: numbers are shuffled, names are made behind."""
+    sums = rows.groupBy("l_partkey", "l_suppkey").agg(F.sum("quantity").alias("weight"), F.count("*").alias("n_lines"))
+    edge = F.concat_ws(":", F.lit("PS"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    return sums.select(edge.alias("edge_id"), named("P", "l_partkey").alias("source"), named("S", "l_suppkey").alias("target"), "weight", "n_lines")
 
 
 def supply(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, places: bool = True) -> Graph:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import layer_id
 from tessera.model import BINARY, NODE_EDGE, empty
 from tessera.operators import algebra, attrs, build, history, layers, matrices, query
+from tessera.operators.spectral import settle
 
 
 def edges(spark, rows, schema):
@@ -13,6 +14,15 @@ def edges(spark, rows, schema):
 
 
 def shape(spark, name):
+    if name not in MADE:
+        MADE[name] = settle(made(spark, name))
+    return MADE[name]
+
+
+MADE = {}
+
+
+def made(spark, name):
     b = "edge_id string, source string, target string, weight double"
     if name == "binary_directed":
         return build.add_edges(empty(spark, True), edges(spark, [("e_ab", "A", "B", 1.5), ("e_bc", "B", "C", 2.0)], b))

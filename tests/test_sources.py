@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.model import empty
 from tessera.operators import algebra, build, matrices, query
+from tessera.operators.spectral import settle
 from tessera.sources import delimited, delivery, documents, frames, markup, native
 
 
@@ -15,7 +16,7 @@ def graph(spark):
     g = build.add_nodes(empty(spark, True, title="t"), spark.createDataFrame([("A", 1, "x&y"), ("B", 2, None), ("C", None, "z"), ("D", 4, "lone")], "node_id string, size long, note string"))
     g = build.add_edges(g, spark.createDataFrame([("e1", "B", "A", 1.5, True, "r1"), ("e2", "A", "B", 2.0, True, "r1"), ("e3", "B", "C", 1.0, False, None)], "edge_id string, source string, target string, weight double, directed boolean, relation string"))
     g = build.add_edges(g, spark.createDataFrame([("h1", ["A", "B", "C"], None, None), ("h2", None, ["A", "B"], ["C"])], "edge_id string, members array<string>, head array<string>, tail array<string>"))
-    return g
+    return settle(g)
 
 
 def pairs(g):
@@ -39,7 +40,7 @@ def test_documents(spark, graph, tmp_path, fmt):
     path = str(tmp_path / fmt)
     write, read = {"json": (documents.write_json, documents.read_json), "cx2": (documents.write_cx2, documents.read_cx2), "graphml": (markup.write_graphml, markup.read_graphml), "gexf": (markup.write_gexf, markup.read_gexf)}[fmt]
     write(graph, path)
-    g = read(spark, path)
+    g = settle(read(spark, path))
     assert pairs(g) == pairs(graph)
     assert hyper(g) == hyper(graph)
     assert {r.node_id: r.note for r in g.node_attrs.where("note <> ''").collect()} == {"A": "x&y", "C": "z", "D": "lone"}
@@ -68,6 +69,7 @@ def test_frames(spark, graph):
     for explode in (False, True):
         t = frames.to_frames(graph, explode=explode)
         g = frames.from_frames(spark, t["nodes"], t["edges"], t["hyperedges"], directed=True)
+        g = settle(g)
         assert pairs(g) == pairs(graph) and hyper(g) == hyper(graph)
     f = frames.features(graph, {"node": ["size"]})
     assert f["nodes"].where("kind = 'node'").agg(F.max("index"), F.sum("size")).first() == (3, 7.0)
@@ -76,7 +78,7 @@ def test_frames(spark, graph):
 def test_csv_shapes(spark, tmp_path):
     def read(text, **kw):
         (tmp_path / "x.csv").write_text(text)
-        return delimited.read(spark, str(tmp_path / "x.csv"), **kw)
+        return settle(delimited.read(spark, str(tmp_path / "x.csv"), **kw))
 
     g = read("Source,Target,w,directed,slices,weight:s1,kind2\nA,B,2,yes,s1|s2,7,k\nB,C,,no,,,\n,C,1,yes,,,\n")
     assert pairs(g) == {("A", "B", 2.0), ("B", "C", 1.0)}
