@@ -12,7 +12,6 @@ through; ties in rank go to the leftmost pair, as in the library.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +20,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import pieces, ship, tidy
+from tessera.llm.common import pieces, ship, text_buffer, tidy
 
 NO_RANK = np.iinfo(np.int32).max
-CACHE_SEGMENTS = 300_000  # bounds a Python worker's memory; results don't depend on it
+CACHE_SEGMENTS = 600_000  # bounds a Python worker's memory; results don't depend on it
 _MODELS: dict[bytes, PieceModel] = {}
 
 
@@ -66,9 +65,9 @@ class PieceModel:
         self.raw_len = np.array([len(x) for x in raw], np.int64)
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        lone = "" if self.char_id[10] >= 0 else "\n"
-        self.segments = re.compile(rf" *[^ {lone}]+|{lone or ' '}+| +").findall
-        self.cache: dict[str, bytes] = {}
+        self.lone_lines = bool(self.char_id[10] < 0)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece made of each pair, and its rank (NO_RANK: none)."""
@@ -81,6 +80,8 @@ class PieceModel:
 
     def encode_segments(self, segments: list[str]) -> list[bytes]:
         """Ids (int32, native order) of each segment; a space stands for the word mark."""
+        if not segments:
+            return []
         joined = "".join(segments).replace(" ", "▁")
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(s) for s in segments], np.int64)
@@ -154,20 +155,47 @@ class PieceModel:
         out[which] = self.byte_ids[raw]
         return out, owner
 
+    def known(self, segments: list[str]) -> list[bytes]:
+        """Ids of distinct segments; those not asked for in a whole generation are forgotten."""
+        young, old = self.young, self.old
+        missing = [x for x in segments if x not in young]
+        for x in missing:
+            if x in old:
+                young[x] = old[x]
+        missing = [x for x in missing if x not in old]
+        young.update(zip(missing, self.encode_segments(missing)))
+        out = [young[x] for x in segments]
+        if len(young) > CACHE_SEGMENTS // 2:
+            self.young, self.old = {}, young
+        return out
+
     def encode_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of many texts, each with its end id, and their n+1 offsets."""
-        cut = [self.segments((" " + t.replace("▁", " ")) if t else "") for t in texts]
-        cache = self.cache
-        missing = list({s for x in cut for s in x if s not in cache})
-        if missing:
-            if len(cache) + len(missing) > CACHE_SEGMENTS:
-                cache.clear()
-                missing = list({s for x in cut for s in x})
-            cache.update(zip(missing, self.encode_segments(missing)))
-        end = np.int32(self.eos).tobytes()
-        get = cache.__getitem__
-        rows = [b"".join(map(get, x)) + end for x in cut]
-        return np.frombuffer(b"".join(rows), np.int32), np.cumsum([0, *(len(x) >> 2 for x in rows)])
+        data, offsets = text_buffer(pa.array([(" " + t.replace("▁", " ")) if t else "" for t in texts], pa.string()))
+        n = len(texts)
+        if not len(data):
+            return np.full(n, self.eos, np.int32), np.arange(n + 1)
+        gap = data == 32
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = gap[1:] & ~gap[:-1]
+        if self.lone_lines:
+            line = data == 10
+            cut[1:-1] |= line[1:] != line[:-1]
+        cut[offsets] = True
+        starts = np.flatnonzero(cut)
+        coded = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        held = self.known(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(held), np.int32)
+        size = np.array([len(x) for x in held], np.int64) >> 2
+        first = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        count = size[which]
+        ends = np.cumsum(count)
+        ids = flat[np.arange(ends[-1]) + np.repeat(first[which] - (ends - count), count)]
+        at = np.append(0, ends)[np.searchsorted(starts, offsets)]
+        out = np.full(len(ids) + n, self.eos, np.int32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(at))] = ids
+        return out, at + np.arange(n + 1)
 
     def decode_flat(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Text of each row of ids; one leading space, the dummy prefix, goes."""
