@@ -311,3 +311,32 @@ def test_pipeline(spark):
 def test_no_shuffle_of_texts(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_rare_contexts_count(spark):
+    """Words far below a hundredth of all tokens decide what follows them, one and two words on."""
+    texts = [f"a{k} b{k} mid x{k} y z{k}" for k in range(300)] * 2
+    asked = ["a7 b7", "a7 b8", "x7 y z7", "x7 y z8"]
+    docs = table(spark, [*texts, *asked]).select("doc_id", "text")
+    got = {r.doc_id: r for r in pitman_yor.score(docs, F.col("doc_id") < 600).collect()}
+    pair, other, triple, crossed = (got[600 + k] for k in range(4))
+    assert pair.score - other.score > 1 and triple.score - crossed.score > 1
+    assert pair.base_score == other.base_score
+
+
+def test_contexts_sum_to_one(spark):
+    """Behind two given words, all known words and the unknown one; an end follows each in the same way."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcd") for _ in range(6)) for _ in range(40)]
+    words = sorted({w for t in texts for w in t.split()})
+    docs = table(spark, [*texts, *[f"a {w}" for w in [*words, "zz"]], "a"]).select("doc_id", "text")
+    stash = pitman_yor.Stash(spark, "sums")
+    rows = pitman_yor.request_rows(docs.select(F.lit(0).cast("long").alias("shard"), "text", (F.col("doc_id") < 40).alias("learn")).coalesce(1))
+    grams = stash.keep(rows.groupBy(*pitman_yor.GRAM).agg(F.sum("n").alias("n")), "grams")
+    found, total, kinds = pitman_yor.probabilities(stash, grams)
+    by_context = collections.defaultdict(dict)
+    for r in grams.join(found, "gram").collect():
+        by_context[r.two][r.word] = r.p
+    assert (total, kinds) == (40 * 7, len(words) + 1)
+    whole = [sum(p.values()) for p in by_context.values() if len(p) == kinds + 1]
+    assert whole and all(math.isclose(x, 1, rel_tol=1e-9) for x in whole)
