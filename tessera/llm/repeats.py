@@ -36,6 +36,7 @@ from tessera.llm.common import Stash, pieces, prefix_hashes, range_hashes, text_
 from tessera.llm.suffix_array import suffix_array
 
 ANCHOR = 32
+PLACES = 1 << 24  # of a block of windows, whatever the text's size
 SHARDS = 3  # a shuffle partition: a smaller shard, a smaller worker
 SEEN = 200_000  # slices a task remembers to settle copies early; the shuffle settles the rest
 
@@ -62,9 +63,13 @@ def slices_of(texts: pa.Array, length: int) -> tuple[np.ndarray, ...]:
     sums = prefix_hashes(data)
     at = np.arange(len(data) - ANCHOR + 1)
     code = range_hashes(sums, at, at + ANCHOR)
-    # the upper bits of the hash, then the place: the leftmost of equal ones is least
-    least = sliding_least(code & np.uint64(0xFFFFFFFFFF000000) | at.astype(np.uint64), length - ANCHOR + 1)
-    anchor = (least & np.uint64(0xFFFFFF)).astype(np.int64)
+    # the upper bits of the hash, then the place in its block of windows: the leftmost of equal ones is least
+    width = length - ANCHOR + 1
+    anchor = np.zeros(len(code) - width + 1, np.int64)
+    for a in range(0, len(anchor), PLACES - width):
+        part = code[a : a + PLACES - 1]
+        least = sliding_least(part & np.uint64(~(PLACES - 1) & (1 << 64) - 1) | np.arange(len(part), dtype=np.uint64), width)
+        anchor[a : a + len(least)] = a + (least & np.uint64(PLACES - 1)).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     start = np.flatnonzero(np.arange(len(anchor)) + length <= offsets[text + 1])
     if not len(start):

@@ -130,6 +130,18 @@ def test_slices_cover_every_string():
     assert count[owner == 3].sum() == 51 and not (owner == 1).any()
 
 
+def test_slices_beyond_16_mib():
+    rng = np.random.default_rng(9)
+    passage = bytes(rng.integers(97, 123, 600, np.uint8))
+    for at in ((1 << 24) - 300, (1 << 24) + 5000):
+        long = bytes(rng.integers(97, 123, at, np.uint8)) + passage + b"z" * 40
+        owner, low, count, h, s = repeats.slices_of(pa.array([long.decode()]), 100)
+        _, _, _, alone, whole = repeats.slices_of(pa.array([passage.decode()]), 100)
+        assert count.sum() == len(long) - 99 and (low[1:] == low[:-1] + count[:-1]).all()
+        # all slices of the passage but those at its ends meet their copies
+        assert set(zip(alone[1:-1].tolist(), whole[1:-1].tolist())) <= set(zip(h.tolist(), s.tolist()))
+
+
 def test_trees_and_isotonic():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 3))
