@@ -73,7 +73,7 @@ def gram_codes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 @dataclass
 class LanguageModel:
     languages: list[str]  # by number of training texts
-    slots: np.ndarray  # one mask a slot
+    slots: np.ndarray  # one row of masks for every 64 languages, a mask a slot
     false_rate: np.ndarray
 
 
@@ -121,14 +121,12 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> LanguageMo
 
     rows = counted.select("lang", "block", "counts").repartition("lang", "block").mapInArrow(contained, "lang string, codes binary").collect()
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    if len(languages) > 64:
-        raise ValueError("more than 64 languages")
-    slots = np.zeros(1 << SLOT_BITS, kind)
+    slots = np.zeros((max(1, -(-len(languages) // 64)), 1 << SLOT_BITS), kind)
     for r in rows:
-        bit = kind(1 << languages.index(r.lang))
+        word, bit = divmod(languages.index(r.lang), 64)
         for p in probes(np.frombuffer(r.codes, np.int32)):
-            slots[p] |= bit
-    fill = np.array([np.count_nonzero(slots & kind(1 << k)) for k in range(len(languages))]) / (1 << SLOT_BITS)
+            slots[word, p] |= kind(1 << bit)
+    fill = np.array([np.count_nonzero(slots[k // 64] & kind(1 << k % 64)) for k in range(len(languages))]) / (1 << SLOT_BITS)
     stash.drop()
     return LanguageModel(languages, slots, fill**HASHES)
 
@@ -142,19 +140,20 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", kept: tup
     kind = model.slots.dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.frombuffer(zlib.decompress(packed), kind)
+        slots = np.frombuffer(zlib.decompress(packed), kind).reshape(-1, 1 << SLOT_BITS)
         # mask of every code: the conjunction of its slots, looked up once a task
-        masks = np.bitwise_and.reduce([slots[p] for p in probes(np.arange(1 << CODE_BITS))])
+        masks = np.bitwise_and.reduce([slots[:, p] for p in probes(np.arange(1 << CODE_BITS))])
         for batch in batches:
             for part in pieces(batch, 2 << 20, text):
                 texts = part.column(part.schema.get_field_index(text))
                 hits = np.zeros((part.num_rows, max(1, n)))
                 total = np.zeros(part.num_rows)
                 for codes, owner in gram_codes(texts):
-                    mask = masks[codes]
                     total += np.bincount(owner, minlength=part.num_rows)
                     for k in range(n):
-                        hits[:, k] += np.bincount(owner, weights=mask >> kind.type(k) & kind.type(1), minlength=part.num_rows)
+                        if not k % 64:
+                            mask = masks[k // 64][codes]
+                        hits[:, k] += np.bincount(owner, weights=mask >> kind.type(k % 64) & kind.type(1), minlength=part.num_rows)
                 share = hits[:, :n] / np.maximum(1, total)[:, None]
                 share = np.maximum(0, (share - false_rate) / np.maximum(1e-9, 1 - false_rate)) if n else np.zeros((part.num_rows, 1))
                 best = share.argmax(axis=1)

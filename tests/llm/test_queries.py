@@ -233,6 +233,15 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.predict(docs, langid.train(docs.limit(0))).collect()} == {"und"}
 
 
+def test_many_languages(spark):
+    rng = random.Random(11)
+    words = [["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(12)] for _ in range(130)]
+    texts = [" ".join(w) for w in words for _ in range(2)]
+    docs = table(spark, texts, {k: f"l{k // 2:03d}" for k in range(260)})
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert got == {k: f"l{k // 2:03d}" for k in range(260)}
+
+
 def test_op8_held_out(spark):
     got = queries.op8_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.9 and got.score.between(0, 1).all()
