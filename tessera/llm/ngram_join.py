@@ -13,7 +13,10 @@ n-gram shares with few others (a table of fixed size, summed over all documents)
 5. What step 3 left out are pairs across components. They are listed by a join of documents
    outside their hub's component with their group, under the same bounds, and verified alike.
 
-No group is listed pair by pair, none is capped, and no link between different components is lost.
+6. Links end within components, so there every pair of different sets is verified, by blocks of
+   BLOCK_SETS sets against each other, and each set's links are counted.
+
+No group of an n-gram is listed pair by pair, none is capped, and no link is lost.
 
 Defined cases: null or empty texts and texts without words have an empty set and link with nothing; texts with
 fewer words than the n-gram have one n-gram, the whole; copies share a class; rows without an
@@ -37,6 +40,7 @@ SKETCH_BITS = 24  # counters of the global order: 16 million, whatever the input
 COUNTED = 2 << 20  # n-grams that a task holds before it counts them
 BLOCKS = 64
 FRAGMENTS = 4
+BLOCK_SETS = 256
 SHINGLE_BASE = 0xD1342543DE82EF95
 
 
@@ -204,9 +208,70 @@ def verified(pairs: DataFrame, parts: DataFrame, share: int) -> DataFrame:
     return summed.where(enough("overlap", "na + nb", share))
 
 
+def linked(doc: np.ndarray, values: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents among `left` and, of each, the number of other documents among `right` that it links with; left and right: rows in order of doc."""
+    size = np.diff(offsets)
+    take = lambda rows: np.repeat(offsets[rows], size[rows]) + np.arange(size[rows].sum()) - np.repeat(np.cumsum(size[rows]) - size[rows], size[rows])
+    grams, owner = values[take(right)], np.repeat(np.arange(len(right)), size[right])
+    by = np.argsort(grams, kind="stable")
+    grams, owner = grams[by], owner[by]
+    names, first = np.unique(doc[right], return_index=True)
+    lefts, number = np.unique(doc[left], return_inverse=True)
+    hit = np.zeros((len(lefts), len(names)), bool)
+    for k, row in zip(number, left):
+        own = values[offsets[row] : offsets[row + 1]]
+        low, high = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
+        count = high - low
+        at = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        overlap = np.bincount(owner[at], minlength=len(right))
+        near = (100 + share) * overlap >= share * (size[row] + size[right])
+        hit[k] |= np.logical_or.reduceat(near, first)
+    hit &= lefts[:, None] != names[None, :]
+    return lefts, hit.sum(axis=1)
+
+
+def link_counts(docs: DataFrame, named: DataFrame, copies: DataFrame, found: DataFrame, width: int, share: int) -> DataFrame:
+    """(head, n_links): of every class in a component the other classes that it links with."""
+    # one set a class; a repeated identifier brings the sets of all its rows
+    again = named.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc", F.lit(True).alias("again"))
+    nodes = found.unionAll(found.select("component", "component")).distinct()  # a component's least node has no row
+    sets = nodes.withColumnRenamed("node", "doc").join(copies, "doc", "left").join(again, "doc", "left").where("head is null or head = doc or again")
+    sets = sets.select("doc", F.coalesce("head", "doc").alias("head"), "component")
+    size = sets.groupBy("component").agg(F.expr(f"cast(ceil(count(distinct head) / {BLOCK_SETS}) as int)").alias("blocks"))
+    sets = sets.join(size, "component").withColumn("block", F.expr("cast(pmod(xxhash64(head), blocks) as int)"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 1 << 20):
+                grams, offsets = gram_sets(part.column(1), width)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], lists], names=["head", "component", "blocks", "block", "grams"])
+        tidy()
+
+    rows = docs.join(sets, "doc").select("doc", "text", "head", "component", "blocks", "block").mapInArrow(run, "head long, component long, blocks int, block int, grams array<long>").where(F.size("grams") > 0)
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "head", "grams")
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("head")
+        lists = table["grams"].combine_chunks()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        doc, block = table["head"].to_numpy(), table["block"].to_numpy()
+        values, offsets = lists.flatten().to_numpy(), offsets - offsets[0]
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        parts = []
+        if len(left) and len(right):
+            parts.append(linked(doc, values, offsets, left, right, share))
+            if i != j:
+                parts.append(linked(doc, values, offsets, right, left, share))
+        return pa.table({"head": pa.array(np.concatenate([x for x, _ in parts] or [np.zeros(0, np.int64)]), pa.int64()), "n": pa.array(np.concatenate([x for _, x in parts] or [np.zeros(0, np.int64)]), pa.int64())})
+
+    return met.groupBy("component", "i", "j").applyInArrow(count, "head long, n long").groupBy("head").agg(F.sum("n").alias("n_links"))
+
+
 def join(docs: DataFrame, width: int = 5, share: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row; n_links: verified links of the row's class that the
-    joining needed, a spanning part of all links."""
+    """(doc_id, n_shingles, component_id, n_links) of every row; n_links: other classes whose sets reach the similarity
+    with the row's own."""
     spark = docs.sparkSession
     stash = Stash(spark, "ngram")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -251,7 +316,7 @@ def join(docs: DataFrame, width: int = 5, share: int = 75, doc_id: str = "doc_id
         more = verified(across, parts_of(across, "across"), share).select("a", "b")
         links = stash.keep(links.unionAll(more), "all-links")
         found = components(stash, links.unionAll(same), "second")
-    degree = links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count("*").alias("n_links"))
+    degree = stash.keep(link_counts(docs, named, copies, found, width, share), "degree")
     labels = rows.join(copies, "doc", "left").withColumn("head", F.coalesce("head", "doc"))
     labels = labels.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(degree, "head", "left")
     return labels.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

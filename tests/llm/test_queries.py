@@ -78,6 +78,20 @@ def test_op2_on_documents(spark):
     assert {r.doc_id: r.component_id for r in queries.op2_ngram_join(spark, SF).collect()} == want
 
 
+def test_every_link_counts(spark, monkeypatch):
+    """Links between different texts of one component, not of a hub alone; against brute force, in one block and in many."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join([*words, "x1"]), " ".join([*words, "y1 y2"]), " ".join(words[:50]), " ".join(words[:44]), " ".join(words), "one two three", "one  two three", ""]
+    texts += [" ".join([*words[4:], *(f"n{k}" for k in range(j))]) for j in range(1, 9)]
+    sets = [frozenset(zip(*(t.split()[j:] for j in range(5)))) if len(t.split()) >= 5 else frozenset([tuple(t.split())] if t else []) for t in texts]
+    kinds = set(sets)
+    want = {k: sum(100 * len(s & o) >= 75 * len(s | o) for o in kinds if o != s and s and o) for k, s in enumerate(sets)}
+    assert max(want.values()) > 3
+    for size in (256, 2):
+        monkeypatch.setattr(ngram_join, "BLOCK_SETS", size)
+        assert {r.doc_id: r.n_links for r in ngram_join.join(table(spark, texts)).collect()} == want
+
+
 def without_repeats(docs, n=100):
     seen, out = set(), {}
     for i, t in sorted(docs):
