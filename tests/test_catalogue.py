@@ -21,3 +21,9 @@ def test_equals_sql(spark, sql, name):
 def test_pagerank_sums_to_one(spark):
     total = catalogue.QUERIES["pagerank"](spark, SF).agg({"rank": "sum"}).first()[0]
     assert abs(total - 1) < 0.01
+
+
+@pytest.mark.parametrize("name", ["incident_edges_out", "incident_edges_in", "edges_between", "co_incidence", "triangles"])
+def test_whole_queries_reach_all_rows(spark, name):
+    some, whole = (set(map(str, catalogue.QUERIES[q](spark, SF).collect())) for q in (name, f"whole_{name}"))
+    assert len(whole) > len(some)
