@@ -9,12 +9,15 @@ further left in the same one. Strings are judged on the input, as UTF-8 bytes, w
 2. Of equal slices with equal anchors only the earliest can be new; tasks settle theirs before anything is
    shuffled, so that a slice in a third of all documents arrives once a task.
 3. The earliest slices whose anchor has other slices too are fetched and dealt to shards by
-   anchor. A shard's slices form one string, in order of documents, whose suffix array is built by
-   induced sorting on disk-backed queues; neighbours whose common prefix reaches `length` are one
+   anchor. A shard's slices form one string, in order of documents, whose suffixes are sorted by
+   external induction with their common prefixes; neighbours that share `length` symbols are one
    string, and all but the first occurrence are repeats.
-4. Repeats of steps 2 and 3 come together by document as spans, and the rest of the bytes is kept.
+4. An anchor with more than HOT such slices (a passage's end in very many documents) isn't dealt as a whole:
+   its slices fall apart into their strings, which meet by their own hashes, again settled by task first.
+5. Repeats of steps 2 to 4 come together by document as spans, and the rest of the bytes is kept.
 
-Equality of slices is decided by two independent 64-bit hashes, that of strings in a shard by their bytes.
+Equality of slices, and of the strings of step 4, is decided by two 64-bit hashes, that of strings in a shard by their bytes.
+A shard may be far larger than memory: its text, queues and marks go to files of the shared folder.
 
 Defined cases: null texts are empty; texts shorter than `length` stay whole; rows that share an identifier (or
 have none: they come first) are put in order of their text and count as different documents;
@@ -32,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Stash, pieces, prefix_hashes, range_hashes, text_buffer, tidy
-from tessera.llm.suffix_array import suffix_array
+from tessera.llm.common import Stash, pieces, prefix_hashes, range_hashes, small_or_plain, text_buffer, tidy
+from tessera.llm.suffix_array import CHUNK, Buckets, Sequence, Store, joined, sort_suffixes
 
 ANCHOR = 32
 PLACES = 1 << 24  # of a block of windows, whatever the text's size
 SHARDS = 3  # a shuffle partition: a smaller shard, a smaller worker
 SEEN = 200_000  # slices a task remembers to settle copies early; the shuffle settles the rest
+HOT = 256  # slices of an anchor that are dealt to one shard; those of others are dealt as strings
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -110,29 +114,41 @@ def marks(doc, low, count, h=None, s=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(low.astype(np.int32)), pa.array(count.astype(np.int32)), *codes], names=["doc", "low", "count", "h", "s"])
 
 
+class Settled:
+    """Settles copies that one task sees itself."""
+
+    def __init__(self) -> None:
+        self.seen: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def part(self, doc: np.ndarray, low: np.ndarray, count: np.ndarray, h: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The earliest slices so far, and the others as repeats."""
+        if not len(doc):
+            return
+        by, new = earliest(h, s, doc, low)
+        doc, low, count, h, s = doc[by], low[by], count[by], h[by], s[by]
+        first = np.flatnonzero(new)
+        copied = np.diff(np.append(first, len(by))) > 1
+        fresh = new.copy()
+        for k, hot in zip(first.tolist(), copied.tolist()):
+            key = (int(h[k]), int(s[k])) if self.seen or hot else None
+            if key in self.seen:
+                fresh[k] = (int(doc[k]), int(low[k])) < self.seen[key]
+            elif hot and len(self.seen) < SEEN:
+                self.seen[key] = (int(doc[k]), int(low[k]))
+        yield marks(doc[fresh], low[fresh], count[fresh], h[fresh], s[fresh])
+        yield marks(*merged(doc[~fresh], low[~fresh], count[~fresh]))
+
+
 def slice_rows(docs: DataFrame, length: int) -> DataFrame:
     """Slices of all texts; copies that a task sees itself come as repeats at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], tuple[int, int]] = {}
+        settled = Settled()
         for batch in batches:
             for part in pieces(batch, 1 << 20):
                 owner, low, count, h, s = slices_of(part.column(1), length)
                 doc = part.column(0).to_numpy(zero_copy_only=False)[owner].astype(np.int64)
-                by, new = earliest(h, s, doc, low)
-                doc, low, count, h, s = doc[by], low[by], count[by], h[by], s[by]
-                first = np.flatnonzero(new)
-                copied = np.diff(np.append(first, len(by))) > 1
-                fresh = new.copy()
-                for k, hot in zip(first.tolist(), copied.tolist()):
-                    key = (int(h[k]), int(s[k])) if seen or hot else None
-                    if key in seen:
-                        fresh[k] = (int(doc[k]), int(low[k])) < seen[key]
-                    elif hot and len(seen) < SEEN:
-                        seen[key] = (int(doc[k]), int(low[k]))
-                if len(doc):
-                    yield marks(doc[fresh], low[fresh], count[fresh], h[fresh], s[fresh])
-                    yield marks(*merged(doc[~fresh], low[~fresh], count[~fresh]))
+                yield from settled.part(doc, low, count, h, s)
         tidy()
 
     return docs.mapInArrow(run, MARK)
@@ -165,62 +181,109 @@ def settle(rows: DataFrame, partitions: int) -> DataFrame:
     return rows.repartition(partitions, "h", F.when(F.col("h").isNull(), F.col("doc"))).mapInArrow(run, MARK)
 
 
+def string_codes(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every string of a slice: of all its bytes, and of their second half."""
+    sums = prefix_hashes(np.frombuffer(raw, np.uint8))
+    at = np.arange(len(raw) - length + 1)
+    return range_hashes(sums, at, at + length), range_hashes(sums, at + length // 2, at + length)
+
+
 def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(h, doc, low, bytes) of slices, cut from their documents."""
+    """Slices (doc, low, count, h, bytes) cut from their documents; slices of hot anchors as strings (doc, low, 1, h, s)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settled, names = Settled(), ["doc", "low", "count", "h", "s", "bytes"]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
             for part in pieces(batch, 2 << 20):
-                out: list[tuple] = []
+                whole: list[tuple] = []
+                strings: list[tuple] = []
                 for doc, text, rows in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                     raw = text.encode()
-                    out += [(r["h"], doc, r["low"], raw[r["low"] : r["low"] + r["count"] - 1 + length]) for r in rows]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "doc", "low", "bytes"])
-
-    grouped = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "low", "count")).alias("rows"))
-    return docs.join(grouped, "doc").select("doc", "text", "rows").mapInArrow(run, "h long, doc long, low int, bytes binary")
-
-
-def repeated_in(doc: np.ndarray, low: np.ndarray, data: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs (doc, low, count) of strings that start earlier in the shard; slices in order of (doc, low)."""
-    at = np.cumsum(size + 1) - size - 1  # a separator behind each slice; the sentinel is unique
-    text = np.ones(at[-1] + size[-1] + 2, np.int16)
-    owner = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(data)) + owner
-    text[place] = data.astype(np.int16) + 2
-    text[-1] = 0
-    strings = np.zeros(len(text), bool)
-    count = size - length + 1
-    begin = np.repeat(at, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    strings[begin] = True
-    order = suffix_array(text, length)
-    order = order[strings[order]]
-    same = np.zeros(len(order), bool)
-    words = np.lib.stride_tricks.sliding_window_view(text, length)
-    for a in range(1, len(order), 1 << 14):
-        b = min(len(order), a + (1 << 14))
-        same[a:b] = (words[order[a:b]] == words[order[a - 1 : b - 1]]).all(axis=1)
-    first = np.flatnonzero(~same)
-    least = np.repeat(np.minimum.reduceat(order, first), np.diff(np.append(first, len(order))))
-    again = np.sort(order[order != least])
-    which = np.searchsorted(at, again, "right") - 1
-    return merged(doc[which], low[which] + again - at[which], np.ones(len(again), np.int64))
-
-
-def sort_shards(slices: DataFrame, partitions: int, length: int) -> DataFrame:
+                    for r in rows:
+                        held = raw[r["low"] : r["low"] + r["count"] - 1 + length]
+                        if r["hot"]:
+                            strings.append((np.full(r["count"], doc), r["low"] + np.arange(r["count"]), np.ones(r["count"], np.int64), *string_codes(held, length)))
+                        else:
+                            whole.append((doc, r["low"], r["count"], r["h"], None, held))
+                if whole:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*whole), kinds)], names=names)
+                if strings:
+                    for x in settled.part(*joined(strings)):
+                        yield pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, pa.binary())], names=names)
+
+    grouped = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "low", "count", "hot")).alias("rows"))
+    return docs.join(grouped, "doc").select("doc", "text", "rows").mapInArrow(run, f"{MARK}, bytes binary")
+
+
+class Shard:
+    """Slices of a shard as one string: a separator behind each, and a last symbol of its own."""
+
+    def __init__(self, store: Store, length: int):
+        self.store, self.length = store, length
+        self.text, self.at, self.doc, self.low, self.count = (Sequence(store, t) for t in (np.int16, np.int64, np.int64, np.int64, np.int64))
+        self.repeated, self.least = Buckets(store), np.zeros(0, np.int64)
+
+    def add(self, doc: np.ndarray, low: np.ndarray, data: np.ndarray, size: np.ndarray) -> None:
+        """More slices, in order of (doc, low)."""
+        self.at.append(len(self.text) + np.cumsum(size + 1) - size - 1)
+        symbols = np.ones(len(data) + len(size), np.int16)
+        symbols[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data.astype(np.int16) + 2
+        self.text.append(symbols)
+        self.doc.append(doc)
+        self.low.append(low)
+        self.count.append(size - self.length + 1)
+
+    def visit(self, position: np.ndarray, common: np.ndarray) -> None:
+        """Of suffixes that share a string all but the first in the text are repeats."""
+        position = np.append(self.least, position)
+        first = np.flatnonzero(np.append(np.ones(len(self.least), bool), common < self.length))
+        lowest = np.minimum.reduceat(position, first)
+        self.least = lowest[-1:]
+        again = position[position != np.repeat(lowest, np.diff(np.append(first, len(position))))]
+        if len(again):
+            block = again // CHUNK
+            for k in np.unique(block).tolist():
+                self.repeated.push(k, again[block == k])
+
+    def repeats(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs (doc, low, count) of strings that start earlier in the shard."""
+        self.text.append(np.zeros(1, np.int16))
+        for x in (self.text, self.at, self.doc, self.low, self.count):
+            x.done()
+        sort_suffixes(self.text, 257, self.length, self.visit, self.store)
+        begin, most = 0, CHUNK // self.length + 3
+        for k in range(len(self.text) // CHUNK + 1):
+            end = min(len(self.at), begin + most)
+            at, doc, low, count = (x.slice(begin, end) for x in (self.at, self.doc, self.low, self.count))
+            frames = list(self.repeated.take(k))
+            if frames:
+                place = np.sort(joined(frames)[0])
+                which = np.searchsorted(at, place, "right") - 1
+                inside = place - at[which] < count[which]  # others run over the end of a slice
+                place, which = place[inside], which[inside]
+                if len(place):
+                    yield merged(doc[which], low[which] + place - at[which], np.ones(len(place), np.int64))
+            begin += max(0, int(np.searchsorted(at, (k + 1) * CHUNK, "right")) - 1)
+
+
+def sort_shards(slices: DataFrame, partitions: int, length: int, root: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [x for x in batches if x.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        by = pa.array(np.lexsort((table["low"].to_numpy(), table["doc"].to_numpy())))
-        table = table.take(by)
-        data, offsets = text_buffer(table["bytes"].combine_chunks())
-        yield marks(*repeated_in(table["doc"].to_numpy(), table["low"].to_numpy().astype(np.int64), data, np.diff(offsets), length))
+        store = Store(root)
+        shard = Shard(store, length)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    data, offsets = text_buffer(batch.column(2))
+                    shard.add(batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), data, np.diff(offsets))
+            if len(shard.text):
+                for found in shard.repeats():
+                    yield marks(*found)
+        finally:
+            store.close()
         tidy()
 
-    return slices.repartition(partitions, "h").mapInArrow(run, MARK)
+    return slices.repartition(partitions, "h").sortWithinPartitions("doc", "low").select("doc", "low", "bytes").mapInArrow(run, MARK)
 
 
 def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -235,8 +298,18 @@ def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str
         ordered = docs.orderBy(F.col("doc").asc_nulls_first(), "text").withColumn("doc", F.monotonically_increasing_id())
         docs = stash.keep(ordered, "ordered")
     settled = stash.keep(settle(slice_rows(docs.select("doc", "text"), length), n), "settled")
-    shards = sort_shards(fetch(docs.select("doc", "text"), settled.where("h is not null"), length), SHARDS * n, length)
-    again = stash.keep(shards.select("doc", "low", "count"), "again")
+    wanted = settled.where("h is not null")
+    hot = stash.keep(wanted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h", F.lit(True).alias("hot")), "hot")
+    anchors = hot.count()
+    wanted = wanted.join(small_or_plain(hot, anchors), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    fetched = fetch(docs.select("doc", "text"), wanted, length)
+    if anchors:
+        fetched = stash.keep(fetched, "fetched")
+    again = sort_shards(fetched.where("bytes is not null"), SHARDS * n, length, f"{stash.root}/sorts").select("doc", "low", "count")
+    if anchors:
+        strings = fetched.where("bytes is null").drop("bytes")
+        again = again.unionAll(settle(strings, n).where("h is null").select("doc", "low", "count"))
+    again = stash.keep(again, "again")
     found = settled.where("h is null").select("doc", "low", "count").unionAll(again)
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("low", "count")).alias("rows"))
     both = docs.join(spans, "doc", "left").select("id", "text", "rows", "carried")

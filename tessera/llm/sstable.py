@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, pieces, ship, text_buffer
+from tessera.llm.common import LOWER, open_store, pieces, ship, text_buffer
 
 MAGIC = b"TSSTAB01"
 FOOTER = struct.Struct("<QQQQIIQ8s")
@@ -233,13 +233,6 @@ def tokenizer_of(model: str) -> WordTokenizer:
     return _TOKENIZERS[model]
 
 
-def open_store(uri: str):
-    """File system and path of a folder that all executors share."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def write(df: DataFrame, model_path: str, to: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
     """Plan that encodes whole texts and writes shards to the shared folder `to`; run it once.
 

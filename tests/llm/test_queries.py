@@ -123,6 +123,26 @@ def test_repeats(spark):
     assert sorted((str(r.doc_id), len(r.kept)) for r in repeats.remove(same).collect()) == sorted([("None", len(want[0][0])), ("5", len(want[1][0])), ("5", len(want[2][0]))])
 
 
+def test_repeats_of_a_hot_anchor(spark, monkeypatch):
+    """A passage that ends in another way in each document: its boundary slices share an anchor and are dealt string by string."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(400))
+    texts = ["".join(rng.choice("klmno ") for _ in range(rng.randint(0, 90))) + passage[: rng.randint(300, 400)] + "".join(rng.choice("pqrst ") for _ in range(rng.randint(0, 150))) for _ in range(120)]
+    want = without_repeats(list(enumerate(texts)))
+    for hot in (3, 1000):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        assert {r.doc_id: (bytes(r.kept), len(r.spans)) for r in repeats.remove(table(spark, texts)).collect()} == want
+
+
+def test_repeats_in_a_text_of_20_mib(spark):
+    rng = np.random.default_rng(3)
+    passage = bytes(rng.integers(97, 123, 700, np.uint8)).decode()
+    long = bytes(rng.integers(97, 123, 17 << 20, np.uint8)).decode()
+    texts = [passage, long + passage[:500] + long[: 3 << 20]]
+    got = {r.doc_id: (len(r.kept), [(x.start, x.end) for x in r.spans]) for r in repeats.remove(table(spark, texts)).collect()}
+    assert got == {0: (700, []), 1: (17 << 20, [(17 << 20, len(texts[1]))])}
+
+
 def test_op6_on_documents(spark):
     want = without_repeats(rows_of(spark))
     for r in queries.op6_suffix_dedup(spark, SF).collect():

@@ -43,13 +43,70 @@ def test_words_equal_the_library():
         assert got == [[*e.ids, 1] for e in t.library.encode_batch([*texts, ""], add_special_tokens=False)]
 
 
-def test_suffix_arrays():
+def common_prefixes(text, order, depth):
+    out = [0]
+    for a, b in zip(order, order[1:]):
+        k = 0
+        while k < depth and max(a, b) + k < len(text) and text[a + k] == text[b + k]:
+            k += 1
+        out.append(k)
+    return out
+
+
+def test_suffix_arrays(tmp_path):
+    """Order and common prefixes: in memory; by recursion down to two names; with queues and sequences of a few hundred bytes on disk."""
     rng = random.Random(3)
-    for _ in range(150):
-        text = [rng.randint(1, rng.choice([1, 2, 5])) for _ in range(rng.randint(0, 60))] + [0]
+    for trial in range(60):
+        text = [rng.randint(1, rng.choice([1, 2, 5, 200])) for _ in range(rng.randint(0, 60))] + [0]
+        if trial % 3 == 0:
+            text = (text[:4] * 12)[:40] + text
+            text = [x or 1 for x in text[:-1]] + [0]
         want = sorted(range(len(text)), key=lambda i: text[i:])
-        for memory, base in ((1 << 20, 1 << 20), (64, 2)):  # in memory; on disk and by recursion
-            assert suffix_array.suffix_array(np.array(text), 1000, memory, base).tolist() == want
+        for memory, base in ((1 << 20, 1 << 20), (1 << 20, 2), (600, 1 << 20), (600, 2)):
+            store = suffix_array.Store(str(tmp_path), memory)
+            order, common = suffix_array.suffix_array(np.array(text), 200, store, base)
+            store.close()
+            assert order.tolist() == want and common.tolist() == common_prefixes(text, want, 200)
+    assert not list(tmp_path.iterdir())
+
+
+def test_suffixes_by_their_first_symbols(tmp_path):
+    rng = random.Random(8)
+    for _ in range(40):
+        text = [rng.randint(1, 2) for _ in range(rng.randint(0, 70))] + [0]
+        depth = rng.choice([3, 6])
+        for memory, base in ((1 << 20, 1 << 20), (600, 2)):
+            store = suffix_array.Store(str(tmp_path), memory)
+            order, common = suffix_array.suffix_array(np.array(text), depth, store, base)
+            store.close()
+            heads = [text[i : i + depth] for i in order]
+            assert heads == sorted(heads) and sorted(order) == list(range(len(text))) and common.tolist() == common_prefixes(text, order, depth)
+
+
+def test_a_shard_beyond_its_memory(tmp_path):
+    """A shard ten times as large as what its queues and sequences may hold gives the same runs."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(97, 123, 8000, np.uint8)
+    cut = [(k, int(a), base[a : a + 168]) for k, a in enumerate(rng.integers(0, 7800, 700))]
+    cut += [(len(cut) + k, 3, rng.integers(97, 99, 168, dtype=np.uint8)) for k in range(20)]
+
+    def runs(memory):
+        store = suffix_array.Store(str(tmp_path), memory)
+        shard = repeats.Shard(store, 100)
+        for doc, low, raw in cut:
+            shard.add(np.array([doc]), np.array([low]), raw, np.array([len(raw)]))
+        found = [x for run in shard.repeats() for x in zip(*(y.tolist() for y in run))]
+        store.close()
+        return sorted({(d, p) for d, a, n in found for p in range(a, a + n)})
+
+    seen, want = set(), []
+    for doc, low, raw in cut:
+        for k in range(69):
+            key = raw[k : k + 100].tobytes()
+            if key in seen:
+                want.append((doc, low + k))
+            seen.add(key)
+    assert runs(64 << 20) == runs(12_000) == want
 
 
 def test_tiles():
