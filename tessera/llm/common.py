@@ -80,10 +80,13 @@ class Stash:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        # shuffle files go when the driver's collector finds that nothing refers to them
+        self.sweep()
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def sweep(self) -> None:
+        """Shuffle files go when the driver's collector finds that nothing refers to them."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str = "") -> None:
         """Delete one table, or all of them."""

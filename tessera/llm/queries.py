@@ -73,10 +73,10 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every whole text under a hierarchical Pitman-Yor model of nine tenths of them."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    chunk = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / 4096))
-    docs = docs.select("doc_id", "text", chunk.alias("chunk"))
+    docs = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    shard = pitman_yor.chunks(docs, "text", F.col("file"), F.col("row"))
     learn = F.coalesce(crc_mod("doc_id", 10) != 0, F.lit(True))
-    scored = pitman_yor.score(docs, learn, shard=F.col("chunk"))
+    scored = pitman_yor.score(docs, learn, shard=shard)
     return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -210,10 +210,56 @@ def test_trees_and_isotonic():
     assert len(toxicity.features(None, {})) == len(toxicity.features("You IDIOT!!! i*iot 1d10t", {"idiot": 2.0})) == len(toxicity.NAMES)
 
 
-def test_seating():
-    count = np.array([1, 2, 50, 10_000, 1])
-    tables = pitman_yor.seat(count, np.full(5, 0.5), 0.5, np.arange(5, dtype=np.uint64), np.ones(5, np.int64), 1)
-    assert (tables >= 1).all() and (tables <= count).all() and tables[3] >= 5 and tables[0] == 1
+def test_seating_is_the_posterior():
+    """After many sweeps, numbers of tables of like dishes are distributed as all seatings say: Gibbs, one customer at a time."""
+    n, customers, pull, slope, discount = 4000, 5, 0.3, 0.1, 0.4
+    key = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(7919)
+    tables, sizes = pitman_yor.first_seats(np.full(n, customers))
+    for sweep in range(12):
+        chance = np.full(n, 1.0)
+        tables, sizes = pitman_yor.seated_again(key, np.full(n, customers), tables, sizes, pull + slope * tables, slope * chance, discount, sweep)
+        assert sizes.sum() == n * customers and (sizes > 0).all()
+    # each part counts alike, once for each labelled set of customers
+    want = {}
+
+    def sets(left):
+        if not left:
+            yield []
+            return
+        for rest in sets(left[1:]):
+            yield [[left[0]], *rest]
+            for k in range(len(rest)):
+                yield [*rest[:k], [left[0], *rest[k]], *rest[k + 1 :]]
+
+    for s in sets(list(range(customers))):
+        w = 1.0
+        for k, block in enumerate(s):
+            w *= pull + slope * k
+            for j in range(1, len(block)):
+                w *= j - discount
+        want[len(s)] = want.get(len(s), 0) + w
+    total = sum(want.values())
+    for t, w in want.items():
+        p = w / total
+        assert abs((tables == t).mean() - p) < 4 * (p * (1 - p) / n) ** 0.5 + 0.01
+
+
+def test_customers_come_and_go():
+    rng = np.random.default_rng(2)
+    have = rng.integers(1, 400, 300)
+    tables, sizes = pitman_yor.first_seats(have)
+    want = np.maximum(1, have + rng.integers(-90, 90, 300))
+    key = np.arange(300, dtype=np.uint64)
+    tables, sizes = pitman_yor.seated_again(key, want, tables, sizes, np.full(300, 0.7), np.full(300, 0.01), 0.5, 3)
+    begin = np.cumsum(tables) - tables
+    assert (np.add.reduceat(sizes, begin) == want).all() and (tables >= 1).all() and (tables <= want).all()
+
+
+def test_lists_as_bytes():
+    rng = np.random.default_rng(4)
+    arrays = [np.sort(rng.integers(0, 1 << 40, 1000).astype(np.uint64)), rng.integers(0, 9, 1000).astype(np.uint8), np.zeros(0, np.uint64), rng.random(7).astype(np.float32), np.array([True, False])]
+    back = pitman_yor.unpack(pitman_yor.pack(*arrays))
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(arrays, back)) and len(pitman_yor.pack(arrays[0])) < 5 * 1000
 
 
 def test_chi_square():
