@@ -6,15 +6,18 @@ matrix projects to DIMENSIONS; squared projected over squared true distance is t
 with as many degrees of freedom. A kd-tree over the projections, split at medians of a sample of at most SAMPLE rows, holds
 every vector; its leaves keep the exact bounds of all their rows.
 
-A query takes leaves in order of projected distance, more in each round, and every vector of a
+A query takes leaves in order of projected distance, FIRST_LEAVES at first and twice as many in each round, and every vector of a
 leaf is verified by its true inner product. It stops when the chi-square test says that a vector as near as
 its k-th best would lie within the leaves taken with probability CONFIDENCE, or when no leaf is left.
 
-Leaves are dealt out in blocks of bounded size, and so are the queries that meet there. Of equal
-vectors only the k + 1 smallest ids can be among the k nearest of any query; others are set aside.
+Leaves are dealt out in blocks of bounded size, and so are the queries that meet there: a leaf is copied as
+often as its queries of a round fill blocks. Of equal vectors only the k + 1 smallest ids can be among the k
+nearest of any query; others are set aside. Inner products of a block come from one matrix product, whose last bits depend
+on its shape; what may be among the k best by them is summed again in the order of the components, so equal vectors tie.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part, neither as query nor candidate; repeated rows count once; ties go to the smaller id; with fewer candidates than k all are returned.
+part, neither as query nor candidate; repeated rows count once; of an id with several vectors the least vector asks, and
+each is a candidate; ties go to the smaller id; with fewer candidates than k all are returned.
 """
 
 from __future__ import annotations
@@ -31,9 +34,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Stash
 
 DIMENSIONS = 8
-SAMPLE = 20_000
+SAMPLE = 1 << 18  # rows whose projections, 64 bytes each, split the tree
 LEAF = 256
-MOST_LEAVES = 1 << 14
+MOST_LEAVES = 1 << 16  # their bounds, 9 MB, go to the driver and with the tasks
+FIRST_LEAVES = 8
+SLACK = 1e-9  # of the product of two norms: far more than a sum in another order differs by
 CONFIDENCE = 0.95
 BLOCK = 8_192  # vectors, and queries, that meet in one group
 
@@ -78,9 +83,9 @@ class Tree:
         return at - (2**self.depth - 1)
 
 
-def grow(sample: np.ndarray, matrix: np.ndarray, norm: float, depth: int) -> Tree:
+def grow(projected: np.ndarray, matrix: np.ndarray, norm: float, depth: int) -> Tree:
     tree = Tree(matrix, norm, np.zeros(2**depth, np.int64), np.zeros(2**depth), depth)
-    rows = {0: tree.project(sample, False)}
+    rows = {0: projected}
     for node in range(2**depth - 1):
         p = rows.pop(node)
         if len(p):
@@ -96,6 +101,14 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed in the order of their components whatever the number of rows."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
 BEST = "array<struct<away:double,vec_id:long>>"
 BEST_ARROW = pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())]))
 
@@ -112,11 +125,18 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
         return spark.createDataFrame([], answer)
     d, n, norm = lengths[0]
     rows = stash.keep(rows.where(F.size("v") == d).dropDuplicates(["vec_id", "v"]), "rows")
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     leaves = max(1, min(MOST_LEAVES, n // LEAF))
     depth = int(leaves).bit_length() - 1
     matrix = np.random.default_rng(seed).standard_normal((d + 1, DIMENSIONS))
-    tree = grow(matrix_of(sample), matrix, norm * (1 + 1e-9), depth)
+    flat = Tree(matrix, norm * (1 + 1e-9), np.zeros(0, np.int64), np.zeros(0), 0)
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = flat.project(matrix_of(batch.column(0)), False) if batch.num_rows else np.zeros((0, DIMENSIONS))
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in p], pa.binary())], names=["p"])
+
+    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(min(SAMPLE, 32 * leaves)).select("v").mapInArrow(projected, "p binary").toArrow()["p"]
+    tree = grow(np.frombuffer(b"".join(sample.to_pylist())).reshape(-1, DIMENSIONS), matrix, flat.norm, depth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,14 +165,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
     number = np.array([r.leaf for r in held], np.int64)
     low = np.array([[r[x] for x in names[:DIMENSIONS]] for r in held])
     high = np.array([[r[x] for x in names[DIMENSIONS:]] for r in held])
-    blocks = {r.leaf: -(-r.n // BLOCK) for r in held}
+    sizes = spark.createDataFrame([(int(r.leaf), -(-r.n // BLOCK)) for r in held], "leaf long, blocks long")
     enough = chi_square_at(CONFIDENCE, DIMENSIONS)
 
-    queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    queries = rows.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     state = stash.keep(queries.withColumn("best", F.expr(f"cast(array() as {BEST})")), "state-0")
-    query_blocks = -(-state.count() // BLOCK) or 1
-    dealt = placed.select("vec_id", "v", "leaf").join(F.broadcast(spark.createDataFrame([(int(a), int(b)) for a, b in blocks.items()], "leaf long, blocks long")), "leaf")
-    dealt = dealt.select("leaf", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"), "vec_id", "v")
 
     def choose(begin: int, end: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +187,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
                     distance = np.maximum(1e-12, 2 * tree.norm**2 - 2 * kth * scale)
                     row, column = np.nonzero(near <= enough * distance[:, None])
                     if len(row):
-                        leaf = number[by[row, column]]
-                        times = np.array([blocks[x] for x in leaf.tolist()])
-                        which = np.repeat(np.arange(len(row)), times)
-                        block = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-                        yield pa.RecordBatch.from_arrays([pa.array(leaf[which]), pa.array(block), part.column(0).take(pa.array(row[which])), part.column(1).take(pa.array(row[which]))], names=["leaf", "block", "query_id", "q"])
+                        yield pa.RecordBatch.from_arrays([pa.array(number[by[row, column]]), part.column(0).take(pa.array(row))], names=["leaf", "query_id"])
 
         return run
 
@@ -185,26 +198,42 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
             x, q = matrix_of(right["v"].combine_chunks()), matrix_of(left["q"].combine_chunks())
             by = np.argsort(ids, kind="stable")
             ids, x = ids[by], x[by]
+            longest = np.sqrt(np.einsum("ij,ij->i", x, x).max())
+            top = min(k, len(ids)) - 1
             for at in range(0, len(q), 512):
-                away = -(q[at : at + 512] @ x.T)
+                block = q[at : at + 512]
+                away = -(block @ x.T)
                 away[asked[at : at + 512, None] == ids] = np.inf
-                # all that tie with the k-th, in order of id: the first k of them
-                kth = np.partition(away, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-                for row, bound in zip(away, kth.tolist()):
-                    near = np.flatnonzero((row <= bound) & np.isfinite(row))
-                    near = near[np.argsort(row[near], kind="stable")[:k]]
-                    out.append([{"away": a, "vec_id": b} for a, b in zip(row[near].tolist(), ids[near].tolist())])
+                slack = SLACK * longest * np.sqrt(np.einsum("ij,ij->i", block, block))
+                near = away <= (np.partition(away, top, axis=1)[:, top] + slack)[:, None]
+                row, column = np.nonzero(near & np.isfinite(away))
+                exact = -dots(block[row], x[column])
+                by = np.lexsort((ids[column], exact, row))
+                row, column, exact = row[by], column[by], exact[by]
+                cut = np.searchsorted(row, np.arange(len(block) + 1))
+                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                    b = min(b, a + k)
+                    out.append([{"away": d, "vec_id": i} for d, i in zip(exact[a:b].tolist(), ids[column[a:b]].tolist())])
         return pa.table({"query_id": pa.array(asked[: len(out)], pa.int64()), "found": pa.array(out, BEST_ARROW)})
 
-    begin, step = 0, max(4, len(held) // 4)
+    begin, step = 0, FIRST_LEAVES
     for turn in range(1, 64):
-        pairs = state.mapInArrow(choose(begin, begin + step), "leaf long, block long, query_id long, q array<double>")
-        pairs = pairs.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
+        pairs = stash.keep(state.mapInArrow(choose(begin, begin + step), "leaf long, query_id long"), f"pairs-{turn}")
+        # (leaf, rows' blocks, queries' blocks): as many rows as leaves
+        shares = pairs.groupBy("leaf").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as long)").alias("parts")).join(F.broadcast(sizes), "leaf")
+        shares = stash.keep(shares, f"shares-{turn}")
+        if shares.isEmpty():  # whoever takes no leaf of a round takes none that lies farther away
+            break
+        split = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+        sent = pairs.join(F.broadcast(shares), "leaf").select("leaf", F.pmod(F.xxhash64("query_id"), "parts").alias("part"), split("blocks", "block"), "query_id")
+        sent = sent.join(state.select("query_id", F.col("v").alias("q")), "query_id")
+        dealt = placed.select("vec_id", "v", "leaf").join(F.broadcast(shares), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block"), split("parts", "part"), "vec_id", "v")
         keys = ["leaf", "block", "part"]
-        found = pairs.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(verify, f"query_id long, found {BEST}")
+        found = sent.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(verify, f"query_id long, found {BEST}")
         merged = found.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
         state = stash.keep(state.join(merged, "query_id", "left").select("query_id", "v", F.slice(F.array_sort(F.concat("best", F.coalesce("found", F.expr(f"cast(array() as {BEST})")))), 1, k).alias("best")), f"state-{turn}")
-        stash.drop(f"state-{turn - 1}")
+        for name in ("state", "pairs", "shares"):
+            stash.drop(f"{name}-{turn - 1}")
         begin, step = begin + step, 2 * step
         if begin >= len(held):
             break

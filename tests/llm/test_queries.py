@@ -1,6 +1,7 @@
 """Operators on small tables against brute force, with nulls, ties, repeats, long texts and odd columns."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -208,13 +209,19 @@ def test_neighbours(spark):
     for r in neighbours.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     y = x.astype(float)
-    hit = 0
+    hit, exact = 0, lambda a, b: float(functools.reduce(lambda t, j: t + a[j] * b[j], range(16), 0.0))
     for q in range(0, 600, 20):
-        s = y @ y[q]
+        s = np.array([exact(y[q], v) for v in y])
         s[q] = -np.inf
         want = np.argsort(-s, kind="stable")[:20]
         hit += len({v for v, _ in got[q]} & set(want.tolist()))
         assert all(abs(score - y[v] @ y[q]) < 1e-9 for v, score in got[q]) and len(got[q]) == 20
+        # of what was found: nearest first, equal scores by id, and of equal vectors the smallest ids
+        assert got[q] == sorted(got[q], key=lambda r: (-r[1], r[0])) and len({s for v, s in got[q] if v == 10 or 300 <= v < 330}) <= 1
+        copies = sorted(v for v, _ in got[q] if v == 10 or 300 <= v < 330)
+        assert copies == [v for v in [10, *range(300, 330)] if v != q][: len(copies)]
+        if set(want.tolist()) == {v for v, _ in got[q]}:
+            assert [v for v, _ in got[q]] == want.tolist() and [score for _, score in got[q]] == s[want].tolist()
     assert set(got) == set(range(0, 600, 20)) and hit / (20 * 30) >= 0.9
     assert neighbours.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert len(neighbours.search(df.where("vec_id < 5"), F.col("vec_id") == 0).collect()) == 4
