@@ -146,6 +146,19 @@ def powers(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every window of `width` values."""
+    n = len(values)
+    if n < width:
+        return values[:0]
+    full = np.full(-(-n // width) * width, np.iinfo(values.dtype).max, values.dtype)
+    full[:n] = values
+    blocks = full.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Running sums whose differences give the hash of any byte range in O(1)."""
     out = np.zeros(len(data) + 1, np.uint64)

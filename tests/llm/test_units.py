@@ -212,7 +212,12 @@ def test_trees_and_isotonic():
 
 def test_seating_is_the_posterior():
     """After many sweeps, numbers of tables of like dishes are distributed as all seatings say: Gibbs, one customer at a time."""
-    n, customers, pull, slope, discount = 4000, 5, 0.3, 0.1, 0.4
+    for customers in (2, 5):
+        seats_of(customers)
+
+
+def seats_of(customers):
+    n, pull, slope, discount = 4000, 0.3, 0.1, 0.4
     key = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(7919)
     tables, sizes = pitman_yor.first_seats(np.full(n, customers))
     for sweep in range(12):
