@@ -132,7 +132,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> LanguageMo
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, lang_pred and score of every row."""
+    """The kept columns, lang_pred and score of every row; these two replace kept ones of their names."""
+    kept = tuple(c for c in kept if c not in ("lang_pred", "score"))
     fields = [docs.schema[c] for c in kept]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     n = len(model.languages)

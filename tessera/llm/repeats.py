@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Stash, pieces, prefix_hashes, range_hashes, small_or_plain, text_buffer, tidy
+from tessera.llm.common import Stash, pieces, prefix_hashes, range_hashes, sliding_least, small_or_plain, text_buffer, tidy
 from tessera.llm.suffix_array import CHUNK, Buckets, Sequence, Store, joined, sort_suffixes
 
 ANCHOR = 32
@@ -45,19 +45,6 @@ SEEN = 200_000  # slices a task remembers to settle copies early; the shuffle se
 HOT = 256  # slices of an anchor that are dealt to one shard; those of others are dealt as strings
 
 
-def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every window of `width` values."""
-    n = len(values)
-    if n < width:
-        return values[:0]
-    full = np.full(-(-n // width) * width, np.iinfo(values.dtype).max, values.dtype)
-    full[:n] = values
-    blocks = full.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
-
-
 def slices_of(texts: pa.Array, length: int) -> tuple[np.ndarray, ...]:
     """Of every slice: text's number, first string's start, number of strings, anchor's hash, slice's hash."""
     data, offsets = text_buffer(texts)

@@ -4,10 +4,12 @@ A text is cut where no vocabulary piece can cross: before a run of spaces and ar
 without a piece of their own. Every distinct segment of a batch is encoded once. Encoding keeps
 all segments of a batch in one flat symbol array; each round ranks all neighbouring pairs, takes
 the segmented minimum of every segment, merges its leftmost occurrence (and further ones as far
-as no merge makes a better pair), and compacts, until no pair remains.
+as no merge makes a better pair), and compacts, until no pair remains. In a long segment the minimum is taken
+around each pair as far as the longest piece reaches: no piece that a better pair elsewhere may grow into can touch
+it before its turn. So distant parts merge side by side, and parts without pairs are closed.
 
 Defined cases: a null or empty text gives only the end id and decodes to ''; other columns pass
-through; ties in rank go to the leftmost pair, as in the library.
+through, those of a result's name are replaced; ties in rank go to the leftmost pair, as in the library.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import pieces, ship, text_buffer, tidy
+from tessera.llm.common import pieces, ship, sliding_least, text_buffer, tidy
 
 NO_RANK = np.iinfo(np.int32).max
+LONG = 400  # symbols from which a segment is merged by neighbourhoods
 CACHE_SEGMENTS = 600_000  # bounds a Python worker's memory; results don't depend on it
 _MODELS: dict[bytes, PieceModel] = {}
 
@@ -51,6 +54,7 @@ class PieceModel:
         for p, i in normal.items():
             if len(p) == 1:
                 self.char_id[ord(p)] = i
+        self.reach = 2 * max(len(p) for p in normal) + 2
         left, right, made = [], [], []
         for p, i in normal.items():
             for cut in range(1, len(p)):
@@ -90,6 +94,11 @@ class PieceModel:
         # characters outside the vocabulary: minus (code point + 2)
         sym = np.where(sym < 0, -(code.astype(np.int32)) - 2, sym)
         done_sym, done_word = [], []
+        for k in np.flatnonzero(size > LONG).tolist():
+            done_sym.append(self.merged_apart(sym[word == k]))
+            done_word.append(np.full(len(done_sym[-1]), k, np.int64))
+        short = size[word] <= LONG
+        sym, word = sym[short], word[short]
         while len(sym):
             made, rank = self.pairs(sym[:-1], sym[1:])
             rank[word[1:] != word[:-1]] = NO_RANK
@@ -103,6 +112,7 @@ class PieceModel:
                 done_sym.append(sym[~open_])
                 done_word.append(word[~open_])
                 if not open_.any():
+                    sym, word = sym[:0], word[:0]
                     break
                 sym, word, rank, best_here = sym[open_], word[open_], rank[open_], best_here[open_]
                 made = np.append(made, -1)[open_]
@@ -136,7 +146,7 @@ class PieceModel:
             keep = np.ones(len(sym), bool)
             keep[go + 1] = False
             sym, word = sym[keep], word[keep]
-        sym, word = np.concatenate(done_sym) if done_sym else sym, np.concatenate(done_word) if done_word else word
+        sym, word = np.concatenate([*done_sym, sym]), np.concatenate([*done_word, word])
         by = np.argsort(word, kind="stable")
         sym, word = sym[by], word[by]
         if (sym < 0).any():
@@ -145,6 +155,54 @@ class PieceModel:
         held = sym.astype(np.int32).tobytes()
         return [held[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
+    def merged_apart(self, sym: np.ndarray) -> np.ndarray:
+        """Symbols of one long segment after all merges; each round merges every pair that is the best within reach."""
+        place, near = np.arange(len(sym)), self.reach
+        made, rank = (np.append(x, y) for x, y in zip(self.pairs(sym[:-1], sym[1:]), (-1, NO_RANK)))
+        rank = rank.astype(np.int32)
+        joined = np.append(np.ones(len(sym) - 1, bool), False)  # to the next symbol of the array
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        pad = np.full(near, NO_RANK, np.int32)
+        while True:
+            low = sliding_least(np.concatenate([pad, rank, pad]), 2 * near + 1)
+            live = low < NO_RANK
+            if not live.all():
+                live[1:] |= live[:-1]
+                done.append((place[~live], sym[~live]))
+                if not live.any():
+                    break
+                joined = (joined & np.append(live[1:], False))[live]
+                sym, place, rank, made, low = (x[live] for x in (sym, place, rank, made, low))
+            hit = np.flatnonzero((rank == low) & (rank < NO_RANK))
+            run = np.flatnonzero(np.append(True, np.diff(hit) > 1))
+            within = np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))
+            hit = hit[within % 2 == 0]
+            new = made[hit]
+            joins = np.append(False, hit[1:] == hit[:-1] + 2)
+            left = np.where(joins, np.append(-1, new[:-1]), sym[np.maximum(0, hit - 1)])
+            left = np.where((hit > 0) & joined[np.maximum(0, hit - 1)], left, -1)
+            right = np.where(joined[hit + 1], sym[np.minimum(hit + 2, len(sym) - 1)], -1)
+            worse = np.minimum(self.pairs(left, new)[1], self.pairs(new, right)[1]) < rank[hit]
+            # of equal pairs within reach the left one comes first: whoever is right of one that has to wait,
+            # or of a merge that makes a better pair, waits too
+            held_up = sliding_least(np.append(pad, np.where(rank > low, rank, NO_RANK).astype(np.int32)), near + 1)[hit] == rank[hit]
+            lead = np.flatnonzero(np.append(True, np.diff(hit) > near))
+            ahead = np.cumsum(worse) - worse + np.cumsum(held_up)
+            base = (ahead - held_up)[lead]
+            go = hit[ahead == np.repeat(base, np.diff(np.append(lead, len(hit))))]
+            sym[go] = made[go]
+            joined[go] = joined[go + 1]
+            keep = np.ones(len(sym), bool)
+            keep[go + 1] = False
+            fresh = np.zeros(len(sym), bool)
+            fresh[go] = True
+            sym, place, rank, made, joined, fresh = (x[keep] for x in (sym, place, rank, made, joined, fresh))
+            again = np.flatnonzero(fresh | np.append(fresh[1:], False))
+            after = np.minimum(again + 1, len(sym) - 1)
+            made[again], rank[again] = self.pairs(sym[again], np.where(joined[again], sym[after], -1))
+        place, sym = (np.concatenate(x) for x in zip(*done))
+        return sym[np.argsort(place)]
+
     def fall_back(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Replace characters outside the vocabulary by the ids of their UTF-8 bytes."""
         code = np.where(sym < 0, -(sym.astype(np.int64)) - 2, 0)
@@ -225,6 +283,7 @@ def model_of(proto: bytes) -> PieceModel:
 def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the ids of its whole texts; the model file is read by the driver and sent with the tasks."""
     ship(df.sparkSession)
+    df = df.drop(ids)
     with open(model_path, "rb") as f:
         proto = f.read()
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
@@ -244,6 +303,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text of its ids; null ids decode to ''."""
     ship(df.sparkSession)
+    df = df.drop(text)
     with open(model_path, "rb") as f:
         proto = f.read()
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType(), False)])
@@ -267,7 +327,7 @@ def round_trip(df: DataFrame, model_path: str, text: str = "text", ids: str = "i
     ship(df.sparkSession)
     with open(model_path, "rb") as f:
         proto = f.read()
-    kept = [f for f in df.schema.fields if f.name != text]
+    kept = [f for f in df.schema.fields if f.name not in (text, ids, decoded, "same")]
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.StringType(), False), T.StructField("same", T.BooleanType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -231,8 +231,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """docs with the toxicity of their whole texts in a column `toxicity`."""
+    """docs with the toxicity of their whole texts in a column `toxicity`, which replaces one of that name."""
     ship(docs.sparkSession)
+    docs = docs.drop("toxicity")
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

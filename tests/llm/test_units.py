@@ -2,12 +2,13 @@
 
 import io
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import decontaminate, ngram_join, neighbours, pitman_yor, repeats, sstable, suffix_array, toxicity, warc
+from tessera.llm import decontaminate, ngram_join, neighbours, pitman_yor, repeats, sentencepiece_codec, sstable, suffix_array, toxicity, warc
 from tessera.llm.queries import PIECE_MODEL, WORD_MODEL, tokenizer_path
 from tessera.llm.sentencepiece_codec import PieceModel
 
@@ -31,6 +32,20 @@ def test_pieces_equal_the_library(pieces):
         assert decoded[k] == pieces.sp.decode(want)
 
 
+def test_long_segments_equal_the_library(pieces, monkeypatch):
+    """Neighbourhoods merge side by side: as the library does, on runs, on letters without a space, on short texts too."""
+    rng = random.Random(4)
+    texts = ["a" * 9001, "ab" * 4000, "abcab" * 2000, "the" * 5000, "." * 999 + "-" * 700 + "=" * 77 + "_" * 500, "".join(rng.choice("0011223456789") for _ in range(9000))]
+    texts += ["".join(rng.choice(rng.choice(["ab", "aab", "etaoin", "inghte", "...-", "é漢a", "abcdefghijklmnopqrstuvwxyz"])) for _ in range(rng.randint(401, 3000))) for _ in range(25)]
+    texts += ["".join(rng.choice("etaoin.-") for _ in range(rng.randint(4, 60))) for _ in range(400)] + ["a" * n for n in range(1, 120)]
+    for limit in (sentencepiece_codec.LONG, 3):
+        monkeypatch.setattr(sentencepiece_codec, "LONG", limit)
+        pieces.young, pieces.old = {}, {}
+        flat, offsets = pieces.encode_texts(texts)
+        for k, want in enumerate(pieces.sp.encode(texts)):
+            assert flat[offsets[k] : offsets[k + 1]].tolist() == [*want, pieces.eos]
+
+
 def test_words_equal_the_library():
     with open(tokenizer_path(WORD_MODEL), encoding="utf-8") as f:
         t = sstable.WordTokenizer(f.read())
@@ -134,6 +149,40 @@ def test_tiles():
         assert all(item[i : i + n] == text[j : j + n] for i, j, n in tiles)
 
 
+def test_tiles_of_repetitive_texts():
+    """Thousands of equal words: as many tiles as fit, in little time."""
+    one = np.full(20_000, 7, np.uint64)
+    began = time.time()
+    tiles = decontaminate.tiles_of(one[:200], one, 4)
+    assert sum(n for _, _, n in tiles) == 200 and time.time() - began < 20
+    rng = np.random.default_rng(1)
+    tiles = decontaminate.tiles_of(rng.integers(0, 3, 300).astype(np.uint64), rng.integers(0, 3, 6000).astype(np.uint64), 4)
+    assert sum(n for _, _, n in tiles) >= 280 and time.time() - began < 40
+
+
+def test_matches_equal_brute_force():
+    """Every text against every item, by tiles over whole sequences."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(12)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 30)))) for k in range(25)] + [(90, ""), (91, "w1 w2 w3")]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))) for _ in range(40)] + [None]
+    for k in range(20):  # passages cut in three and put together in another order
+        w = rng.choice(items[:25])[1].split()
+        a, b = sorted(rng.randint(0, len(w)) for _ in range(2))
+        texts.append(" ".join([*w[b:], "zz", *w[:a], "yy", *w[a:b]]))
+    words = lambda t: np.array([hash(x) & (1 << 62) - 1 for x in (t or "").split()], np.uint64)
+    want = {}
+    for t, text in enumerate(texts):
+        for i, item in items:
+            w = words(item)
+            if len(w):
+                covered = sum(n for _, _, n in decontaminate.tiles_of(w, words(text), min(4, len(w))))
+                if covered >= 0.5 * len(w):
+                    want[t, i] = covered
+    got = {(t, r["item_id"]): r["covered"] for t, r in decontaminate.Benchmark(items).match(texts, 0.5)}
+    assert got == want and len(want) > 20
+
+
 def test_reordered_passages():
     item = "one two three four five six. seven eight nine ten eleven twelve"
     b = decontaminate.Benchmark([(7, item), (8, "short one"), (9, "")])
