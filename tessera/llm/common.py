@@ -234,4 +234,6 @@ def components(stash: Stash, links: DataFrame, name: str) -> DataFrame:
         held = new.select("a", "b")
         if not moved:
             break
+    else:
+        raise RuntimeError("components did not settle")
     return held.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -41,6 +41,7 @@ COUNTED = 2 << 20  # n-grams that a task holds before it counts them
 BLOCKS = 64
 FRAGMENTS = 4
 BLOCK_SETS = 256
+MANY = 200  # copies of a class that are joined by its hash whatever the size of a partition
 SHINGLE_BASE = 0xD1342543DE82EF95
 
 
@@ -280,7 +281,14 @@ def join(docs: DataFrame, width: int = 5, share: int = 75, doc_id: str = "doc_id
     rows = scanned.where("block is null").select("doc", "n", "s1", "s2")
     named = rows.where("n > 0 and doc is not null")
     classes = named.groupBy("s1", "s2", "n").agg(F.min("doc").alias("head"), F.count("*").alias("copies")).where("copies > 1")
-    copies = stash.keep(named.join(classes, ["s1", "s2", "n"]).select("doc", "head").distinct(), "copies")
+    classes = stash.keep(classes, "classes")
+    # a class of a third of all rows isn't read by one task: classes above a share of a partition are sent to the rows, ten a partition at most
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share_of = max(MANY, named.count() // (10 * parts))
+    key = ["s1", "s2", "n"]
+    marked = named.join(F.broadcast(classes.where(F.col("copies") > share_of).select(*key, F.col("head").alias("hot"))), key, "left")
+    plain = marked.where("hot is null").join(classes.where(F.col("copies") <= share_of), key).select("doc", "head")
+    copies = stash.keep(marked.where("hot is not null").select("doc", F.col("hot").alias("head")).unionAll(plain).distinct(), "copies")
 
     def headed(pairs: DataFrame) -> DataFrame:
         """Pairs between the first documents of their classes; members of one class need none."""
