@@ -58,6 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one is set only where there is none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -84,7 +86,11 @@ class Stash:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def sweep(self) -> None:
-        """Shuffle files go when the driver's collector finds that nothing refers to them."""
+        """Shuffle files go when the driver's collector finds that nothing refers to them.
+
+        Listeners hold the last query that ended, so one without a shuffle ends first.
+        """
+        self.spark.range(1).collect()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
