@@ -6,6 +6,7 @@ Tables that a change touches are checkpointed, so that plans of long edits stay
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 from typing import Any
 
@@ -17,6 +18,18 @@ from tessera.operators import algebra, attrs, build, dispatch, history, indices,
 from tessera.operators.spectral import cut
 from tessera.sources import native
 
+
+def told(x: Any) -> Any:
+    """An argument as the log keeps it: frames by their columns, other values as they are."""
+    if isinstance(x, DataFrame):
+        return {"frame": x.columns}
+    if isinstance(x, (str, int, float, bool, type(None))):
+        return x
+    if isinstance(x, dict):
+        return {str(k): told(v) for k, v in x.items()}
+    return [told(v) for v in x] if isinstance(x, (list, tuple, set)) else str(x)
+
+
 class Namespace:
     """Operators of a module with the graph put in first; those that return a graph change it."""
 
@@ -29,7 +42,7 @@ class Namespace:
         def call(*args, **kwargs):
             out = f(self._owner.value, *args, **kwargs)
             if isinstance(out, Graph):
-                self._owner._set(out, name)
+                self._owner._set(out, name, args=[told(x) for x in args], **{k: told(x) for k, x in kwargs.items()})
                 return self._owner
             return out
 
@@ -95,12 +108,13 @@ class Sequence:
 
 
 class AnnotatedGraph:
-    def __init__(self, spark: SparkSession, directed: bool | None = None, aspects: dict[str, list[str]] | None = None, value: Graph | None = None, log: bool = False, **uns):
+    def __init__(self, spark: SparkSession, directed: bool | None = None, aspects: dict[str, list[str]] | None = None, value: Graph | None = None, log: bool = True, **uns):
         self.spark, self._log = spark, log
         self.value = value or empty(spark, directed, **uns)
         if aspects:
             self.value = layers.set_aspects(self.value, aspects)
         self.cache = indices.Kept()
+        self._next = 0
 
     def _set(self, value: Graph, op: str = "edit", **payload) -> None:
         value = history.log(value, op, **payload) if self._log else value
@@ -148,7 +162,7 @@ class AnnotatedGraph:
             nodes = [nodes] if isinstance(nodes, (str, dict, tuple)) else list(nodes)
             rows = [{"node_id": n} if isinstance(n, str) else {"node_id": n[0], **n[1]} if isinstance(n, tuple) else dict(n) for n in nodes]
             nodes = self._frame([common | r for r in rows])
-        self._set(build.add_nodes(self.value, nodes, slice), "add_nodes")
+        self._set(build.add_nodes(self.value, nodes, slice), "add_nodes", columns=nodes.columns, slice=slice)
         return self
 
     def add_edges(self, *args: Any, slice: str | None = None, **fields) -> AnnotatedGraph:
@@ -162,11 +176,20 @@ class AnnotatedGraph:
                 found = [dict(zip(("source", "target", "weight"), e)) | fields if isinstance(e, (tuple, list)) else fields | dict(e) for e in args[0]]
             else:
                 found = [fields]
-            start = self.value.edges.count() if any("edge_id" not in r for r in found) else 0
-            rows = self._frame([{"edge_id": f"edge_{start + k}"} | r for k, r in enumerate(found)])
-        self._set(build.add_edges(self.value, rows, slice), "add_edges")
+            start = self._numbers(sum("edge_id" not in r for r in found))
+            own = (f"edge_{k}" for k in itertools.count(start))
+            rows = self._frame([r if "edge_id" in r else {"edge_id": next(own)} | r for r in found])
+        self._set(build.add_edges(self.value, rows, slice), "add_edges", columns=rows.columns, slice=slice)
         return self
 
+    def _numbers(self, n: int) -> int:
+        """The first of n numbers for edges; none is given twice, whatever was removed in between."""
+        if n:
+            number = F.expr(r"try_cast(regexp_extract(edge_id, '^edge_([0-9]{1,18})$', 1) as bigint)")
+            last = self.value.edges.agg(F.max(number)).first()[0]
+            self._next = max(self._next, 0 if last is None else last + 1) + n
+        return self._next - n
+
     def _frame(self, rows: list[dict]) -> DataFrame:
         """A frame of dictionaries; ints stay ints, absent keys are null."""
         from pyspark.sql import types as T
@@ -200,11 +223,11 @@ class AnnotatedGraph:
         return self.spark.createDataFrame([tuple(cell(r.get(n), kinds[n]) for n in names) for r in rows], T.StructType([T.StructField(n, kinds[n]) for n in names]))
 
     def remove_nodes(self, ids: DataFrame | str | Iterable[str], errors: str = "raise") -> AnnotatedGraph:
-        self._set(algebra.remove_nodes(self.value, self._ids(ids, "node_id"), errors), "remove_nodes")
+        self._set(algebra.remove_nodes(self.value, self._ids(ids, "node_id"), errors), "remove_nodes", ids=told(ids), errors=errors)
         return self
 
     def remove_edges(self, ids: DataFrame | str | Iterable[str], errors: str = "raise") -> AnnotatedGraph:
-        self._set(algebra.remove_edges(self.value, self._ids(ids, "edge_id"), errors), "remove_edges")
+        self._set(algebra.remove_edges(self.value, self._ids(ids, "edge_id"), errors), "remove_edges", ids=told(ids), errors=errors)
         return self
 
     def remove_orphans(self) -> int:
@@ -217,11 +240,11 @@ class AnnotatedGraph:
         return ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(x,) for x in ([ids] if isinstance(ids, str) else ids)], f"{name} string")
 
     def make_undirected(self, **kw) -> AnnotatedGraph:
-        self._set(algebra.make_undirected(self.value, **kw), "make_undirected")
+        self._set(algebra.make_undirected(self.value, **kw), "make_undirected", **kw)
         return self
 
     def set_node_key(self, *fields: str) -> AnnotatedGraph:
-        self._set(build.set_node_key(self.value, *fields), "set_node_key")
+        self._set(build.set_node_key(self.value, *fields), "set_node_key", fields=list(fields))
         return self
 
     def get_or_create_node_by_attrs(self, **values) -> str:
@@ -230,6 +253,36 @@ class AnnotatedGraph:
         self._set(g, "get_or_create")
         return node_id
 
+    # edits in place
+
+    def rename_node(self, old: str, new: str) -> AnnotatedGraph:
+        self._set(algebra.rename_nodes(self.value, self.spark.createDataFrame([(old, new)], "node_id string, new_id string")), "rename_node", old=old, new=new)
+        return self
+
+    def set_weight(self, edge_id: str, weight: float) -> AnnotatedGraph:
+        self._set(algebra.set_weights(self.value, self.spark.createDataFrame([(edge_id, float(weight))], "edge_id string, weight double")), "set_weight", edge_id=edge_id, weight=weight)
+        return self
+
+    def set_direction(self, edge_id: str, directed: bool) -> AnnotatedGraph:
+        self._set(algebra.set_directions(self.value, self.spark.createDataFrame([(edge_id, directed)], "edge_id string, directed boolean")), "set_direction", edge_id=edge_id, directed=directed)
+        return self
+
+    def memory_usage(self) -> dict[str, int]:
+        """Bytes that the optimiser expects of each table."""
+        return {t: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t, df in self.value.tables.items()}
+
+    def mark(self, label: str) -> AnnotatedGraph:
+        """A named event in the log."""
+        self.value = self.value.having(history=cut(history.log(self.value, "mark", label=label).history))
+        return self
+
+    def clear_history(self) -> AnnotatedGraph:
+        self.value = self.value.having(history=self.value.history.limit(0))
+        return self
+
+    def list_snapshots(self) -> list[tuple[str, int, int]]:
+        return [tuple(r) for r in history.snapshots(self.value).orderBy("version", "label").collect()]
+
     # single elements
 
     def neighbors(self, node_id: str, direction: str = "both") -> list[str]:
@@ -303,7 +356,9 @@ class AnnotatedGraph:
         return self.remove_edges(query.edges_between(self.value, pairs).select("edge_id"))
 
     def _with(self, value: Graph) -> AnnotatedGraph:
-        return AnnotatedGraph(self.spark, value=value, log=self._log)
+        out = AnnotatedGraph(self.spark, value=value, log=self._log)
+        out._next = self._next
+        return out
 
     def __or__(self, other: AnnotatedGraph) -> AnnotatedGraph:
         return self._with(algebra.union(self.value, other.value))

@@ -29,7 +29,7 @@ def words(column: Column) -> Column:
     """Array of a list cell: a JSON array, or parts between bars, semicolons or commas."""
     text = F.trim(column.cast("string"))
     parts = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.split(text, LIST_SEPARATORS))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")  # trim alone would take the index for what to cut off
 
 
 def layer_id(layer: Column) -> Column:

@@ -24,10 +24,9 @@ def kept(g: Graph, edges: DataFrame, nodes: DataFrame) -> Graph:
 
 def closed_edges(g: Graph, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Edges whose members are all among nodes; edges but hyperedges need both sides."""
-    outside = g.members.join(nodes.select("node_id").distinct(), "node_id", "left_anti").select("edge_id").distinct()
-    inner = g.edges.join(outside, "edge_id", "left_anti")
-    two = g.members.groupBy("edge_id").agg(F.bool_or(F.col("role") == TARGET).alias("t"), F.bool_or(F.col("role") != TARGET).alias("s"))
-    inner = inner.join(two, "edge_id").where((F.col("kind") == HYPER) | (F.col("s") & F.col("t"))).select("edge_id")
+    marked = g.members.select("edge_id", "node_id", "role").join(nodes.select("node_id", F.lit(True).alias("in")).distinct(), "node_id", "left")
+    sides = marked.groupBy("edge_id").agg(F.bool_and(F.coalesce("in", F.lit(False))).alias("all"), F.bool_or(F.col("role") == TARGET).alias("t"), F.bool_or(F.col("role") != TARGET).alias("s"))
+    inner = g.edges.select("edge_id", "kind").join(sides.where("all"), "edge_id").where((F.col("kind") == HYPER) | (F.col("s") & F.col("t"))).select("edge_id")
     return inner if edges is None else inner.join(edges.select("edge_id").distinct(), "edge_id", "left_semi")
 
 
@@ -161,6 +160,39 @@ def set_coefficients(g: Graph, rows: DataFrame) -> Graph:
     return g.having(members=members, edges=edges)
 
 
+def rename_nodes(g: Graph, names: DataFrame) -> Graph:
+    """Nodes under other names (node_id, new_id), in all tables; a new name that is there already is an error."""
+    names = names.select("node_id", "new_id").distinct()
+    kept = g.entities.select("node_id").distinct().join(names, "node_id", "left").select(F.coalesce("new_id", "node_id").alias("node_id"))
+    clash = kept.groupBy("node_id").count().where("count > 1").limit(5).collect()
+    unknown = names.join(g.entities.select("node_id"), "node_id", "left_anti").limit(5).collect()
+    if clash or unknown:
+        raise ValueError(f"names that are taken: {[r.node_id for r in clash]}, unknown nodes: {[r.node_id for r in unknown]}")
+
+    def renamed(df: DataFrame) -> DataFrame:
+        return df.join(names, "node_id", "left").withColumn("node_id", F.coalesce("new_id", "node_id")).select(*df.columns)
+
+    return g.having(**{t: renamed(g.tables[t]) for t in ("entities", "members", "node_attrs", "slice_nodes", "node_layer_attrs")})
+
+
+def set_weights(g: Graph, rows: DataFrame) -> Graph:
+    """Other base weights (edge_id, weight); coefficients that aren't explicit follow."""
+    new = rows.select("edge_id", F.col("weight").cast("double").alias("w"))
+    edges = g.edges.join(new, "edge_id", "left")
+    scale = edges.where("w is not null and not explicit").select("edge_id", "w")
+    members = g.members.join(scale, "edge_id", "left").withColumn("coef", F.when(F.col("w").isNotNull(), F.when(F.col("coef") < 0, -F.col("w")).otherwise(F.col("w"))).otherwise(F.col("coef")))
+    return g.having(edges=edges.withColumn("weight", F.coalesce("w", "weight")).select(*g.edges.columns), members=members.select(*g.members.columns))
+
+
+def set_directions(g: Graph, rows: DataFrame) -> Graph:
+    """Declared directions (edge_id, directed) of edges that are no hyperedges; a policy of theirs is dropped, coefficients follow."""
+    edges = g.edges.join(rows.select("edge_id", F.col("directed").alias("d")), "edge_id", "left").withColumn("d", F.when(F.col("kind") != HYPER, F.col("d")))
+    sign = edges.where("d is not null and not explicit").select("edge_id", "d", F.col("weight").alias("w"))
+    members = g.members.join(sign, "edge_id", "left").withColumn("coef", F.when(F.col("d").isNull(), F.col("coef")).when(F.col("d") & (F.col("role") == TARGET), -F.col("w")).otherwise(F.col("w")))
+    policy = F.when(F.col("d").isNull(), F.col("policy"))
+    return g.having(edges=edges.withColumn("policy", policy).withColumn("declared_directed", F.coalesce("d", "declared_directed")).select(*g.edges.columns), members=members.select(*g.members.columns))
+
+
 def structural_hash(g: Graph) -> int:
     """A number that depends on nodes, edges, members and weights, and on no order."""
     parts = (g.entities.select("node_id", "layer", "kind"), g.edges.select("edge_id", "kind", "declared_directed", "weight"), g.members.select("edge_id", "node_id", "layer", "role", "coef"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +31,12 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return ids.join(held.select(F.col("a").alias("node_id"), F.col("b").alias("component")), "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
-def bfs_levels(edges: DataFrame, starts: DataFrame, directed: bool = True, most: int = 1_000) -> DataFrame:
-    """(node_id, level): fewest steps from any start; nodes out of reach are left out."""
+def bfs_levels(edges: DataFrame, starts: DataFrame, directed: bool = True, most: int | None = None) -> DataFrame:
+    """(node_id, level): fewest steps from any start, below `most` if given; nodes out of reach are left out."""
     pairs = edges.select("source", "target").distinct() if directed else both_ways(edges)
     seen = cut(starts.select("node_id", F.lit(0).alias("level")).distinct())
     front = seen
-    for level in range(1, most):
+    for level in itertools.count(1) if most is None else range(1, most):
         ahead = front.join(pairs, front.node_id == pairs.source).select(F.col("target").alias("node_id")).distinct().join(seen, "node_id", "left_anti")
         front = cut(ahead.withColumn("level", F.lit(level)))
         if front.isEmpty():
@@ -60,10 +62,11 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
 
 def triangles(edges: DataFrame) -> DataFrame:
     """(node_id, triangles): each edge runs from its end of lower degree, so a hub opens few wedges."""
-    pairs = both_ways(edges)
+    pairs = cut(both_ways(edges))
     degree = pairs.groupBy("source").agg(F.count("*").alias("d"))
     rows = pairs.where("source < target").join(degree, "source").join(degree.toDF("target", "e"), "target")
     low = rows.select(F.when(F.struct("d", "source") < F.struct(F.col("e").alias("d"), F.col("target").alias("source")), F.struct(F.col("source").alias("a"), F.col("target").alias("b"))).otherwise(F.struct(F.col("target").alias("a"), F.col("source").alias("b"))).alias("x")).select("x.a", "x.b")
+    low = cut(low)
     wedges = low.join(low.select("a", F.col("b").alias("c")), "a").where("b <> c")
     closed = wedges.join(low.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"])
     corner = closed.select(F.explode(F.array("a", "b", "c")).alias("node_id"))
@@ -77,14 +80,14 @@ def degree_centrality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(ends, "node_id", "left").select("node_id", (F.coalesce("d", F.lit(0)) / max(1, n - 1)).alias("value"))
 
 
-def shortest_paths(edges: DataFrame, start: str, rounds: int = 100) -> DataFrame:
-    """(node_id, distance) by relaxation over edges (source, target, weight) with weights of 0 or more."""
+def shortest_paths(edges: DataFrame, start: str) -> DataFrame:
+    """(node_id, distance) by relaxation over edges (source, target, weight) with weights of 0 or more, until nothing gets shorter."""
     links = cut(edges.groupBy("source", "target").agg(F.min("weight").alias("weight")))
-    best = cut(links.sparkSession.createDataFrame([(start, 0.0)], "node_id string, distance double"))
-    for _ in range(rounds):
-        ahead = best.join(links, best.node_id == links.source).select(F.col("target").alias("node_id"), (F.col("distance") + F.col("weight")).alias("distance"))
-        new = cut(best.unionByName(ahead).groupBy("node_id").agg(F.min("distance").alias("distance")))
-        if new.exceptAll(best).isEmpty():
-            break
-        best = new
-    return best
+    if not links.where("weight < 0").isEmpty():
+        raise ValueError("weights below 0")
+    best = cut(links.sparkSession.createDataFrame([(start, 0.0, True)], "node_id string, distance double, fresh boolean"))
+    while not best.where("fresh").isEmpty():  # only what got shorter in a round reaches further
+        ahead = best.where("fresh").join(links, F.col("node_id") == F.col("source")).select(F.col("target").alias("node_id"), (F.col("distance") + F.col("weight")).alias("distance"), F.lit(True).alias("fresh"))
+        both = best.withColumn("fresh", F.lit(False)).unionByName(ahead)
+        best = cut(both.groupBy("node_id").agg(F.min("distance").alias("distance"), F.min(F.when(~F.col("fresh"), F.col("distance"))).alias("old")).select("node_id", "distance", F.coalesce(F.col("distance") < F.col("old"), F.lit(True)).alias("fresh")))
+    return best.drop("fresh")

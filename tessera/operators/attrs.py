@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import known
-from tessera.model import HYPER, KEYS, STUB, TARGET, Graph
+from tessera.model import KEYS, TARGET, Graph
 from tessera.operators.build import check_names, upsert
 
 CONTEXTS = ("slices", "edge_slice_attrs", "node_layer_attrs", "aspects", "layer_attrs", "elem_layers")
@@ -98,7 +98,3 @@ def flexible(g: Graph) -> Graph:
 def public(df: DataFrame) -> DataFrame:
     """Without private columns (two leading underscores)."""
     return df.drop(*(c for c in df.columns if c.startswith("__")))
-
-
-def structural_columns(g: Graph) -> Column:
-    return (F.col("kind") != STUB) & (F.col("kind") != HYPER)

@@ -88,8 +88,9 @@ def add_edges(g: Graph, edges: DataFrame, slice: str | None = None) -> Graph:
 
     Shapes by columns: source, target (with source_layer, target_layer); members; head, tail (head is the
     source side); coefs, a map of signed coefficients (those above 0 are targets). Others: edge_id, weight, directed, as_entity,
-    policy, slice, slice_weight, ord; the rest are attributes. Of rows with one identifier the last by ord wins. Endpoints
-    that are missing become nodes; an identifier given again replaces the edge but keeps its policy.
+    policy, slice, slice_weight, ord; the rest are attributes. Of rows with one identifier the last by ord wins, without
+    an ord the greatest as text. Rows without identifiers are named by their ends, source→target; parallel ones get #1, #2 and so on,
+    behind those that are there. Endpoints that are missing become nodes; an identifier given again replaces the edge but keeps its policy.
     """
     have = set(edges.columns)
     shape = {"edge_id", "source", "target", "source_layer", "target_layer", "members", "head", "tail", "coefs", "weight", "directed", "as_entity", "policy", "slice", "slice_weight", "ord"}
@@ -120,7 +121,7 @@ def add_edges(g: Graph, edges: DataFrame, slice: str | None = None) -> Graph:
     hyper = (F.col("members").isNotNull() if "members" in have else F.lit(False)) | (F.col("head").isNotNull() if "head" in have else F.lit(False)) | (F.col("coefs").isNotNull() if "coefs" in have else F.lit(False))
     rows = edges.select(
         *(F.col(c) for c in attrs),
-        (F.col("edge_id").cast("string") if "edge_id" in have else F.concat_ws("→", *(F.col(c).cast("string") for c in ("source", "target") if c in have))).alias("edge_id"),
+        (F.col("edge_id").cast("string") if "edge_id" in have else F.lit(None).cast("string")).alias("edge_id"),
         nonempty(F.coalesce(side("head"), side("members"), first, ends("source"))).alias("side_a"),
         nonempty(F.coalesce(side("tail"), second, ends("target"))).alias("side_b"),
         hyper.alias("hyper"),
@@ -133,8 +134,15 @@ def add_edges(g: Graph, edges: DataFrame, slice: str | None = None) -> Graph:
         col("slice_weight", "double").alias("slice_weight"),
         col("ord", "long").alias("ord"),
     )
-    if "ord" in have:
-        last = Window.partitionBy("edge_id").orderBy(F.desc_nulls_last("ord"))
+    as_text = F.to_json(F.struct(*(c for c in rows.columns if not c.startswith("_"))))
+    if "edge_id" not in have:
+        ids = lambda c: F.array_join(F.transform(c, lambda e: e["node_id"]), "+")
+        rows = rows.withColumn("edge_id", F.concat_ws("→", ids("side_a"), ids("side_b")))
+        taken = g.edges.select(F.regexp_replace("edge_id", "#[0-9]{1,9}$", "").alias("edge_id"), F.expr("coalesce(try_cast(regexp_extract(edge_id, '#([0-9]{1,9})$', 1) as int), 0) + 1").alias("_t")).groupBy("edge_id").agg(F.max("_t").alias("_t"))
+        number = F.coalesce("_t", F.lit(0)) + F.row_number().over(Window.partitionBy("edge_id").orderBy(F.asc_nulls_last("ord"), as_text)) - 1
+        rows = rows.join(taken, "edge_id", "left").withColumn("_k", number).withColumn("edge_id", F.when(F.col("_k") > 0, F.concat_ws("#", "edge_id", F.col("_k").cast("string"))).otherwise(F.col("edge_id"))).drop("_k", "_t")
+    else:
+        last = Window.partitionBy("edge_id").orderBy(F.desc_nulls_last("ord"), as_text.desc())
         rows = rows.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
     empty_side = F.array().cast(f"array<{ENTRY}>")
     everything = F.concat(F.coalesce("side_a", empty_side), F.coalesce("side_b", empty_side))

@@ -42,6 +42,13 @@ class Projection:
             out = out.unionByName(wanted.join(out.select("label"), "label", "left_anti").join(named, "label").select("label", "node_id"))
         return out
 
+    def node(self, label: str) -> str:
+        """The node of an id or label; KeyError without one."""
+        row = self.ids_of([label]).first()
+        if row is None:
+            raise KeyError(label)
+        return row.node_id
+
     def run(self, name: str, *args, **kwargs) -> DataFrame:
         """An algorithm of ALGORITHMS; unknown names raise AttributeError."""
         if name not in ALGORITHMS:
@@ -53,7 +60,7 @@ ALGORITHMS: dict[str, Callable[..., DataFrame]] = {
     "connected_components": lambda p: algorithms.components(p.edges, p.nodes),
     "pagerank": lambda p, **kw: algorithms.pagerank(p.edges, p.nodes, **kw),
     "bfs": lambda p, *starts, **kw: algorithms.bfs_levels(p.edges, p.ids_of(list(starts)).select("node_id"), p.directed, **kw),
-    "shortest_path_length": lambda p, start, **kw: algorithms.shortest_paths(p.edges if p.directed else p.edges.unionByName(p.edges.withColumns({"source": F.col("target"), "target": F.col("source")})), p.ids_of([start]).first().node_id, **kw),
+    "shortest_path_length": lambda p, start, **kw: algorithms.shortest_paths(p.edges if p.directed else p.edges.unionByName(p.edges.withColumns({"source": F.col("target"), "target": F.col("source")})), p.node(start), **kw),
     "triangles": lambda p: algorithms.triangles(p.edges),
     "degree_centrality": lambda p: algorithms.degree_centrality(p.edges, p.nodes),
     "in_degree": lambda p: p.edges.groupBy(F.col("target").alias("node_id")).agg(F.count("*").alias("degree")),

@@ -31,6 +31,11 @@ def snapshot(g: Graph, label: str) -> Graph:
     return g.having(snapshots=g.snapshots.where(F.col("label") != label).unionByName(rows))
 
 
+def snapshots(g: Graph) -> DataFrame:
+    """(label, version, n): the snapshots that a graph holds."""
+    return g.snapshots.groupBy("label").agg(F.max("version").alias("version"), F.count("*").alias("n"))
+
+
 def diff(g: Graph, a: str, b: str | None = None) -> DataFrame:
     """(domain, id, change): what came and went from one snapshot to another, or to the graph as it is."""
     old = g.snapshots.where(F.col("label") == a).select("domain", "id")

@@ -252,6 +252,28 @@ def flatten_tensor(entries: DataFrame) -> DataFrame:
     return entries.groupBy(key("u", "a").alias("i"), key("v", "b").alias("j")).agg(F.sum("value").alias("value"))
 
 
+def unflatten(cells: DataFrame) -> DataFrame:
+    """(u, a, v, b, value) of a matrix (i, j, value) over (node, layer) pairs."""
+    part = lambda c, k: F.split_part(F.col(c), F.lit(KEY), F.lit(k))
+    return cells.select(part("i", 1).alias("u"), part("i", 2).alias("a"), part("j", 1).alias("v"), part("j", 2).alias("b"), "value")
+
+
+def tensor_index(g: Graph) -> DataFrame:
+    """(axis, position, id): numbers of nodes and of layers, in order, for the two axes of a tensor."""
+    nodes = dense_rows(presence(g).select(F.col("node_id").alias("id")).distinct(), "position", "id").select(F.lit("node").alias("axis"), "position", "id")
+    layers = dense_rows(presence(g).select(layer_id(F.col("layer")).alias("id")).distinct(), "position", "id").select(F.lit("layer").alias("axis"), "position", "id")
+    return nodes.unionAll(layers)
+
+
+def node_layers(g: Graph) -> DataFrame:
+    """(node_id, layers): of every node the layers it is present in."""
+    return presence(g).groupBy("node_id").agg(F.array_sort(F.collect_set(layer_id(F.col("layer")))).alias("layers"))
+
+
+def has_presence(g: Graph, node_id: str, layer) -> bool:
+    return not presence(g).where((F.col("node_id") == node_id) & (F.col("layer") == lit_layer(layer))).isEmpty()
+
+
 def layer_degrees(g: Graph, layers=None) -> DataFrame:
     """(node_id, layer, value): degrees within each layer."""
     cells = supra_adjacency(g, ("intra",), layers).groupBy("i").agg(F.sum("value").alias("value"))

@@ -23,9 +23,11 @@ def edge_list(g: Graph, slice: str | None = None) -> DataFrame:
 
 def edge_pairs(g: Graph) -> DataFrame:
     """(edge_id, source, target, kind, is_directed) for each source and target of an edge."""
-    a = g.members.where(F.col("role") != TARGET).select("edge_id", F.col("node_id").alias("source"))
-    b = g.members.where(F.col("role") == TARGET).select("edge_id", F.col("node_id").alias("target"))
-    return a.join(b, "edge_id").join(g.resolved().select("edge_id", "kind", "is_directed"), "edge_id").distinct()
+    side = lambda role: F.collect_set(F.when(role, F.col("node_id")))
+    sides = g.members.groupBy("edge_id").agg(side(F.col("role") != TARGET).alias("s"), side(F.col("role") == TARGET).alias("t"))
+    edges = g.edges.select("edge_id", "kind", ((F.col("kind") == HYPER) | g.declared()).alias("is_directed"))  # a hyperedge with a target is directed
+    both = sides.where((F.size("s") > 0) & (F.size("t") > 0)).join(edges, "edge_id")
+    return both.select("edge_id", F.explode("s").alias("source"), "t", "kind", "is_directed").select("edge_id", "source", F.explode("t").alias("target"), "kind", "is_directed")
 
 
 def edges_between(g: Graph, pairs: DataFrame) -> DataFrame:
@@ -43,15 +45,19 @@ def neighbors(g: Graph, direction: str = "both", kinds: tuple[str, ...] | None =
     """(node_id, neighbor) of all nodes; undirected edges go both ways, `out` follows sources to targets."""
     if direction not in ("out", "in", "both"):
         raise ValueError(f"unknown direction: {direction}")
-    edges = g.resolved().where(F.col("kind").isin(*kinds) if kinds else F.col("kind") != STUB).select("edge_id", "is_directed", "kind")
-    a = g.members.select("edge_id", "node_id", F.col("role").alias("r"), F.col("pos").alias("p")).join(edges, "edge_id")
-    b = g.members.select("edge_id", F.col("node_id").alias("neighbor"), F.col("role").alias("s"), F.col("pos").alias("q"))
-    pairs = a.join(b, "edge_id").where("p <> q")
-    forward = (F.col("r") != TARGET) & (F.col("s") == TARGET)
-    backward = (F.col("r") == TARGET) & (F.col("s") != TARGET)
-    way = {"out": forward, "in": backward, "both": forward | backward}[direction]
+    edges = g.edges.where(F.col("kind").isin(*kinds) if kinds else F.col("kind") != STUB).select("edge_id", "kind", g.declared().alias("declared"))
+    side = lambda role: F.collect_set(F.when(role, F.col("node_id")))
+    sides = g.members.groupBy("edge_id").agg(side(F.col("role") != TARGET).alias("s"), side(F.col("role") == TARGET).alias("t")).join(edges, "edge_id")
+    directed = F.when(F.col("kind") == HYPER, F.size("t") > 0).otherwise(F.col("declared"))
+    # a directed edge joins its sources with its targets only, an undirected one all its members
+    every = F.array_union("s", "t")
+    rows = sides.select(F.when(directed, F.col("s")).otherwise(every).alias("a"), F.when(directed, F.col("t")).otherwise(every).alias("b"), directed.alias("d"))
+    pairs = rows.select(F.explode("a").alias("x"), "b", "d").select("x", F.explode("b").alias("y"), "d")
     # a directed self-loop makes a node its own neighbour, an undirected one doesn't
-    return pairs.where(F.when(F.col("is_directed"), way).otherwise(F.col("node_id") != F.col("neighbor"))).select("node_id", "neighbor").distinct()
+    pairs = pairs.where(F.col("d") | (F.col("x") != F.col("y")))
+    forward, backward = F.struct(F.col("x").alias("node_id"), F.col("y").alias("neighbor")), F.struct(F.col("y").alias("node_id"), F.col("x").alias("neighbor"))
+    ways = {"out": F.array(forward), "in": F.when(F.col("d"), F.array(backward)).otherwise(F.array(forward)), "both": F.when(F.col("d"), F.array(forward, backward)).otherwise(F.array(forward))}
+    return pairs.select(F.explode(ways[direction]).alias("p")).select("p.node_id", "p.neighbor").distinct()
 
 
 def incident_edges(g: Graph, nodes: DataFrame | None = None, direction: str = "both") -> DataFrame:

@@ -5,10 +5,12 @@ Matrices are made symmetric first. Vectors of the iteration are frames; lineage
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
+from tempfile import mkdtemp
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.model import Graph
@@ -31,13 +33,20 @@ def dense(cells: DataFrame, ids: list[str]) -> np.ndarray:
     return (out + out.T) / 2
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Rows written to the shared checkpoint folder; a temporary folder is set only where the session names none."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one is set only where there is none and one machine does it all."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        from tempfile import mkdtemp
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or "file://" + mkdtemp(prefix="tessera-checkpoint-"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
+
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="tessera-checkpoint-"))
+def cut(df: DataFrame) -> DataFrame:
+    """Rows written to the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -46,25 +55,38 @@ def settle(g: Graph) -> Graph:
     return g.having(**{t: cut(df) for t, df in g.tables.items()})
 
 
+class NotSettled(UserWarning):
+    """A power iteration ended at its last round."""
+
+
 def power(cells: DataFrame, start: DataFrame, apart: list[DataFrame] = (), rounds: int = ROUNDS, tolerance: float = 1e-10) -> tuple[float, DataFrame]:
-    """Dominant eigenpair of a symmetric matrix, orthogonal to unit vectors (i, x)."""
-    x, last = start, None
-    value = 0.0
-    for k in range(rounds):
-        y = cells.join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("value") * F.col("x")).alias("x"))
-        y = x.select("i").join(y, "i", "left").select("i", F.coalesce("x", F.lit(0.0)).alias("x"))
-        for v in apart:
-            dot = y.join(v.withColumnRenamed("x", "v"), "i").agg(F.sum(F.col("x") * F.col("v"))).first()[0] or 0.0
-            y = y.join(v.withColumnRenamed("x", "v"), "i").select("i", (F.col("x") - dot * F.col("v")).alias("x"))
-        norm = y.agg(F.sqrt(F.sum(F.col("x") ** 2))).first()[0] or 0.0
+    """Dominant eigenpair of a symmetric matrix, orthogonal to unit vectors (i, x); warns if the value still moves in the last round.
+
+    A round writes the product beside the vector once; all sums that it needs are one aggregate of that.
+    """
+    x, last, value = start, None, 0.0
+    for _ in range(rounds):
+        y = cells.join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("value") * F.col("x")).alias("y"))
+        held = x.join(y, "i", "left").select("i", "x", F.coalesce("y", F.lit(0.0)).alias("y"))
+        for k, v in enumerate(apart):
+            held = held.join(v.select("i", F.col("x").alias(f"v{k}")), "i")
+        held = cut(held)
+        sums = [F.sum(F.col(a) * F.col(b)) for a, b in (("y", "y"), ("x", "y"), *(p for k in range(len(apart)) for p in (("y", f"v{k}"), ("x", f"v{k}"))))]
+        yy, xy, *dots = (z or 0.0 for z in held.agg(*sums).first())
+        along, before = dots[::2], dots[1::2]
+        norm = max(0.0, yy - sum(d * d for d in along)) ** 0.5
         if not norm:
             return 0.0, x
-        value = y.join(x.withColumnRenamed("x", "v"), "i").agg(F.sum(F.col("x") * F.col("v"))).first()[0] or 0.0
-        x = cut(y.select("i", (F.col("x") / norm).alias("x")))
+        value = xy - sum(d * e for d, e in zip(along, before))
+        rest = F.col("y")
+        for k, d in enumerate(along):
+            rest = rest - F.lit(d) * F.col(f"v{k}")
+        x = held.select("i", (rest / norm).alias("x"))
         if last is not None and abs(value - last) <= tolerance * max(1.0, abs(value)):
-            break
+            return value, cut(x)
         last = value
-    return value, x
+    warnings.warn(f"the value still moves after {rounds} rounds", NotSettled, stacklevel=2)
+    return value, cut(x)
 
 
 def start_vector(ids: DataFrame) -> DataFrame:
@@ -73,30 +95,34 @@ def start_vector(ids: DataFrame) -> DataFrame:
     return cut(raw.select("i", (F.col("x") / norm).alias("x")))
 
 
-def smallest_laplacian(g: Graph, k: int = 6, kind: str = "comb", among=None) -> list[tuple[float, dict[str, float]]]:
-    """The k smallest eigenvalues of the supra Laplacian and their vectors."""
-    cells, ids = layers.supra_laplacian(g, kind, among), layers.supra_degree(g, among).select("i")
+def smallest_of(cells: DataFrame, ids: DataFrame, k: int) -> list[tuple[float, DataFrame]]:
+    """The k smallest eigenvalues of a positive matrix made symmetric, and their vectors (i, x)."""
     n = ids.count()
     if n <= SMALL:
         names = sorted(r.i for r in ids.collect())
         values, vectors = np.linalg.eigh(dense(cells, names))
-        return [(float(values[j]), dict(zip(names, vectors[:, j].tolist()))) for j in range(min(k, n))]
+        return [(float(values[j]), ids.sparkSession.createDataFrame(list(zip(names, vectors[:, j].tolist())), "i string, x double")) for j in range(min(k, n))]
     # the largest of c - L, one after another
     both = cut(symmetric(cells))
     c = 2 * (both.where("i = j").agg(F.max("value")).first()[0] or 0.0)
     shifted = cut(both.select("i", "j", -F.col("value")).toDF("i", "j", "value").unionAll(ids.select("i", F.col("i").alias("j"), F.lit(c))).groupBy("i", "j").agg(F.sum("value").alias("value")))
     found: list[DataFrame] = []
     out = []
-    for _ in range(k):
+    for _ in range(min(k, n)):
         value, x = power(shifted, start_vector(ids), found)
         found.append(x)
-        out.append((c - value, {r.i: r.x for r in x.limit(SMALL).collect()}))
+        out.append((c - value, x))
     return out
 
 
-def algebraic_connectivity(g: Graph, among=None) -> tuple[float, dict[str, float]]:
+def smallest_laplacian(g: Graph, k: int = 6, kind: str = "comb", among=None) -> list[tuple[float, DataFrame]]:
+    """The k smallest eigenvalues of the supra Laplacian and their whole vectors (i, x)."""
+    return smallest_of(layers.supra_laplacian(g, kind, among), layers.supra_degree(g, among).select("i"), k)
+
+
+def algebraic_connectivity(g: Graph, among=None) -> tuple[float, DataFrame]:
     pairs = smallest_laplacian(g, 2, "comb", among)
-    return pairs[1] if len(pairs) > 1 else (0.0, {})
+    return pairs[1] if len(pairs) > 1 else (0.0, g.spark.createDataFrame([], "i string, x double"))
 
 
 def dominant_walk_pair(g: Graph, among=None) -> tuple[float, DataFrame]:
@@ -124,9 +150,6 @@ def sweep(g: Graph, scales: list[float], metric: str | Callable[[DataFrame], flo
             continue
         from tessera.operators.matrices import laplacian
 
-        names = sorted(r.i for r in layers.supra_degree(g, among).select("i").limit(SMALL + 1).collect())
-        if len(names) > SMALL:
-            raise ValueError("pass a metric: the matrix is too large for the driver")
-        values = np.linalg.eigvalsh(dense(laplacian(cells), names))
-        out.append(float(values[1]) if len(values) > 1 else 0.0)
+        pairs = smallest_of(laplacian(cells), layers.supra_degree(g, among).select("i"), 2)
+        out.append(pairs[1][0] if len(pairs) > 1 else 0.0)
     return out

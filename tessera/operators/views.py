@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import known, layer_id
 from tessera.model import HYPER, Graph
 from tessera.operators.algebra import extract
 from tessera.operators.attrs import effective_weight
@@ -68,13 +69,26 @@ def entity_kinds(g: Graph) -> DataFrame:
     return g.entities.select("node_id", "kind").distinct()
 
 
+def chosen(df: DataFrame, condition: Column | Callable[[dict], bool], key: str) -> DataFrame:
+    """Keys of the rows that a condition holds for."""
+    if isinstance(condition, Column):
+        return df.where(condition).select(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([r[key] for r in rows if condition(r)], pa.string())], names=[key])
+
+    return df.mapInArrow(run, f"{key} string")
+
+
 @dataclass(frozen=True)
 class View:
-    """A lazy lens on a graph: filters are conditions on the node and edge tables, sets of ids, or slices."""
+    """A lazy lens on a graph: filters are conditions on the node and edge tables, Python functions of a row (a dictionary; slower), sets of ids, or slices."""
 
     graph: Graph
-    nodes: DataFrame | Column | None = None
-    edges: DataFrame | Column | None = None
+    nodes: DataFrame | Column | Callable[[dict], bool] | None = None
+    edges: DataFrame | Column | Callable[[dict], bool] | None = None
     slices: tuple[str, ...] = ()
 
     def node_ids(self) -> DataFrame:
@@ -82,7 +96,7 @@ class View:
         if isinstance(self.nodes, DataFrame):
             ids = ids.join(self.nodes.select("node_id").distinct(), "node_id", "left_semi")
         elif self.nodes is not None:
-            ids = nodes_view(self.graph).where(self.nodes).select("node_id")
+            ids = chosen(nodes_view(self.graph), self.nodes, "node_id")
         if self.slices:
             ids = ids.join(self.graph.slice_nodes.where(F.col("slice_id").isin(*self.slices)).select("node_id").distinct(), "node_id", "left_semi")
         return ids
@@ -93,7 +107,7 @@ class View:
         if isinstance(self.edges, DataFrame):
             ids = ids.join(self.edges.select("edge_id").distinct(), "edge_id", "left_semi")
         elif self.edges is not None:
-            ids = edges_view(self.graph).where(self.edges).select("edge_id")
+            ids = chosen(edges_view(self.graph), self.edges, "edge_id")
         if self.slices:
             ids = ids.join(self.graph.slice_edges.where(F.col("slice_id").isin(*self.slices)).select("edge_id").distinct(), "edge_id", "left_semi")
         if self.nodes is not None or self.slices:
@@ -117,11 +131,3 @@ class View:
 
     def materialize(self) -> Graph:
         return extract(self.graph, self.node_ids(), self.edge_ids())
-
-
-def null_safe_weight(df: DataFrame) -> DataFrame:
-    return df.withColumn("weight", known(F.col("weight")))
-
-
-def layer_names(df: DataFrame) -> DataFrame:
-    return df.withColumn("layer_id", layer_id(F.col("layer")))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.model import HYPER, Graph
-from tessera.operators import algebra, algorithms, attrs, history, layers, matrices, project, query, slices, views
+from tessera.model import HYPER, Graph, empty
+from tessera.operators import algebra, algorithms, attrs, build, dispatch, history, indices, layers, matrices, project, query, slices, spectral, views
 from tessera.plans import market
+from tessera.sources import delimited, delivery, documents, frames, markup, native
 from tessera.streaming import deltas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,25 +145,9 @@ register("neighbors_both", supply, f"with {ALL} select source as node_id, target
 register("hyper_neighbors", orders, f"with {ORDERS} select distinct a.node_id, b.node_id as neighbor from hm a join hm b on a.edge_id = b.edge_id and a.node_id <> b.node_id where (a.role = 0 or (a.role = 1 and b.role = -1)) and a.edge_id like 'HD%'")(lambda g: query.neighbors(algebra.edge_subgraph(g, g.edges.where(F.col("edge_id").startswith("HD"))), "out"))
 
 
-@register("incident_edges_out", None, f"with {ALL} select node_id, edge_id from ends where (side = 'a' or not directed) and node_id like 'S%' and cast(substr(node_id, 2) as bigint) % 5 = 0")
-def _(spark, sf_dir):
-    return query.incident_edges(supply(spark, sf_dir), ids(spark, sf_dir, "S", 5), "out")
-
-
-@register("incident_edges_in", None, f"with {ALL} select node_id, edge_id from ends where (side = 'b' or not directed) and node_id like 'S%' and cast(substr(node_id, 2) as bigint) % 5 = 0")
-def _(spark, sf_dir):
-    return query.incident_edges(supply(spark, sf_dir), ids(spark, sf_dir, "S", 5), "in")
-
-
 register("edge_list", supply, f"with {ALL} select source, target, edge_id, round(weight, 6) as weight from e")(query.edge_list)
 
 
-@register("edges_between", None, f"with {ALL} select source, target, edge_id from e where source like 'P%' and cast(substr(source, 2) as bigint) % 7 = 0")
-def _(spark, sf_dir):
-    pairs = market.supply_pairs(market.lines(spark, sf_dir)).where(F.substring("source", 2, 20).cast("long") % 7 == 0)
-    return query.edges_between(supply(spark, sf_dir), pairs)
-
-
 @register("has_edge", None, "select 'P' || p_partkey as source, 'S1' as target, p_partkey in (select l_partkey from lineitem where l_suppkey = 1) as found from part")
 def _(spark, sf_dir):
     pairs = ids(spark, sf_dir, "P", 1).select(F.col("node_id").alias("source"), F.lit("S1").alias("target"))
@@ -179,12 +166,6 @@ register("adjacency", supply, f"with {ALL} select i, j, round(value, 6) as value
 register("laplacian", supply, f"with {ALL} select i, j, round(sum(value), 6) as value from (select i, i as j, value from adj union all select i, j, -value from adj) group by i, j having abs(sum(value)) > 1e-9")(lambda g: matrices.laplacian(matrices.adjacency(g)))
 
 
-@register("co_incidence", None, f"with {PS}, b as (select edge_id, source as n, weight as v from ps where target in (select 'S' || s_suppkey from supplier where s_suppkey % 10 = 0) union all select edge_id, target, -weight from ps where target in (select 'S' || s_suppkey from supplier where s_suppkey % 10 = 0)) select x.n as i, y.n as j, round(sum(x.v * y.v), 6) as value from b x join b y on x.edge_id = y.edge_id group by x.n, y.n having abs(sum(x.v * y.v)) > 1e-9")
-def _(spark, sf_dir):
-    rows = market.lines(spark, sf_dir).join(ids(spark, sf_dir, "S", 10).select(F.col("node_id").alias("target")), "target", "left_semi")
-    return matrices.co_incidence(market.supply(spark, sf_dir, rows, places=False))
-
-
 @register("matvec", None, f"with {ALL} select i, round(sum(a.value * s_acctbal), 2) as value from adj a join supplier on a.j = 'S' || s_suppkey group by i")
 def _(spark, sf_dir):
     x = market.table(spark, sf_dir, "supplier").select(market.named("S", "s_suppkey").alias("i"), F.col("s_acctbal").alias("x"))
@@ -330,7 +311,7 @@ def _(g):
 # projections and algorithms
 
 register("project_reify", orders, f"with {ORDERS} select case when role = 1 then 'he::' || edge_id else node_id end as source, case when role = 1 then node_id else 'he::' || edge_id end as target, edge_id from hm where edge_id like 'HD%' and false union all select case when role = 1 then node_id else 'he::' || edge_id end, case when role = 1 then 'he::' || edge_id else node_id end, edge_id from hm where false union all select case when role = 1 then 'he::' || edge_id else node_id end, case when role = 1 then node_id else 'he::' || edge_id end, edge_id from hm")(lambda g: project.plain(g, "reify").select("source", "target", "edge_id"))
-register("project_expand", orders, f"with {ORDERS} select a.node_id as source, b.node_id as target, a.edge_id from hm a join hm b on a.edge_id = b.edge_id where (a.role = 1 and b.role = -1) or (a.role = 0 and b.role = 0 and a.node_id < b.node_id)")(lambda g: project.plain(g, "expand").select("source", "target", "edge_id"))
+register("project_expand", orders, f"with {ORDERS} select a.node_id as source, b.node_id as target, a.edge_id from (select * from hm where role = 1) a join (select * from hm where role = -1) b on a.edge_id = b.edge_id union all select a.node_id, b.node_id, a.edge_id from (select * from hm where role = 0) a join (select * from hm where role = 0) b on a.edge_id = b.edge_id and a.node_id < b.node_id")(lambda g: project.plain(g, "expand").select("source", "target", "edge_id"))
 
 
 @register("collapse_multiedges", None, f"with {PS}, f as (select source, target, flag, sum(quantity) as weight, count(*) as capacity, edge_id || ':' || flag as edge_id from ln group by source, target, flag, edge_id) select source, target, count(*) as n_parallel, round(min(weight), 6) as weight, cast(sum(capacity) as bigint) as capacity, min_by(flag, edge_id) as flag from f group by source, target")
@@ -343,37 +324,257 @@ def plain_supply(spark, sf_dir):
     return project.plain(supply(spark, sf_dir))
 
 
-register("bfs_levels", None, f"with recursive {ALL}, p as (select source as a, target as b from e union select target, source from e), r(node_id, level) as (select 'R0', 0 union select p.b, r.level + 1 from r join p on p.a = r.node_id where r.level < 3) select node_id, min(level) as level from r group by node_id")(lambda spark, sf_dir: algorithms.bfs_levels(plain_supply(spark, sf_dir), spark.createDataFrame([("R0",)], "node_id string"), directed=False, most=4))
-register("components", None, f"with recursive {ALL}, p as (select source as a, target as b from e where edge_id not like 'PS%' union select target, source from e where edge_id not like 'PS%'), r(node_id, root) as (select node_id, node_id from nodes where kind = 'region' union select p.b, r.root from r join p on p.a = r.node_id), m as (select root, min(node_id) as least from r group by root) select n.node_id, coalesce(m.least, n.node_id) as component from nodes n left join r on r.node_id = n.node_id left join m on m.root = r.root")(lambda spark, sf_dir: algorithms.components(plain_supply(spark, sf_dir).where(~F.col("edge_id").startswith("PS")), market.nodes(spark, sf_dir)))
 register("degree_centrality", None, f"with {ALL} select n.node_id, round(count(x.edge_id) / (select count(*) - 1 from nodes), 6) as value from nodes n left join ends x on x.node_id = n.node_id group by n.node_id")(lambda spark, sf_dir: algorithms.degree_centrality(plain_supply(spark, sf_dir), market.nodes(spark, sf_dir)))
 
 
-@register("pagerank", None, None)
+# streams
+
+register("stream_incidence", None, f"with {PS} select node_id, edge_id, round(sum(v), 6) as value from (select source as node_id, edge_id, weight as v from ps union all select target, edge_id, -weight from ps) group by node_id, edge_id")(lambda spark, sf_dir: deltas.incidence_of_lines(market.lines(spark, sf_dir)))
+
+
+# over all rows
+
+register("incident_edges_out", None, f"with {ALL} select node_id, edge_id from ends where (side = 'a' or not directed) and node_id like 'S%'")(lambda spark, sf_dir: query.incident_edges(supply(spark, sf_dir), ids(spark, sf_dir, "S", 1), "out"))
+register("incident_edges_in", None, f"with {ALL} select node_id, edge_id from ends where (side = 'b' or not directed) and node_id like 'S%'")(lambda spark, sf_dir: query.incident_edges(supply(spark, sf_dir), ids(spark, sf_dir, "S", 1), "in"))
+register("edges_between", None, f"with {ALL} select source, target, edge_id from e where source like 'P%'")(lambda spark, sf_dir: query.edges_between(supply(spark, sf_dir), market.supply_pairs(market.lines(spark, sf_dir))))
+register("co_incidence", None, f"with {PS}, b as (select edge_id, source as n, weight as v from ps union all select edge_id, target, -weight from ps) select x.n as i, y.n as j, round(sum(x.v * y.v), 6) as value from b x join b y on x.edge_id = y.edge_id group by x.n, y.n having abs(sum(x.v * y.v)) > 1e-9")(lambda spark, sf_dir: matrices.co_incidence(market.supply(spark, sf_dir, places=False)))
+register("triangles", orders, f"with {ORDERS}, x as (select distinct a.node_id as a, b.node_id as b from hm a join hm b on a.edge_id = b.edge_id and a.role = 0 and b.role = 0 and a.node_id < b.node_id), t as (select p.a, p.b, q.b as c from x p join x q on p.b = q.a join x r on r.a = p.a and r.b = q.b) select node_id, count(*) as triangles from (select a as node_id from t union all select b from t union all select c from t) group by node_id")(lambda g: algorithms.triangles(project.plain(algebra.edge_subgraph(g, g.edges.where("edge_id like 'HO:%'")))))
+
+
+# to the end: no bound on levels, all edges, all rounds. Their SQL has more rounds than the graph is deep (a test says so)
+
+LEVELS = "p as (select source as a, target as b from e union select target, source from e), r(node_id, level) as (select 'R0', 0 union select p.b, r.level + 1 from r join p on p.a = r.node_id where r.level < 9)"
+
+
+def spread(rounds: int) -> str:
+    """Least labels handed on for a number of rounds."""
+    steps = ["p as materialized (select source as a, target as b from e union select target, source from e)", "l0 as materialized (select node_id, node_id as least from nodes)"]
+    steps += [f"l{k} as materialized (select l.node_id, least(l.least, coalesce(x.m, l.least)) as least from l{k - 1} l left join (select p.a, min(q.least) as m from p join l{k - 1} q on q.node_id = p.b group by p.a) x on x.a = l.node_id)" for k in range(1, rounds + 1)]
+    return ", ".join(steps) + f" select node_id, least as component from l{rounds}"
+
+
+def ranks(rounds: int) -> str:
+    steps = ["od as materialized (select source, count(*) as k from e group by source)", "r0 as materialized (select node_id, 1.0 / (select count(*) from nodes) as rank from nodes)"]
+    steps += [f"r{k} as materialized (select n.node_id, 0.15 / c.n + 0.85 * l.lost / c.n + 0.85 * coalesce(g.got, 0) as rank from nodes n cross join (select cast(count(*) as double) as n from nodes) c cross join (select coalesce(sum(rank), 0) as lost from r{k - 1} where node_id not in (select source from od)) l left join (select e.target, sum(r.rank / od.k) as got from e join r{k - 1} r on r.node_id = e.source join od on od.source = e.source group by e.target) g on g.target = n.node_id)" for k in range(1, rounds + 1)]
+    return ", ".join(steps) + f" select node_id, round(rank, 6) as rank from r{rounds}"
+
+
+def from_r0(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("R0",)], "node_id string")
+
+
+register("bfs_levels", None, f"with recursive {ALL}, {LEVELS} select node_id, min(level) as level from r group by node_id")(lambda spark, sf_dir: algorithms.bfs_levels(plain_supply(spark, sf_dir), from_r0(spark), directed=False))
+register("components", None, f"with {ALL}, {spread(12)}")(lambda spark, sf_dir: algorithms.components(plain_supply(spark, sf_dir), market.nodes(spark, sf_dir)))
+register("pagerank", None, f"with {ALL}, {ranks(20)}")(lambda spark, sf_dir: algorithms.pagerank(plain_supply(spark, sf_dir), market.nodes(spark, sf_dir)))
+
+
+@register("shortest_paths", None, f"with recursive {ALL}, {LEVELS} select node_id, cast(min(level) as double) as distance from r group by node_id")
 def _(spark, sf_dir):
-    return algorithms.pagerank(plain_supply(spark, sf_dir), market.nodes(spark, sf_dir), rounds=3)
+    arcs = plain_supply(spark, sf_dir).select("source", "target", F.lit(1.0).alias("weight"))
+    return algorithms.shortest_paths(arcs.unionAll(arcs.select("target", "source", "weight")), "R0")
+
+
+# building: parallel edges, edges named twice, edges between layers, direction by attributes
 
+register("add_parallel_edges", None, "select 'P' || l_partkey || '→S' || l_suppkey || case when k = 0 then '' else '#' || k end as edge_id from (select l_partkey, l_suppkey, row_number() over (partition by l_partkey, l_suppkey) - 1 as k from lineitem)")(lambda spark, sf_dir: build.add_edges(empty(spark, True), market.lines(spark, sf_dir).select("source", "target", F.col("quantity").cast("double").alias("weight"))).edges.select("edge_id"))
 
-@register("triangles", None, f"with {ORDERS}, x as (select distinct a.node_id as a, b.node_id as b from hm a join hm b on a.edge_id = b.edge_id and a.role = 0 and b.role = 0 and a.node_id < b.node_id where a.edge_id like 'HO:%0'), t as (select p.a, p.b, q.b as c from x p join x q on p.b = q.a join x r on r.a = p.a and r.b = q.b) select node_id, count(*) as triangles from (select a as node_id from t union all select b from t union all select c from t) group by node_id")
+
+@register("add_edges_twice", None, "select 'O' || l_orderkey as edge_id, 'P' || l_partkey as source, 'S' || l_suppkey as target, round(cast(l_quantity as double), 6) as weight from (select *, row_number() over (partition by l_orderkey order by ((l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey) * 100 + l_quantity desc) as k from lineitem) where k = 1")
 def _(spark, sf_dir):
-    g = orders(spark, sf_dir)
-    return algorithms.triangles(project.plain(algebra.edge_subgraph(g, g.edges.where("edge_id like 'HO:%0'"))))
+    rows = market.table(spark, sf_dir, "lineitem").select(market.named("O", "l_orderkey").alias("edge_id"), market.named("P", "l_partkey").alias("source"), market.named("S", "l_suppkey").alias("target"), F.col("l_quantity").cast("double").alias("weight"), (((F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")) * 100 + F.col("l_quantity")).cast("long").alias("ord"))
+    return query.edge_list(build.add_edges(empty(spark, True), rows)).select("edge_id", "source", "target", "weight")
 
 
-# streams
+def between_years(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts in one year to suppliers in the next."""
+    rows = market.lines(spark, sf_dir).groupBy("source", "target", "year").agg(F.sum("quantity").alias("weight"))
+    edges = rows.select(F.concat_ws(":", "source", "target", F.col("year").cast("string")).alias("edge_id"), "source", F.array(F.col("year").cast("string")).alias("source_layer"), "target", F.array((F.col("year") + 1).cast("string")).alias("target_layer"), "weight")
+    return build.add_edges(layers.set_aspects(empty(spark, True), {"year": [str(y) for y in range(1990, 2005)]}), edges)
 
-register("stream_incidence", None, f"with {PS} select node_id, edge_id, round(sum(v), 6) as value from (select source as node_id, edge_id, weight as v from ps union all select target, edge_id, -weight from ps) group by node_id, edge_id")(lambda spark, sf_dir: deltas.incidence_of_lines(market.lines(spark, sf_dir)))
+
+register("block_inter", between_years, f"with {PS} select source || '~' || year as i, target || '~' || (year + 1) as j, round(sum(quantity), 6) as value from ln group by source, target, year")(lambda g: layers.supra_adjacency(g, ("inter",)))
+
+
+@register("flexible_direction", supply, f"with {ALL}, w as (select ps.edge_id, ps.source, ps.target, ps.weight, a.value - b.value as gap from ps join nodes a on a.node_id = ps.source join nodes b on b.node_id = ps.target) select edge_id, source as node_id, round(case when gap < 0 then -weight else weight end, 6) as coef from w union all select edge_id, target, round(case when gap < 0 then weight else -weight end, 6) from w")
+def _(g):
+    policy = F.struct(F.lit("value").alias("var"), F.lit(0.0).alias("threshold"), F.lit("node").alias("scope"), F.lit("s->t").alias("above"), F.lit("keep").alias("tie"))
+    ruled = g.having(edges=g.edges.withColumn("policy", F.when(F.col("edge_id").startswith("PS"), policy)))
+    return attrs.flexible(ruled).members.where(F.col("edge_id").startswith("PS")).select("edge_id", "node_id", "coef")
+
+
+@register("composite_node_keys", None, "select n_name, 'cid:n_name=' || replace(n_name, ' ', '%20') || '|n_regionkey=' || n_regionkey as node_id from nation")
+def _(spark, sf_dir):
+    rows = market.table(spark, sf_dir, "nation").select("n_name", F.col("n_regionkey").cast("string").alias("n_regionkey"))
+    return build.get_or_create_by_attrs(build.set_node_key(build.add_nodes(empty(spark), rows.select(F.lit("n0").alias("node_id"), F.lit("-").alias("n_name"), F.lit("-").alias("n_regionkey")).limit(1)), "n_name", "n_regionkey"), rows)[1].select("n_name", "node_id")
 
 
-# the operators above that their SQL checks on some ids, over all rows
+def propagated(mode: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = sliced(spark, sf_dir)
+        return build.propagate(g, g.edges, mode).slice_edges.where("slice_id like 'y%'").select("slice_id", "edge_id").distinct()
 
-register("whole_incident_edges_out", None, f"with {ALL} select node_id, edge_id from ends where (side = 'a' or not directed) and node_id like 'S%'")(lambda spark, sf_dir: query.incident_edges(supply(spark, sf_dir), ids(spark, sf_dir, "S", 1), "out"))
-register("whole_incident_edges_in", None, f"with {ALL} select node_id, edge_id from ends where (side = 'b' or not directed) and node_id like 'S%'")(lambda spark, sf_dir: query.incident_edges(supply(spark, sf_dir), ids(spark, sf_dir, "S", 1), "in"))
-register("whole_edges_between", None, f"with {ALL} select source, target, edge_id from e where source like 'P%'")(lambda spark, sf_dir: query.edges_between(supply(spark, sf_dir), market.supply_pairs(market.lines(spark, sf_dir))))
-register("whole_co_incidence", None, f"with {PS}, b as (select edge_id, source as n, weight as v from ps union all select edge_id, target, -weight from ps) select x.n as i, y.n as j, round(sum(x.v * y.v), 6) as value from b x join b y on x.edge_id = y.edge_id group by x.n, y.n having abs(sum(x.v * y.v)) > 1e-9")(lambda spark, sf_dir: matrices.co_incidence(market.supply(spark, sf_dir, places=False)))
-register("whole_triangles", orders, f"with {ORDERS}, x as (select distinct a.node_id as a, b.node_id as b from hm a join hm b on a.edge_id = b.edge_id and a.role = 0 and b.role = 0 and a.node_id < b.node_id), t as (select p.a, p.b, q.b as c from x p join x q on p.b = q.a join x r on r.a = p.a and r.b = q.b) select node_id, count(*) as triangles from (select a as node_id from t union all select b from t union all select c from t) group by node_id")(lambda g: algorithms.triangles(project.plain(algebra.edge_subgraph(g, g.edges.where("edge_id like 'HO:%'")))))
+    return run
 
-# to the end: no bound on levels, all edges, all rounds; checked by brute force
 
-register("whole_bfs_levels", None, None)(lambda spark, sf_dir: algorithms.bfs_levels(plain_supply(spark, sf_dir), spark.createDataFrame([("R0",)], "node_id string"), directed=False))
-register("whole_components", None, None)(lambda spark, sf_dir: algorithms.components(plain_supply(spark, sf_dir), market.nodes(spark, sf_dir)))
-register("whole_pagerank", None, None)(lambda spark, sf_dir: algorithms.pagerank(plain_supply(spark, sf_dir), market.nodes(spark, sf_dir)))
+register("propagate_shared", None, f"with {SLICED} select distinct a.slice_id, ps.edge_id from ps join sn a on a.node_id = ps.source join sn b on b.node_id = ps.target and b.slice_id = a.slice_id where a.slice_id like 'y%'")(propagated("shared"))
+register("propagate_all", None, f"with {SLICED} select a.slice_id, ps.edge_id from ps join sn a on a.node_id = ps.source where a.slice_id like 'y%' union select b.slice_id, ps.edge_id from ps join sn b on b.node_id = ps.target where b.slice_id like 'y%'")(propagated("all"))
+
+# invariants that are broken on purpose
+
+
+@register("validate_planted", supply_only, "select 'member_without_edge' as rule, 'ghost' as key union all select 'member_without_entity', 'nowhere' union all select 'edge_without_members', 'bare' union all select 'twice_an_edge', 'twin' union all select 'twice_an_entity', 'double' union all select 'two_sources', 'two' union all select 'slice_edge_without_edge', 'lost' union all select 'slice_node_without_node', 'absent' union all select 'slice_unknown', 'unknown' union all select 'weight_not_finite', 'endless'")
+def _(g):
+    def edges(*ids: str) -> DataFrame:
+        made = g.spark.createDataFrame([(i, float("inf") if i == "endless" else 1.0, f"{i}-a", f"{i}-b") for i in ids], "edge_id string, weight double, source string, target string")
+        return market.edge_tables(made, True)
+
+    sound, members = edges("two", "endless", "twin")
+    bare, _ = edges("bare", "twin")
+    stray = members.limit(1)
+    odd = stray.withColumns({"edge_id": F.lit("ghost"), "node_id": F.lit("two-a")}).unionByName(stray.withColumns({"edge_id": F.lit("two"), "node_id": F.lit("nowhere"), "role": F.lit(1).cast("byte")}))
+    names = members.select("node_id").distinct().unionAll(g.spark.createDataFrame([("double",), ("double",)], "node_id string"))
+    entities = names.select("node_id", F.array(F.lit("_")).alias("layer"), F.lit("node").alias("kind"), F.lit(None).cast("long").alias("ord"))
+    return history.violations(g.having(
+        edges=g.edges.unionByName(sound).unionByName(bare), members=g.members.unionByName(members).unionByName(odd), entities=g.entities.unionByName(entities),
+        slice_edges=g.slice_edges.unionByName(g.spark.createDataFrame([("default", "lost"), ("unknown", "bare")], "slice_id string, edge_id string")),
+        slice_nodes=g.slice_nodes.unionByName(g.spark.createDataFrame([("default", "absent")], "slice_id string, node_id string")),
+    )).distinct()
+
+
+@register("audit_planted", supply_only, "select 'node_attrs' as \"table\", 'stray' as key union all select 'edge_attrs', 'loose' union all select 'edge_slice_attrs', 'loose' union all select 'edge_slice_attrs', 'nowhere'")
+def _(g):
+    frame = g.spark.createDataFrame
+    g = g.having(node_attrs=g.entities.select("node_id").unionAll(frame([("stray",)], "node_id string")), edge_attrs=g.edge_attrs.unionByName(frame([("loose", 1)], "edge_id string, n_lines long")), edge_slice_attrs=frame([("nowhere", "loose", 1.0)], "slice_id string, edge_id string, weight double"))
+    return attrs.audit(g)
+
+
+# counts, positions, labels, slices with attributes, wholly flattened and unflattened matrices
+
+register("global_counts", sliced, f"with {SLICED} select 'nodes' as kind, count(*) as n from (select source as x from ps union select target from ps) union all select 'edges', count(*) from ps union all select 'entities', count(*) from (select source as x from ps union select target from ps union select edge_id from ps)")(lambda g: g.spark.createDataFrame([(k, slices.global_count(g, k)) for k in ("nodes", "edges", "entities")], "kind string, n long"))
+register("entity_counts", supply, f"with {ALL} select 'nodes' as name, count(*) as n from nodes union all select 'edge_entities', 0 union all select 'entities', count(*) from nodes union all select 'edges', count(*) from e")(lambda g: g.spark.createDataFrame(list(indices.stats(g).items()), "name string, n long"))
+register("edge_columns", supply, f"with {ALL} select row_number() over (order by edge_id) - 1 as col, edge_id from e")(indices.edge_columns)
+register("entity_rows", supply, f"with {ALL} select row_number() over (order by node_id) - 1 as row, node_id from nodes")(lambda g: indices.entity_rows(g).select("row", "node_id"))
+register("peek_nodes", supply, f"with {ALL} select node_id from nodes order by node_id limit 10")(lambda g: g.spark.createDataFrame([(x,) for x in dispatch.Projection(g).peek_nodes(10)], "node_id string"))
+register("label_to_id", supply, "select r_name as label, 'R' || r_regionkey as node_id from region where r_name in ('ASIA', 'EUROPE') union all select 'N3', 'N3'")(lambda g: dispatch.Projection(g).ids_of(["ASIA", "EUROPE", "N3", "nobody"]))
+register("find_node", supply, "select 'R' || r_regionkey as node_id, r_name as name from region where r_name = 'AFRICA'")(lambda g: g.spark.createDataFrame([(lambda r: (r.node_id, r.name))(query.find(g.node_attrs, name="AFRICA", kind="region"))], "node_id string, name string"))
+register("intrinsic_columns", supply, f"with {ALL} select edge_id, 'binary' as kind, directed, round(weight, 6) as weight from e")(lambda g: g.resolved().select("edge_id", "kind", F.col("is_directed").alias("directed"), "weight"))
+register("slices_view", sliced, "select 'y' || y as slice_id, y as year from (select unnest(range(1995, 2002)) as y) union all select 'flag_' || f, null from (select unnest(['A', 'N', 'R']) as f) union all select 'default', null")(lambda g: views.slices_view(attrs.set_attrs(g, "slices", g.spark.createDataFrame([(y, int(y[1:])) for y in market.YEARS], "slice_id string, year long"))))
+register("layer_attributes", layered, "select y || '×' || s as id, y as year, s as status, y - 1990 as year__age from (select unnest(range(1995, 2002)) as y) a cross join (select unnest(['F', 'O']) as s) b")(lambda g: views.layers_view(attrs.set_attrs(g, "elem_layers", g.spark.createDataFrame([("year", y[1:], int(y[1:]) - 1990) for y in market.YEARS], "aspect string, label string, age long"))).select("id", "year", "status", "year__age"))
+register("public_attributes", supply, f"with {ALL} select node_id, kind, name, round(value, 6) as value from nodes")(lambda g: attrs.public(g.node_attrs.withColumn("__cache", F.lit(1))))
+register("project_skip", orders, f"with {ORDERS} select edge_id as source, edge_id as target, edge_id from hm where false")(lambda g: project.plain(g, "skip").select("source", "target", "edge_id"))
+register("project_skip_binary", supply, f"with {ALL} select source, target, edge_id, round(weight, 6) as weight, directed from e")(lambda g: project.plain(g, "skip"))
+register("supra_unflatten", layered, f"with {LAYERED} select split_part(i, '~', 1) as u, split_part(i, '~', 2) as a, split_part(j, '~', 1) as v, split_part(j, '~', 2) as b, round(value, 6) as value from sa")(lambda g: layers.unflatten(layers.supra_adjacency(g)))
+register("tensor_flatten", layered, f"with {LAYERED} select i, j, round(sum(weight), 6) as value from (select distinct i, j, weight from (select i, j, weight from sx union all select j, i, weight from sx)) group by i, j")(lambda g: layers.flatten_tensor(layers.tensor(g)))
+register("tensor_index", layered, f"with {LAYERED} select 'node' as axis, row_number() over (order by node_id) - 1 as position, node_id as id from (select distinct node_id from pr) union all select 'layer', row_number() over (order by l) - 1, l from (select distinct year || '×' || status as l from pr)")(layers.tensor_index)
+register("node_layers", layered, f"with {LAYERED} select node_id, string_agg(year || '×' || status, '|' order by year || '×' || status) as layers from pr group by node_id")(lambda g: layers.node_layers(g).select("node_id", F.array_join("layers", "|").alias("layers")))
+register("neighbors_python_view", supply, "select 'SN:' || s_suppkey as edge_id from supplier where s_acctbal > 0")(lambda g: views.View(g, nodes=lambda r: r["kind"] == "nation" or r["kind"] == "supplier" and r["value"] > 0).edge_ids())
+register("rename_nodes", supply, f"with {ALL} select edge_id, replace(source, 'N', 'nation-') as source, replace(replace(target, 'N', 'nation-'), 'R', 'R') as target from e")(lambda g: query.edge_list(algebra.rename_nodes(g, g.node_attrs.where("kind = 'nation'").select("node_id", F.replace("node_id", F.lit("N"), F.lit("nation-")).alias("new_id")))).select("edge_id", "source", "target"))
+register("set_weights", supply, f"with {ALL} select edge_id, node_id, round(case when edge_id like 'CN%' then 2.5 else coef end, 6) as coef from ends")(lambda g: algebra.set_weights(g, g.edges.where("edge_id like 'CN%'").select("edge_id", F.lit(2.5).alias("weight"))).members.select("edge_id", "node_id", "coef"))
+register("set_directions", supply, f"with {ALL} select edge_id, node_id, round(case when edge_id like 'SN%' and side = 'b' then -coef else coef end, 6) as coef from ends")(lambda g: algebra.set_directions(g, g.edges.where("edge_id like 'SN%'").select("edge_id", F.lit(True).alias("directed"))).members.select("edge_id", "node_id", "coef"))
+
+# spectra of a ring of the regions, whose eigenvalues are known
+
+
+def ring(spark: SparkSession, sf_dir: str) -> Graph:
+    rows = market.table(spark, sf_dir, "region")
+    n = rows.count()
+    return build.add_edges(empty(spark, False), rows.select(market.named("ring", "r_regionkey").alias("edge_id"), market.named("R", "r_regionkey").alias("source"), F.concat(F.lit("R"), ((F.col("r_regionkey") + 1) % n).cast("string")).alias("target"), F.lit(1.0).alias("weight")))
+
+
+RING = "select k, 2 - 2 * cos(2 * pi() * k / n) as value from (select unnest(range(0, (select count(*) from region))) as k), (select count(*) as n from region)"
+register("laplacian_spectrum", ring, f"select cast(row_number() over (order by value, k) - 1 as int) as k, round(value, 6) + 0 as value from ({RING})")(lambda g: g.spark.createDataFrame([(k, abs(round(v, 6))) for k, (v, _) in enumerate(spectral.smallest_laplacian(g, 5))], "k int, value double"))
+register("algebraic_connectivity", ring, f"select round(min(value), 6) as value from ({RING}) where k > 0")(lambda g: g.spark.createDataFrame([(spectral.algebraic_connectivity(g)[0],)], "value double"))
+register("coupling_sweep", ring, f"select s as scale, (select round(min(value), 6) from ({RING}) where k > 0) as value from (select unnest([0.0, 1.0, 2.0]) as s)")(lambda g: g.spark.createDataFrame(list(zip([0.0, 1.0, 2.0], spectral.sweep(g, [0.0, 1.0, 2.0]))), "scale double, value double"))
+register("dominant_walk_value", ring, "select 1.0 as value")(lambda g: g.spark.createDataFrame([(round(spectral.dominant_walk_pair(g)[0], 4),)], "value double"))
+register("versatility", ring, "select 'R' || r_regionkey as node_id, 1.0 as value from region")(lambda g: spectral.versatility(g).select("node_id", F.round("value", 3).alias("value")))
+
+# files: a graph is written to the shared folder and read back
+
+
+def scratch(spark: SparkSession) -> str:
+    return f"{spectral.shared_folder(spark)}/tessera-io-{uuid.uuid4().hex[:12]}"
+
+
+def through(write: Callable, read: Callable, graph: Callable, show: Callable) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch(spark)
+        write(graph(spark, sf_dir), path)
+        return show(read(spark, path))
+
+    return run
+
+
+def weighted(g: Graph) -> DataFrame:
+    return query.edge_list(g).select("edge_id", "source", "target", "weight")
+
+
+def sided(g: Graph) -> DataFrame:
+    return query.edge_sides(g).select("edge_id", joined("sources").alias("sources"), joined("targets").alias("targets"))
+
+
+EDGES_SQL = f"with {ALL} select edge_id, source, target, round(weight, 6) as weight from e"
+SIDES_SQL = f"with {ORDERS} select edge_id, string_agg(case when role <> -1 then node_id end, '|' order by node_id) as sources, coalesce(string_agg(case when role = -1 then node_id end, '|' order by node_id), '') as targets from hm group by edge_id"
+FORMATS = {"native": (native.write, native.read), "ndjson": (documents.write_ndjson, documents.read_ndjson), "json": (documents.write_json, documents.read_json), "cx2": (documents.write_cx2, documents.read_cx2), "graphml": (markup.write_graphml, markup.read_graphml), "gexf": (markup.write_gexf, markup.read_gexf)}
+for fmt, (writer, reader) in FORMATS.items():
+    register(f"io_{fmt}_edges", None, EDGES_SQL)(through(writer, reader, supply, weighted))
+    register(f"io_{fmt}_hyperedges", None, SIDES_SQL)(through(writer, reader, orders, sided))
+register("io_csv_edges", None, EDGES_SQL)(through(delimited.write, lambda spark, path: delimited.read(spark, path, "edge_list"), supply, weighted))
+register("io_csv_hyperedges", None, SIDES_SQL)(through(lambda g, path: delimited.write(g, path, hyper=True), lambda spark, path: delimited.read(spark, path, "hyperedge"), orders, sided))
+register("io_sif_edges", None, f"with {ALL} select source, target from e")(through(documents.write_sif, documents.read_sif, supply, lambda g: query.edge_list(g).select("source", "target")))
+register("io_sbml_reactions", None, f"with {ORDERS} select edge_id, node_id, round(coef, 6) as coef from hm where edge_id like 'HD%'")(through(markup.write_sbml, markup.read_sbml, lambda spark, sf_dir: (lambda g: algebra.edge_subgraph(g, g.edges.where("edge_id like 'HD:%'")))(orders(spark, sf_dir)), lambda g: g.members.select("edge_id", "node_id", "coef")))
+register("io_frames", supply, EDGES_SQL)(lambda g: weighted(frames.from_frames(g.spark, **{k: v for k, v in frames.to_frames(g).items() if k in ("nodes", "edges")})))
+register("io_frames_members", orders, SIDES_SQL)(lambda g: sided(frames.from_frames(g.spark, hyperedges=frames.to_frames(g, explode=True)["hyperedges"])))
+register("ingest_coordinates", None, f"with {PS} select source, target, round(weight, 6) as weight from ps")(lambda spark, sf_dir: query.edge_list(delimited.ingest(market.supply_pairs(market.lines(spark, sf_dir)).select(F.col("source").alias("row"), F.col("target").alias("col"), F.col("weight").cast("double").alias("val")))).select("source", "target", "weight"))
+register("ingest_neighbour_lists", None, f"with {PS} select source, target from ps")(lambda spark, sf_dir: query.edge_list(delimited.ingest(market.supply_pairs(market.lines(spark, sf_dir)).groupBy(F.col("source").alias("node")).agg(F.array_join(F.collect_list("target"), "|").alias("neighbors")))).select("source", "target"))
+register("ingest_incidence", None, "select 'NR' || n_nationkey as edge_id, 'N' || n_nationkey as source, 'R' || n_regionkey as target, 1.0 as weight from nation")(lambda spark, sf_dir: weighted(delimited.ingest(nation_table(spark, sf_dir), "incidence")))
+register("ingest_adjacency", None, "select 'R' || a.r_regionkey as source, 'R' || b.r_regionkey as target, cast(1 + (a.r_regionkey + b.r_regionkey) % 2 as double) as weight from region a join region b on a.r_regionkey < b.r_regionkey")(lambda spark, sf_dir: query.edge_list(delimited.ingest(region_table(spark, sf_dir), "adjacency")).select("source", "target", "weight"))
+
+
+def nation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by edges, wide: a nation runs to its region."""
+    rows = market.table(spark, sf_dir, "nation")
+    cells = rows.select(market.named("N", "n_nationkey").alias("node"), market.named("NR", "n_nationkey").alias("edge"), F.lit(1.0).alias("v")).unionAll(rows.select(market.named("R", "n_regionkey"), market.named("NR", "n_nationkey"), F.lit(-1.0)))
+    return cells.groupBy("node").pivot("edge").agg(F.sum("v"))
+
+
+def region_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = market.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"))
+    cells = rows.crossJoin(rows.withColumnRenamed("k", "l")).select(market.named("R", "k").alias("node"), market.named("R", "l").alias("other"), (1.0 + (F.col("k") + F.col("l")) % 2).alias("v"))
+    return cells.groupBy("node").pivot("other").agg(F.sum("v"))
+
+
+def delivered(policy: str):
+    return lambda spark, sf_dir: delivery.deliver(by_year(1997, 2001)(spark, sf_dir), by_year(1995, 1998)(spark, sf_dir), on_conflict=policy).edges.select("edge_id", "weight")
+
+
+register("deliver_skip", None, f"with {TWO} select edge_id, round(weight, 6) as weight from a union all select edge_id, round(weight, 6) from b where edge_id not in (select edge_id from a)")(delivered("skip"))
+register("deliver_replace", None, f"with {TWO} select edge_id, round(weight, 6) as weight from b union all select edge_id, round(weight, 6) from a where edge_id not in (select edge_id from b)")(delivered("replace"))
+
+
+@register("sidecar", None, f"with {SLICED} select slice_id, edge_id, round(weight, 6) as weight from se")
+def _(spark, sf_dir):
+    path, g = scratch(spark), sliced(spark, sf_dir)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", delivery.LossWarning)
+        documents.write_sif(g, path)
+        delivery.write_sidecar(g, path, "sif")
+    return delivery.apply_sidecar(documents.read_sif(spark, path), path, "require").edge_slice_attrs.select("slice_id", "edge_id", "weight")
+
+
+@register("history_export", None, "select event_id as version, event_type as op from events")
+def _(spark, sf_dir):
+    path = scratch(spark)
+    history.export(empty(spark).having(history=deltas.event_log(market.table(spark, sf_dir, "events"))), path, "ndjson")
+    return spark.read.schema("version long, op string").json(path)
+
+
+@register("stream_batches", None, f"with {PS} select node_id, edge_id, round(sum(v), 6) as value from (select source as node_id, edge_id, weight as v from ps union all select target, edge_id, -weight from ps) group by node_id, edge_id")
+def _(spark, sf_dir):
+    """Incidence kept up by micro-batches of the lines' files."""
+    path = scratch(spark)
+    rows = market.lines(spark, sf_dir).select("edge_id", "source", "target", "quantity")
+    rows.repartition(4).write.parquet(f"{path}/in")
+    sink = deltas.IncidenceSink(f"{path}/out")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    return sink.current(spark)

@@ -116,7 +116,7 @@ def read_sif(spark: SparkSession, path: str, directed: bool = True, delimiter: s
     """Lines split at tabs if they have any, else at white space; further fields are more targets of the same source."""
     rows = spark.read.text(path).where(~F.col("value").rlike(SIF_COMMENTS) & (F.trim("value") != ""))
     cut = F.split("value", delimiter) if delimiter else F.when(F.col("value").contains("\t"), F.split("value", "\t")).otherwise(F.split(F.trim("value"), r"\s+"))
-    rows = rows.select(F.transform(cut, F.trim).alias("f"))
+    rows = rows.select(F.transform(cut, lambda x: F.trim(x)).alias("f"))
     lone = rows.where(F.size("f") == 1).select(F.col("f")[0].alias("node_id"))
     links = rows.where(F.size("f") >= 3).select(F.col("f")[0].alias("source"), F.col("f")[1].alias("relation"), F.explode(F.slice("f", 3, 1_000_000)).alias("target"))
     links = links.where(clean(F.col("source")).isNotNull() & clean(F.col("target")).isNotNull() & (F.lower("target") != "none"))

@@ -73,6 +73,33 @@ def test_dispatch(graph):
         p.run("none")
 
 
+def test_numbers_of_edges_are_not_given_twice(spark):
+    g = AnnotatedGraph(spark, directed=True)
+    g.add_edges("A", "B")
+    g.add_edges("B", "C")
+    g.remove_edges("edge_0")
+    g.add_edges("C", "D")
+    assert sorted(g.E.ids()) == ["edge_1", "edge_2"] and ("B", "C") in g and ("C", "D") in g
+    g.remove_edges("edge_2")
+    g.add_edges([("D", "E"), {"source": "E", "target": "F", "edge_id": "own"}, ("F", "G")])
+    assert sorted(g.E.ids()) == ["edge_1", "edge_3", "edge_4", "own"]
+    ops = [(r.op, r.payload) for r in g.value.history.orderBy("version").collect()]
+    assert [o for o, _ in ops].count("add_edges") == 4 and '"edge_0"' in dict(ops[2:3])["remove_edges"]
+
+
+def test_edits_in_place(spark):
+    g = AnnotatedGraph(spark, directed=True).add_edges([("A", "B", 2.0)])
+    g.rename_node("A", "X").set_weight("edge_0", 5.0).set_direction("edge_0", False).mark("here")
+    assert {r.node_id: r.coef for r in g.value.members.collect()} == {"X": 5.0, "B": 5.0} and not g.has_node("A") and g.validate() == []
+    assert g.neighbors("B", "out") == ["X"]
+    with pytest.raises(ValueError):
+        g.rename_node("X", "B")
+    assert g.value.history.where("op = 'mark'").count() == 1 and g.clear_history().value.history.count() == 0
+    assert set(g.memory_usage()) == set(g.value.tables)
+    with pytest.raises(KeyError):
+        g.project().run("shortest_path_length", "nobody")
+
+
 def test_native_format(spark, graph, tmp_path):
     graph.write(str(tmp_path / "g"))
     assert AnnotatedGraph.read(spark, str(tmp_path / "g")).shape == graph.shape

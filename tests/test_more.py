@@ -21,8 +21,10 @@ def test_spectral(spark, monkeypatch):
     assert np.allclose(got, want)
     assert abs(spectral.algebraic_connectivity(g)[0] - want[1]) < 1e-9
     monkeypatch.setattr(spectral, "SMALL", 2)
-    far = [v for v, _ in spectral.smallest_laplacian(g, 2)]
-    assert np.allclose(far, want[:2], atol=1e-3)
+    far = spectral.smallest_laplacian(g, 2)
+    assert np.allclose([v for v, _ in far], want[:2], atol=1e-3)
+    assert [x.count() for _, x in far] == [6, 6]  # whole vectors, however large the graph
+    assert np.allclose(spectral.sweep(g, [1.0]), want[1], atol=1e-3)
     assert {round(r.value, 4) for r in spectral.versatility(g, rounds=10).collect()}
     assert len(spectral.sweep(g, [0.0, 1.0], metric=lambda cells: float(cells.count()))) == 2
 

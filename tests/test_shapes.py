@@ -143,6 +143,18 @@ def test_reserved_names_and_propagation(spark):
     assert build.propagate(g, ids, "all").slice_edges.where("slice_id = 'left'").count() == 2
 
 
+def test_parallel_edges_without_identifiers(spark):
+    b = "source string, target string, weight double"
+    g = build.add_edges(empty(spark, True), edges(spark, [("A", "B", 1.0), ("A", "B", 1.0), ("B", "C", 2.0)], b))
+    assert sorted(r.edge_id for r in g.edges.collect()) == ["A→B", "A→B#1", "B→C"] and history.violations(g).count() == 0
+    g = build.add_edges(g, edges(spark, [("A", "B", 3.0)], b))
+    assert sorted((r.edge_id, r.weight) for r in g.edges.collect()) == [("A→B", 1.0), ("A→B#1", 1.0), ("A→B#2", 3.0), ("B→C", 2.0)]
+    h = build.add_edges(empty(spark, False), edges(spark, [(["B", "A"],), (["C", "A"],)], "members array<string>"))
+    assert h.edges.count() == 2 and matrices.hyper_incidence(h).count() == 4
+    twice = build.add_edges(empty(spark, True), edges(spark, [("e", "A", "B"), ("e", "A", "C")], "edge_id string, source string, target string"))
+    assert twice.edges.count() == 1 and twice.members.count() == 2 and history.violations(twice).count() == 0
+
+
 def test_kinds(spark):
     g = shape(spark, "edge_entity")
     assert {r.edge_id: r.kind for r in g.edges.collect()} == {"ee_ab": NODE_EDGE, "e_meta": BINARY}
