@@ -419,3 +419,42 @@ def test_parts_change_no_score(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1] and len(got[0]) == 60
+
+
+@pytest.fixture(scope="module")
+def odd_folders(spark, tmp_path_factory):
+    """Tables with nulls, empty texts, repeated rows and identifiers, and columns more than usual; and the same tables without rows."""
+    root = tmp_path_factory.mktemp("odd")
+    texts = [t for t in odd_texts() if t is None or len(t) < 3000]
+    rows = [(k if k % 11 else None, t, ("en", "fr", None)[k % 3], "s", len(t or ""), 1, "x", 2) for k, t in enumerate(texts)]
+    rows += [(3, "again the same identifier", "en", "s", 1, 1, "x", 2), rows[8], rows[8]]
+    tables = {
+        "documents": spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids int, found string, toxicity int"),
+        "labels": spark.createDataFrame([(k, k % 2, k % 3 // 2) for k in range(40)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, " ".join(f"common{j}" for j in range(20))), (2, None), (3, "")], "item_id long, text string"),
+        "embeddings": spark.createDataFrame([(k, [float(k % 7), 1.0, 0.5]) for k in range(45)] + [(None, [1.0, 1.0, 1.0]), (60, None)], "vec_id long, embedding array<float>"),
+        "pages": spark.createDataFrame([(1, "http://a/x", "<p>1</p>"), (2, "http://a/x", None), (3, None, ""), (None, "http://b/", "z")], "page_id long, url string, html string"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(root / "odd" / f"{name}.parquet"))
+        df.limit(0).write.parquet(str(root / "none" / f"{name}.parquet"))
+    return str(root / "odd"), str(root / "none"), len(rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_of_odd_and_empty_tables(spark, odd_folders, name):
+    odd, none, n = odd_folders
+    got = queries.QUERIES[name](spark, odd).collect()
+    if name not in ("op3_decontaminate", "op4_neighbours", "op7_warc_revisits"):
+        assert len(got) == n  # a row for every document, whatever its identifier
+    assert queries.QUERIES[name](spark, none).collect() == []
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd_folders):
+    import corpus_pipeline
+
+    odd, none, _ = odd_folders
+    out = corpus_pipeline.run(spark, odd).collect()
+    ids = {r.doc_id for r in out}
+    assert None in ids and 2 in ids and 20 < len(out) and all(r.round_trip for r in out)
+    assert corpus_pipeline.run(spark, none).collect() == []
