@@ -6,8 +6,8 @@ begins behind two marks of its start. A dish of a restaurant is a word that foll
 restaurant are customers of its parent. The root's base measure has no atoms: its new tables are words not seen
 before, which are one outcome, and each known word has one table there.
 
-A sweep takes customers out and seats them again one at a time, given all others: of each dish all of
-up to MOVES customers, drawn at random where there are more. Dishes of one sweep see the restaurants'
+A sweep takes customers out and seats them again one at a time, given all others: of each dish as many as it
+has, drawn at random in dishes of up to MOVES customers, each once in larger ones. Dishes of one sweep see the restaurants'
 totals and parents' probabilities as the sweep before left them (the usual parallel Gibbs scheme). Then discounts and strengths of the
 three levels are drawn from their conditional on a grid. After BURN_IN sweeps, predictive probabilities are averaged
 over SAMPLES. Random numbers are hashes of dish, customer and sweep: neither lost tasks nor the
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER, Stash, mix64, pieces, prefix_hashes, range_hashes, text_buffer, tidy, words_of
 
 BURN_IN, SAMPLES = 2, 3
-MOVES = 8  # customers of a dish that a sweep seats again
+MOVES = 8  # customers of a dish up to which its tables are rows of a matrix
+FEW = 100  # dishes below which a sweep goes on one by one
 CHUNK_BYTES = 8 << 20  # of texts, on average
 LONG = 64 << 10  # a longer text is a chunk of its own
 MOST_ROWS = 4096
@@ -402,8 +403,121 @@ def sit(held: np.ndarray, rows, u: np.ndarray, v: np.ndarray, pull: np.ndarray,
     held[rows, at] += 1
 
 
+GOLDEN = 0x9E3779B97F4A7C15
+
+
+def numbered(key: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Random numbers by dish and draw."""
+    return (mix64(key ^ number * np.uint64(GOLDEN)) >> np.uint64(11)) / float(1 << 53)
+
+
+def whole_sweep(key: np.ndarray, want: np.ndarray, tables: np.ndarray, sizes: np.ndarray, pull: np.ndarray, slope: np.ndarray, discount: float, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of each dish and their sizes after customers came or went and then each was seated again once.
+
+    A table is drawn by its size less the discount: that of another customer drawn at random, until it is accepted
+    by 1 - discount / size. So a customer costs the same however many there are.
+    """
+    by = np.argsort(-want, kind="stable")
+    begin = np.cumsum(tables) - tables
+    have, room = np.add.reduceat(sizes, begin)[by], np.maximum(want, np.add.reduceat(sizes, begin))[by]
+    size = np.zeros(int(room.sum()), np.int64)
+    at = np.cumsum(room) - room
+    count, wanted, keys, a, b, begun = (x[by].copy() for x in (tables, want, key, pull, slope, tables))
+    local = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    size[np.repeat(at, count) + local] = sizes[np.repeat(begin[by], count) + local]
+    free = np.arange(len(size))  # of a dish, from its number of tables on: places without one
+    seat = np.zeros(len(size), np.int64)
+    seat[np.repeat(at, have) + np.arange(int(have.sum())) - np.repeat(np.cumsum(have) - have, have)] = np.repeat(np.arange(len(size)), size)
+    base = sweep << 32
+
+    def draw(d: np.ndarray, number: int) -> np.ndarray:
+        return numbered(keys[d], np.full(1, number & (1 << 64) - 1, np.uint64))
+
+    def leave_table(d: np.ndarray, table: np.ndarray) -> None:
+        size[table] -= 1
+        gone = size[table] == 0
+        count[d[gone]] -= 1
+        free[at[d[gone]] + count[d[gone]]] = table[gone]
+
+    def find_table(d: np.ndarray, who: np.ndarray, others: np.ndarray, number: int) -> None:
+        fresh_weight = np.maximum(1e-300, a[d] + b[d] * (count[d] - begun[d]))
+        rest = np.maximum(0.0, others - discount * count[d])
+        fresh = (draw(d, number) * (fresh_weight + rest) < fresh_weight) | (count[d] == 0)
+        new = d[fresh]
+        table = np.empty(len(d), np.int64)
+        table[fresh] = free[at[new] + count[new]]
+        count[new] += 1
+        left, trial = np.flatnonzero(~fresh), 0
+        while len(left):
+            e = d[left]
+            j = (draw(e, number + 1 + (trial << 48)) * others[left]).astype(np.int64)
+            found = seat[at[e] + j + (j >= who[left])]
+            sure = draw(e, number + 2 + (trial << 48)) * size[found] < size[found] - discount
+            table[left[sure]] = found[sure]
+            left, trial = left[~sure], trial + 1
+        size[table] += 1
+        seat[at[d] + who] = table
+
+    now = have.copy()
+    for step in range(int(np.max(have - wanted, initial=0))):
+        d = np.flatnonzero(have - wanted > step)
+        j = at[d] + (draw(d, base + 4 * step) * now[d]).astype(np.int64)
+        leave_table(d, seat[j])
+        now[d] -= 1
+        seat[j] = seat[at[d] + now[d]]
+    for step in range(int(np.max(wanted - have, initial=0))):
+        d = np.flatnonzero(wanted - have > step)
+        find_table(d, now[d], now[d], base + 4 * step)
+        now[d] += 1
+    base += 1 << 31
+    step, active = 0, len(wanted)
+    while active > FEW:
+        d = np.arange(active)
+        leave_table(d, seat[at[:active] + step])
+        find_table(d, np.full(active, step), wanted[:active] - 1, base + 4 * step)
+        step += 1
+        active = int(np.searchsorted(-wanted, -step, "left"))
+    for d in range(active):
+        # the same, draw by draw, in plain numbers
+        n, first, k, tables_now = int(wanted[d]), int(at[d]), int(keys[d]), int(count[d])
+        cut = slice(first, first + int(room[d]))
+        seats, held, open_places = (seat[cut] - first).tolist(), size[cut].tolist(), (free[cut] - first).tolist()
+        fa, fb, fbegun = float(a[d]), float(b[d]), int(begun[d])
+        for low in range(step, n, 1 << 16):
+            numbers = np.uint64(base) + np.uint64(4) * np.arange(low, min(n, low + (1 << 16)), dtype=np.uint64)
+            us, vs, ws = (numbered(keys[d : d + 1], numbers + np.uint64(c)).tolist() for c in range(3))
+            for i, (u, v, w) in enumerate(zip(us, vs, ws), low):
+                table = seats[i]
+                held[table] -= 1
+                if not held[table]:
+                    tables_now -= 1
+                    open_places[tables_now] = table
+                fresh_weight = max(1e-300, fa + fb * (tables_now - fbegun))
+                if u * (fresh_weight + max(0.0, n - 1 - discount * tables_now)) < fresh_weight or not tables_now:
+                    table = open_places[tables_now]
+                    tables_now += 1
+                else:
+                    trial = 0
+                    while True:
+                        j = int(v * (n - 1))
+                        table = seats[j + (j >= i)]
+                        if w * held[table] < held[table] - discount:
+                            break
+                        trial += 1
+                        v, w = numbered(keys[d : d + 1], np.array([base + 4 * i + c + (trial << 48) for c in (1, 2)], np.uint64)).tolist()
+                held[table] += 1
+                seats[i] = table
+        size[cut], count[d] = held, tables_now
+    # back in the order given
+    back = np.empty(len(by), np.int64)
+    back[by] = np.arange(len(by))
+    n = room[back]
+    values = size[np.repeat(at[back], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+    return count[back], values[values > 0]
+
+
 def seated_again(key: np.ndarray, want: np.ndarray, tables: np.ndarray, sizes: np.ndarray, pull: np.ndarray, slope: np.ndarray, discount: float, sweep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of each dish, and their sizes, after customers came or went (to `want`) and up to MOVES were seated again.
+    """Tables of each dish, and their sizes, after customers came or went (to `want`) and all were seated again.
 
     pull: weight of a new table; slope: by how much it grows with each table of the dish.
     """
@@ -423,6 +537,12 @@ def seated_again(key: np.ndarray, want: np.ndarray, tables: np.ndarray, sizes: n
     parts += [(two[apart], np.ones(2 * int(apart.sum()), np.int64)), (two[~apart], np.full(int((~apart).sum()), 2, np.int64))]
     rest = np.ones(len(tables), bool)
     rest[alone] = rest[two] = False
+    large = np.flatnonzero(rest & (np.maximum(want, have) > MOVES))
+    rest[large] = False
+    if len(large):
+        held = sizes[np.repeat(begin[large] - np.cumsum(tables[large]) + tables[large], tables[large]) + np.arange(int(tables[large].sum()))]
+        out_tables[large], held = whole_sweep(key[large], want[large], tables[large], held, pull[large], slope[large], discount, sweep)
+        parts.append((large, held))
     for w in np.unique(width[rest]).tolist():
         every = np.flatnonzero(rest & (width == w))
         every = every[np.argsort(-moves[every], kind="stable")]

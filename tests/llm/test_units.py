@@ -309,6 +309,41 @@ def test_customers_come_and_go():
     assert (np.add.reduceat(sizes, begin) == want).all() and (tables >= 1).all() and (tables <= want).all()
 
 
+def test_whole_sweep_seats_every_customer():
+    """A sweep ends near the posterior however many customers a dish has, and each dish's result is its own."""
+    n, customers, pull, discount = 60, 400, 1e-3, 0.1
+    key = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(7919)
+    # all alone at first, while new tables are hardly ever wanted: every customer has to move
+    start = np.full(n, customers), np.ones(n * customers, np.int64)
+    args = np.full(n, pull), np.full(n, 0.0), discount
+    tables, sizes = start
+    for sweep in (1, 2, 3):
+        tables, sizes = pitman_yor.seated_again(key, np.full(n, customers), tables, sizes, *args, sweep)
+        assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == customers).all()
+    assert tables.mean() < 100  # seats of 8 customers a sweep would leave at least 376
+    # in a matrix of dishes and one by one
+    many = pitman_yor.seated_again(key, np.full(n, customers + 9), *start, *args, 1)
+    alone = [pitman_yor.seated_again(key[k : k + 1], np.full(1, customers + 9), start[0][:1], start[1][:customers], args[0][:1], args[1][:1], discount, 1) for k in range(n)]
+    assert many[0].tolist() == [int(t[0]) for t, _ in alone] and many[1].tolist() == np.concatenate([s for _, s in alone]).tolist()
+
+
+def test_whole_sweeps_reach_the_posterior():
+    """Number of tables of 40 customers, against generalized Stirling numbers."""
+    n, customers, pull, slope, discount = 4000, 40, 0.8, 0.3, 0.4
+    key = np.arange(n, dtype=np.uint64) * np.uint64(104729)
+    tables, sizes = pitman_yor.first_seats(np.full(n, customers))
+    for sweep in range(12):
+        tables, sizes = pitman_yor.seated_again(key, np.full(n, customers), tables, sizes, pull + slope * tables, np.full(n, slope), discount, sweep)
+    ways = {1: 1.0}
+    for c in range(1, customers):
+        ways = {t: ways.get(t - 1, 0.0) + (c - discount * t) * ways.get(t, 0.0) for t in range(1, c + 2)}
+    weight = {t: w * float(np.prod(pull + slope * np.arange(t))) for t, w in ways.items()}
+    total = sum(weight.values())
+    for t, w in weight.items():
+        p = w / total
+        assert abs((tables == t).mean() - p) < 4 * (p * (1 - p) / n) ** 0.5 + 0.002
+
+
 def test_lists_as_bytes():
     rng = np.random.default_rng(4)
     arrays = [np.sort(rng.integers(0, 1 << 40, 1000).astype(np.uint64)), rng.integers(0, 9, 1000).astype(np.uint8), np.zeros(0, np.uint64), rng.random(7).astype(np.float32), np.array([True, False])]
