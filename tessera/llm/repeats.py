@@ -9,8 +9,9 @@ further left in the same one. Strings are judged on the input, as UTF-8 bytes, w
 2. Of equal slices with equal anchors only the earliest can be new; tasks settle theirs before anything is
    shuffled, so that a slice in a third of all documents arrives once a task.
 3. The earliest slices whose anchor has other slices too are fetched and dealt to shards by
-   anchor. A shard's slices form one string, in order of documents, whose suffixes are sorted by
-   external induction with their common prefixes; neighbours that share `length` symbols are one
+   anchor. Ends of a slice whose strings' hashes occur once at their anchor can't be repeats and fall away.
+   What is left in a shard forms one string, each anchor's slices in order of documents, whose suffixes are
+   sorted by external induction with their common prefixes; neighbours that share `length` symbols are one
    string, and all but the first occurrence are repeats.
 4. An anchor with more than HOT such slices (a passage's end in very many documents) isn't dealt as a whole:
    its slices fall apart into their strings, which meet by their own hashes, again settled by task first.
@@ -61,14 +62,19 @@ def slices_of(texts: pa.Array, length: int) -> tuple[np.ndarray, ...]:
         part = code[a : a + PLACES - 1]
         least = sliding_least(part & np.uint64(~(PLACES - 1) & (1 << 64) - 1) | np.arange(len(part), dtype=np.uint64), width)
         anchor[a : a + len(least)] = a + (least & np.uint64(PLACES - 1)).astype(np.int64)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
-    start = np.flatnonzero(np.arange(len(anchor)) + length <= offsets[text + 1])
-    if not len(start):
+    # a slice ends where the anchor changes, a text begins, or its last string is over
+    new = np.ones(len(anchor) + 1, bool)
+    new[1:-1] = anchor[1:] != anchor[:-1]
+    bounds = np.concatenate([offsets[:-1], np.maximum(offsets[1:] - length + 1, offsets[:-1])])
+    new[bounds[bounds < len(anchor)]] = True
+    low = np.flatnonzero(new)
+    count, low = np.diff(low), low[:-1]
+    owner = np.searchsorted(offsets, low, "right") - 1
+    inside = low + length <= offsets[owner + 1]
+    low, count, owner = low[inside], count[inside], owner[inside]
+    if not len(low):
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    held, owner = anchor[start], text[start]
-    first = np.flatnonzero(np.append(True, (held[1:] != held[:-1]) | (owner[1:] != owner[:-1])))
-    count = np.diff(np.append(first, len(start)))
-    low, held, owner = start[first], held[first], owner[first]
+    held = anchor[low]
     whole = range_hashes(sums, low, low + count - 1 + length) + (held - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return owner, low - offsets[owner], count, code[held], whole
 
@@ -116,8 +122,7 @@ class Settled:
         first = np.flatnonzero(new)
         copied = np.diff(np.append(first, len(by))) > 1
         fresh = new.copy()
-        for k, hot in zip(first.tolist(), copied.tolist()):
-            key = (int(h[k]), int(s[k])) if self.seen or hot else None
+        for k, hot, key in zip(first.tolist(), copied.tolist(), zip(h[first].tolist(), s[first].tolist())):
             if key in self.seen:
                 fresh[k] = (int(doc[k]), int(low[k])) < self.seen[key]
             elif hot and len(self.seen) < SEEN:
@@ -212,7 +217,9 @@ class Shard:
         self.repeated, self.least = Buckets(store), np.zeros(0, np.int64)
 
     def add(self, doc: np.ndarray, low: np.ndarray, data: np.ndarray, size: np.ndarray) -> None:
-        """More slices, in order of (doc, low)."""
+        """More slices; those that share a string in order of (doc, low)."""
+        if not len(size):
+            return
         self.at.append(len(self.text) + np.cumsum(size + 1) - size - 1)
         symbols = np.ones(len(data) + len(size), np.int16)
         symbols[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data.astype(np.int16) + 2
@@ -254,15 +261,49 @@ class Shard:
             begin += max(0, int(np.searchsorted(at, (k + 1) * CHUNK, "right")) - 1)
 
 
+def shared_parts(doc: np.ndarray, low: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(doc, low, data, size) of each slice from its first to its last string whose hash occurs again among these; slices without such a string go."""
+    sums = prefix_hashes(data)
+    size = np.diff(offsets) - length + 1
+    ends = np.cumsum(size)
+    at = np.arange(int(ends[-1])) + np.repeat(offsets[:-1] - ends + size, size)
+    code = range_hashes(sums, at, at + length)
+    order = np.sort(code)
+    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    k = np.minimum(np.searchsorted(twice, code), max(0, len(twice) - 1))
+    again = np.flatnonzero(twice[k] == code) if len(twice) else np.zeros(0, np.int64)
+    owner = np.searchsorted(ends, again, "right")
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
+    owner, begin, last = owner[first], at[again[first]], at[again[np.append(first[1:], len(again)) - 1]] if len(first) else first
+    held = last - begin + length
+    within = np.arange(int(held.sum())) + np.repeat(begin - np.cumsum(held) + held, held)
+    return doc[owner], low[owner] + begin - offsets[owner], data[within], held
+
+
+def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by h, cut anew so that none ends within an anchor's slices."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = batch.column(0).to_numpy()
+        end = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+        if end or rest and rest[-1].column(0)[-1].as_py() != h[0]:
+            yield pa.Table.from_batches([*rest, batch.slice(0, end)]).combine_chunks().to_batches()[0]
+            rest = []
+        rest.append(batch.slice(end))
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
 def sort_shards(slices: DataFrame, partitions: int, length: int, root: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(root)
         shard = Shard(store, length)
         try:
-            for batch in batches:
-                if batch.num_rows:
-                    data, offsets = text_buffer(batch.column(2))
-                    shard.add(batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), data, np.diff(offsets))
+            for batch in by_anchor(batches):
+                data, offsets = text_buffer(batch.column(3))
+                shard.add(*shared_parts(batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), data, offsets, length))
             if len(shard.text):
                 for found in shard.repeats():
                     yield marks(*found)
@@ -270,7 +311,7 @@ def sort_shards(slices: DataFrame, partitions: int, length: int, root: str) -> D
             store.close()
         tidy()
 
-    return slices.repartition(partitions, "h").sortWithinPartitions("doc", "low").select("doc", "low", "bytes").mapInArrow(run, MARK)
+    return slices.repartition(partitions, "h").sortWithinPartitions("h", "doc", "low").select("h", "doc", "low", "bytes").mapInArrow(run, MARK)
 
 
 def remove(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -124,6 +124,44 @@ def test_a_shard_beyond_its_memory(tmp_path):
     assert runs(64 << 20) == runs(12_000) == want
 
 
+def test_slices_before_they_are_sorted(tmp_path):
+    """Slices meet by anchor over the borders of batches; only what may be a repeat is sorted, and no repeat is lost."""
+    rng = np.random.default_rng(6)
+    anchors = {}
+    for h in range(50):
+        raw = rng.integers(97, 123, 168, np.uint8)
+        other = np.where(np.arange(168) < 110, raw, rng.integers(65, 90, 168, np.uint8)).astype(np.uint8)
+        anchors[h] = [raw, rng.integers(48, 58, 168, np.uint8), *([other] if h % 5 == 0 else [])]
+    rows = [(h, 10 * k + h % 3, 7 * k, raw.tobytes()) for h, held in anchors.items() for k, raw in enumerate(held)]
+    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("low", pa.int32()), ("bytes", pa.binary())])
+    whole = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+    for step in (1, 2, 7, 1000):
+        parts = list(repeats.by_anchor(iter([whole.slice(k, step) for k in range(0, len(rows), step)])))
+        assert [r for p in parts for r in p.to_pylist()] == whole.to_pylist()
+        assert sum(len(set(p.column(0).to_pylist())) for p in parts) == 50
+        kept = []
+        for p in parts:
+            data, offsets = repeats.text_buffer(p.column(3))
+            if p.num_rows:
+                doc, low, held, size = repeats.shared_parts(p.column(1).to_numpy(), p.column(2).to_numpy().astype(np.int64), data, offsets, 100)
+                at = np.cumsum(size) - size
+                kept += [(d, a, held[x : x + n].tobytes()) for d, a, x, n in zip(doc.tolist(), low.tolist(), at.tolist(), size.tolist())]
+        want = [(10 * k + h % 3, 7 * k, anchors[h][k][:110].tobytes()) for h in range(0, 50, 5) for k in (0, 2)]
+        assert sorted(kept) == sorted(want)
+
+
+def test_slices_of():
+    """Every string of every text lies in one slice, and equal strings under equal anchors."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab") for _ in range(n)) for n in (0, 1, 31, 99, 100, 101, 400, 0, 250)] + ["é" * 80, None, "a" * 300]
+    owner, low, count, h, _ = repeats.slices_of(pa.array(texts), 100)
+    found = [(o, p, a) for o, b, n, a in zip(owner.tolist(), low.tolist(), count.tolist(), h.tolist()) for p in range(b, b + n)]
+    assert [x[:2] for x in found] == [(k, p) for k, t in enumerate(texts) for p in range(len((t or "").encode()) - 99)]
+    seen = {}
+    for o, p, a in found:
+        assert seen.setdefault(texts[o].encode()[p : p + 100], a) == a
+
+
 def test_tiles():
     rng = random.Random(4)
 
