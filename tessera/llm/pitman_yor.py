@@ -13,12 +13,12 @@ three levels are drawn from their conditional on a grid. After BURN_IN sweeps, p
 over SAMPLES. Random numbers are hashes of dish, customer and sweep: neither lost tasks nor the
 number of parts change a result.
 
-Restaurants and dishes live in parts, by hash. Chunks of documents and parts write each other lists:
-a chunk asks with sorted keys, the part answers in the same order. Dishes with one customer have
+Restaurants and dishes live in parts, by hash. Chunks of documents and parts, whose numbers grow with the bytes of text alone, write each other lists:
+a chunk asks with sorted keys, the part answers in the same order. A chunk keeps its tokens, so texts are read once. Dishes with one customer have
 one table whatever the sweep, so they are only counted. Parts and chunks are rows of one table of mail that is
 grouped by receiver in each step; no list is larger than a part or a chunk.
 
-Keys of grams are 40 bits of a hash within their part; words are 56-bit hashes.
+Keys of grams are 40 bits of a hash within their part; words are 56-bit hashes. Of grams of a chunk that share a key, the first one's words stand for all.
 
 Defined cases: null and empty texts are an end alone; an empty training set gives every token probability 1 as the only outcome;
 rows without identifier or with a repeated one are scored row by row.
@@ -27,6 +27,7 @@ rows without identifier or with a repeated one are scored row by row.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import ceil, lgamma
 
 import numpy as np
@@ -39,9 +40,14 @@ from tessera.llm.common import LOWER, Stash, mix64, pieces, prefix_hashes, range
 BURN_IN, SAMPLES = 2, 3
 MOVES = 8  # customers of a dish up to which its tables are rows of a matrix
 FEW = 100  # dishes below which a sweep goes on one by one
+TRIALS = 8  # draws at once for customers whose first was not accepted
 CHUNK_BYTES = 8 << 20  # of texts, on average
+PART_BYTES = 16 << 20  # of texts for each part
+PIECE_BYTES = 256 << 10  # of texts that are cut into words at once, so that their arrays stay in the cache
 LONG = 64 << 10  # a longer text is a chunk of its own
 MOST_ROWS = 4096
+RUNS = 512  # of rows that follow each other in a file, for each chunk
+BATCHES = 4  # in which receivers of much mail get it, so that not all of it is shuffled at once
 END = np.uint64(0x9D39247E33776D41 & ~255)
 START = np.uint64(0x51ED270B9F3C8A6D & ~255)
 WORD_BITS = np.uint64(~255 & (1 << 64) - 1)
@@ -51,7 +57,7 @@ DISCOUNTS = np.arange(0.02, 0.99, 0.02)
 STRENGTHS = 10 ** np.arange(-1, 3.01, 1 / 3)
 MAIL = "part long, peer long, n long, data binary, kind int"
 # kinds of mail
-(GRAMS, GRAM_COUNTS, PAIRS, DISHES, ASKED_GRAMS, PARENTS, PAIR_CLASSES, FOUND_PAIRS, LOW_DISHES, ASKED_PAIRS, WORDS, WORD_REFS, HIGH, LOW, ROOT, HIGH_PARENTS, LOW_WORDS) = range(1, 18)
+(GRAMS, GRAM_COUNTS, PAIRS, DISHES, ASKED_GRAMS, PARENTS, PAIR_CLASSES, FOUND_PAIRS, LOW_DISHES, ASKED_PAIRS, WORDS, WORD_REFS, HIGH, LOW, ROOT, HIGH_PARENTS, LOW_WORDS, TOKENS) = range(1, 19)
 (HIGH_SEATS, LOW_SEATS, ROOT_SEATS, SENT_TABLES, SENT_SUMS, TOTALS, CHANCES, GRAM_ANSWERS, PAIR_ANSWERS, WORD_ANSWERS) = range(20, 30)
 (OPEN_HIGH, HELD_HIGH, SIZES_HIGH, OPEN_LOW, HELD_LOW, SIZES_LOW, HELD_ROOT, SUMS) = range(40, 48)  # counts for the driver
 
@@ -72,27 +78,39 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix64(mix64(a) * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def gram_codes(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Of all tokens of a batch their trigram, bigram, context of two words, that of one, and word; and the texts' n+1 offsets."""
-    word, offsets = token_codes(texts)
+def gram_codes(word: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of all tokens their trigram, bigram, context of two words, and that of one; begin: where texts begin."""
     one = np.append(START, word[:-1])[: len(word)]
-    one[offsets[:-1]] = START
+    one[begin] = START
     both = pair(one, word)
     # the two words before a token are the pair that ends one token earlier
     two = np.append(np.uint64(0), both[:-1])[: len(word)]
-    two[offsets[:-1]] = pair(np.array([START]), np.array([START]))
-    return pair(two, word), both, two, one, word, offsets
+    two[begin] = pair(np.array([START]), np.array([START]))
+    return pair(two, word), both, two, one
 
 
 def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values, where each stands first, and the place of every value among them."""
-    by = np.argsort(x)  # equal values in any order, which costs less than a stable one
+    by = order_of(x)
     sort = x[by]
     new = np.append(True, sort[1:] != sort[:-1])[: len(x)]
     place = np.empty(len(x), np.int64)
     place[by] = np.cumsum(new) - 1
     cut = np.flatnonzero(new)
-    return sort[cut], np.minimum.reduceat(by, cut) if len(cut) else by, place
+    return sort[cut], by[cut], place
+
+
+def order_of(x: np.ndarray) -> np.ndarray:
+    """Stable order of uint64 values: their leading bits and their places are sorted as one number, which costs a fifth of an argsort.
+
+    Values that differ in trailing bits alone may come out of order; then, which is rare for hashes, they are sorted in full.
+    """
+    bits = max(1, (len(x) - 1).bit_length())
+    free = np.uint64(64 - int(x.max()).bit_length() if len(x) else 0)
+    low = np.uint64((1 << bits) - 1)
+    by = (np.sort(x << free & ~low | np.arange(len(x), dtype=np.uint64)) & low).astype(np.int64)
+    sort = x[by]
+    return by if bool((sort[1:] >= sort[:-1]).all()) else np.argsort(x, kind="stable")
 
 
 def ranked_few(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +134,8 @@ def pack(*arrays: np.ndarray) -> bytes:
             x = x.astype(np.uint32) if int(x.max()) < 1 << 32 else x
         kind = x.dtype.str.encode().ljust(7) + (b"+" if rising else b"=")
         head.append(kind + np.uint32(len(x)).tobytes())
-        body.append(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+        whole = x.view(f"u{x.itemsize}")
+        body += [(whole >> whole.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(x.itemsize)]
     raw = b"".join(head + body)
     return np.uint32(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -129,7 +148,11 @@ def unpack(data: bytes) -> list[np.ndarray]:
     at, out = 4 + 12 * count, []
     for kind, n in heads:
         t = np.dtype(kind[:7].decode().strip())
-        x = np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n).T.copy().reshape(-1).view(t) if n else np.zeros(0, t)
+        whole = np.dtype(f"u{t.itemsize}").type
+        x = np.frombuffer(raw, np.uint8, n, at).astype(whole)
+        for k in range(1, t.itemsize):
+            x |= np.frombuffer(raw, np.uint8, n, at + k * n).astype(whole) << whole(8 * k)
+        x = x.view(t)
         out.append(np.cumsum(x, dtype=np.uint64) if kind[7:] == b"+" else x)
         at += n * t.itemsize
     return out
@@ -204,16 +227,35 @@ def by_part(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
 class Chunk:
     """Tokens of the documents of a chunk, and the sorted lists that it asks with."""
 
-    def __init__(self, docs: pa.Table, parts: int):
-        self.parts, held, learn, sizes = parts, [], [], []
-        self.batches = [part for batch in docs.select(["doc_id", "learn", "text"]).to_batches() for part in pieces(batch)]
-        for part in self.batches:
-            *codes, offsets = gram_codes(part.column(2))
-            held.append(codes)
-            sizes.append(np.diff(offsets))
-            learn.append(np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes[-1]))
-        self.gram, self.pair, self.two, self.one, self.word = (np.concatenate(x) for x in zip(*held))
-        self.learn, self.sizes = np.concatenate(learn), sizes
+    def __init__(self, ids: pa.ChunkedArray, learn: np.ndarray, sizes: np.ndarray, codes: np.ndarray, at: np.ndarray, parts: int):
+        self.parts, self.ids, self.learned, self.sizes, self.seen, self.at = parts, ids, learn, sizes, codes, at
+        self.word, self.learn = codes[at[:-1]], np.repeat(learn, sizes)
+        self.gram, self.pair, self.two, self.one = gram_codes(self.word, np.cumsum(sizes) - sizes)
+
+    @classmethod
+    def of_docs(cls, docs: pa.Table, parts: int) -> Chunk:
+        word, sizes = [], []
+        for batch in docs.select(["text"]).to_batches():
+            for part in pieces(batch, PIECE_BYTES):
+                codes, offsets = token_codes(part.column(0))
+                word.append(codes)
+                sizes.append(np.diff(offsets))
+        # by first appearance: frequent words get small numbers, which take few bytes
+        seen = pa.array(np.append(np.concatenate(word), START)).dictionary_encode()
+        return cls(docs["doc_id"], docs["learn"].to_numpy().astype(bool), np.concatenate(sizes), seen.dictionary.to_numpy(), seen.indices.to_numpy(), parts)
+
+    def keep(self, name: int, mail: Mail) -> None:
+        """Send itself what it is: each step needs the tokens, none the texts."""
+        held = pa.BufferOutputStream()
+        table = pa.table({"doc_id": self.ids})
+        with pa.ipc.new_stream(held, table.schema) as out:
+            out.write_table(table)
+        mail.send(name, name, TOKENS, np.frombuffer(held.getvalue(), np.uint8), self.learned, small(self.sizes), self.seen, small(self.at))
+
+    @classmethod
+    def kept(cls, mail: Mail, parts: int) -> Chunk:
+        ids, learn, sizes, codes, at = mail.own(TOKENS)
+        return cls(pa.ipc.open_stream(ids.tobytes()).read_all()["doc_id"], learn, sizes.astype(np.int64), codes, at.astype(np.int64), parts)
 
     def grams(self) -> None:
         lead = home(self.two, self.parts) >> KEY << KEY  # a dish lives with its context
@@ -226,13 +268,12 @@ class Chunk:
         self.ahead = np.where(self.two == start[0], at[-1], np.append(at[-1], self.at2[:-1]))  # of the context of two words
 
     def words(self) -> None:
-        self.codes, at = ranked_few(np.append(self.word, START))
-        part = word_home(self.codes, self.parts)
-        by = np.argsort(part, kind="stable")
+        part = word_home(self.seen, self.parts)
+        by = np.lexsort((self.seen, part))
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
-        self.codes, self.code_part = self.codes[by], part[by]
-        at = place[at]
+        self.codes, self.code_part = self.seen[by], part[by]
+        at = place[self.at]
         self.at1 = at[:-1]
         self.at_one = np.where(self.one == START, at[-1], np.append(at[-1], self.at1[:-1]))  # of the word before
 
@@ -250,6 +291,7 @@ LOW_BITS = np.uint64((1 << 40) - 1)
 
 
 def ask_grams(chunk: Chunk, name: int, mail: Mail) -> None:
+    chunk.keep(name, mail)
     chunk.grams()
     own = chunk.tally(chunk.at3[chunk.learn], len(chunk.keys3))
     for p, a, b in by_part(chunk.keys3 >> KEY):
@@ -403,7 +445,7 @@ def sit(held: np.ndarray, rows, u: np.ndarray, v: np.ndarray, pull: np.ndarray,
     held[rows, at] += 1
 
 
-GOLDEN = 0x9E3779B97F4A7C15
+GOLDEN, WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def numbered(key: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -411,6 +453,14 @@ def numbered(key: np.ndarray, number: np.ndarray) -> np.ndarray:
     return (mix64(key ^ number * np.uint64(GOLDEN)) >> np.uint64(11)) / float(1 << 53)
 
 
+def numbered_one(key: int, number: int) -> float:
+    """The same for one dish, in plain numbers."""
+    x = key ^ number * GOLDEN & WORD
+    x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & WORD
+    x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & WORD
+    return ((x ^ x >> 33) >> 11) / 9007199254740992.0
+
+
 def whole_sweep(key: np.ndarray, want: np.ndarray, tables: np.ndarray, sizes: np.ndarray, pull: np.ndarray, slope: np.ndarray, discount: float, sweep: int) -> tuple[np.ndarray, np.ndarray]:
     """Tables of each dish and their sizes after customers came or went and then each was seated again once.
 
@@ -440,21 +490,31 @@ def whole_sweep(key: np.ndarray, want: np.ndarray, tables: np.ndarray, sizes: np
         free[at[d[gone]] + count[d[gone]]] = table[gone]
 
     def find_table(d: np.ndarray, who: np.ndarray, others: np.ndarray, number: int) -> None:
-        fresh_weight = np.maximum(1e-300, a[d] + b[d] * (count[d] - begun[d]))
-        rest = np.maximum(0.0, others - discount * count[d])
-        fresh = (draw(d, number) * (fresh_weight + rest) < fresh_weight) | (count[d] == 0)
-        new = d[fresh]
-        table = np.empty(len(d), np.int64)
-        table[fresh] = free[at[new] + count[new]]
-        count[new] += 1
-        left, trial = np.flatnonzero(~fresh), 0
+        # one number decides all of it: where it falls among the weights, which customer that is, and how far into them
+        places, tables = at[d], count[d]
+        fresh_weight = np.maximum(1e-300, a[d] + b[d] * (tables - begun[d]))
+        rest = np.maximum(0.0, others - discount * tables)
+        x = draw(d, number) * (fresh_weight + rest) - fresh_weight
+        fresh = (x < 0) | (rest == 0)
+        x = np.where(fresh, 0, x) / np.where(fresh, 1, rest) * others
+        j = np.minimum(x.astype(np.int64), np.maximum(0, others - 1))
+        table = seat[places + j + (j >= who)]
+        table[fresh] = free[places[fresh] + tables[fresh]]
+        count[d[fresh]] += 1
+        held = size[table]
+        left, trial = np.flatnonzero(~fresh & ((x - j) * held >= held - discount)), 1
         while len(left):
             e = d[left]
-            j = (draw(e, number + 1 + (trial << 48)) * others[left]).astype(np.int64)
-            found = seat[at[e] + j + (j >= who[left])]
-            sure = draw(e, number + 2 + (trial << 48)) * size[found] < size[found] - discount
-            table[left[sure]] = found[sure]
-            left, trial = left[~sure], trial + 1
+            numbers = np.array([number + (k << 48) & WORD for k in range(trial, trial + TRIALS)], np.uint64)
+            x = numbered(keys[e][:, None], numbers) * others[left][:, None]
+            j = x.astype(np.int64)
+            found = seat[at[e][:, None] + j + (j >= who[left][:, None])]
+            held = size[found]
+            sure = (x - j) * held < held - discount
+            first = sure.argmax(axis=1)
+            hit = sure[np.arange(len(left)), first]
+            table[left[hit]] = found[hit, first[hit]]
+            left, trial = left[~hit], trial + TRIALS
         size[table] += 1
         seat[at[d] + who] = table
 
@@ -485,26 +545,27 @@ def whole_sweep(key: np.ndarray, want: np.ndarray, tables: np.ndarray, sizes: np
         fa, fb, fbegun = float(a[d]), float(b[d]), int(begun[d])
         for low in range(step, n, 1 << 16):
             numbers = np.uint64(base) + np.uint64(4) * np.arange(low, min(n, low + (1 << 16)), dtype=np.uint64)
-            us, vs, ws = (numbered(keys[d : d + 1], numbers + np.uint64(c)).tolist() for c in range(3))
-            for i, (u, v, w) in enumerate(zip(us, vs, ws), low):
+            for i, u in enumerate(numbered(keys[d : d + 1], numbers).tolist(), low):
                 table = seats[i]
                 held[table] -= 1
                 if not held[table]:
                     tables_now -= 1
                     open_places[tables_now] = table
                 fresh_weight = max(1e-300, fa + fb * (tables_now - fbegun))
-                if u * (fresh_weight + max(0.0, n - 1 - discount * tables_now)) < fresh_weight or not tables_now:
+                rest = max(0.0, n - 1 - discount * tables_now)
+                x = u * (fresh_weight + rest) - fresh_weight
+                if x < 0 or not rest:
                     table = open_places[tables_now]
                     tables_now += 1
                 else:
-                    trial = 0
-                    while True:
-                        j = int(v * (n - 1))
+                    x, trial = x / rest * (n - 1), 1
+                    j = min(int(x), n - 2)
+                    table = seats[j + (j >= i)]
+                    while (x - j) * held[table] >= held[table] - discount:
+                        x = numbered_one(k, base + 4 * i + (trial << 48)) * (n - 1)
+                        j = int(x)
                         table = seats[j + (j >= i)]
-                        if w * held[table] < held[table] - discount:
-                            break
                         trial += 1
-                        v, w = numbered(keys[d : d + 1], np.array([base + 4 * i + c + (trial << 48) for c in (1, 2)], np.uint64)).tolist()
                 held[table] += 1
                 seats[i] = table
         size[cut], count[d] = held, tables_now
@@ -708,7 +769,7 @@ def answer(part: int, mail: Mail) -> None:
 Level = tuple[float, float]  # strength and discount
 
 
-def scores_of(chunk: Chunk, mail: Mail, total: float, vocabulary: float, samples: list[tuple[Level, Level, Level, float]], tokens: bool) -> Iterator[pa.RecordBatch]:
+def scores_of(chunk: Chunk, mail: Mail, total: float, vocabulary: float, samples: list[tuple[Level, Level, Level, float]], tokens: bool) -> pa.Table:
     chunk.grams()
     chunk.pairs()
     chunk.words()
@@ -717,7 +778,11 @@ def scores_of(chunk: Chunk, mail: Mail, total: float, vocabulary: float, samples
     known, *root = in_order(mail, WORD_ANSWERS)
     multi, asked = np.flatnonzero(n > 1), np.flatnonzero((kind == 2) | dynamic)
     grams, pairs = in_order(mail, GRAM_ANSWERS), in_order(mail, PAIR_ANSWERS)
-    chance = np.zeros(len(chunk.word))
+    # what all tokens of a pair or of a gram share is worked out once for each
+    first2 = np.minimum(chunk.first2, len(chunk.word) - 1)  # the pair of two starts is no token's
+    one, word = chunk.at_one[first2], chunk.at1[first2]
+    ahead, shorter = chunk.ahead[chunk.first3], chunk.at2[chunk.first3]
+    chance = np.zeros(len(chunk.keys3))
     for k, ((s0, d0), (s1, d1), (s2, d2), customers) in enumerate(samples):
         at_root, opened, held = (x.astype(np.float64) for x in root[3 * k : 3 * k + 3])
         p = np.where(at_root > 0, at_root - d0, s0 + d0 * vocabulary) / (s0 + customers)
@@ -727,27 +792,23 @@ def scores_of(chunk: Chunk, mail: Mail, total: float, vocabulary: float, samples
             c, t, o = (x.astype(np.float64) for x in pairs[3 * k : 3 * k + 3])
             count[asked], tables[asked] = np.where(c > 0, c, count[asked]), np.where(c > 0, t, tables[asked])
             context[asked] = np.where(dynamic[asked], o, context[asked])
-        own = np.maximum(0, count - d1 * tables)[chunk.at2]
-        p = (own + (s1 + d1 * opened[chunk.at_one]) * p[chunk.at1]) / (s1 + held[chunk.at_one])
+        p = (np.maximum(0, count - d1 * tables) + (s1 + d1 * opened[one]) * p[word]) / (s1 + held[one])
         seats = np.minimum(n, 1).astype(np.float64)
         if len(multi):
             seats[multi] = grams[k]
-        own = np.maximum(0, n - d2 * seats)[chunk.at3]
-        chance += (own + (s2 + d2 * context[chunk.ahead]) * p) / (s2 + held_two[chunk.ahead])
-    log_p = np.log10(chance / len(samples))
-    c = known[chunk.at1].astype(np.float64)
-    base = np.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1)))
-    at = 0
-    for part, size in zip(chunk.batches, chunk.sizes):
-        cut = at + np.cumsum(size) - size
-        rows = [np.add.reduceat(x[at : at + size.sum()], cut - at) for x in ((c > 0).astype(np.int64), base, log_p)]
-        arrays = [part.column(0), part.column(1), pa.array(size), pa.array(rows[0]), pa.array(np.full(len(size), int(total))), pa.array(rows[1]), pa.array(rows[2])]
-        names = ["doc_id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        if tokens:
-            arrays.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(log_p[at : at + size.sum()])))
-            names.append("token_scores")
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
-        at += size.sum()
+        chance += (np.maximum(0, n - d2 * seats) + (s2 + d2 * context[ahead]) * p[shorter]) / (s2 + held_two[ahead])
+    log_p = np.log10(chance / len(samples))[chunk.at3]
+    c = known[chunk.at1]
+    base = np.log10((known + 0.1) / (total + 0.1 * (vocabulary + 1)))[chunk.at1]
+    size = chunk.sizes
+    begin = np.cumsum(size) - size
+    rows = [np.add.reduceat(x, begin) for x in ((c > 0).astype(np.int64), base, log_p)]
+    names = ["doc_id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    arrays = [chunk.ids, *map(pa.array, (chunk.learned, size, rows[0], np.full(len(size), int(total)), rows[1], rows[2]))]
+    if tokens:
+        arrays.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(log_p)))
+        names.append("token_scores")
+    return pa.table(arrays, names)
 
 
 # strengths and discounts
@@ -789,12 +850,22 @@ class Office:
     def __init__(self, stash: Stash):
         self.stash, self.at = stash, {}
 
-    def post(self, mail: Callable[[], DataFrame], name: str) -> None:
+    def post(self, mail: Callable[[], DataFrame], name: str, mode: str = "overwrite") -> None:
         path = f"{self.stash.root}/{name}"
-        mail().write.mode("overwrite").partitionBy("kind").parquet(path)
+        mail().write.mode(mode).partitionBy("kind").parquet(path)
         self.stash.sweep()  # nothing refers to the frame any more, so its shuffle files go
         self.at[name] = self.stash.spark.read.schema(MAIL).option("basePath", path).parquet(path)
 
+    def rows(self, rows: Callable[[], DataFrame], name: str) -> DataFrame:
+        """A result that is no mail, written too."""
+        path = f"{self.stash.root}/{name}"
+        frame = rows()
+        schema = frame.schema
+        frame.write.mode("overwrite").parquet(path)
+        del frame
+        self.stash.sweep()
+        return self.stash.spark.read.schema(schema).parquet(path)
+
     def kinds(self, name: str, *kinds: int) -> DataFrame:
         return self.at[name].where(F.col("kind").isin(*kinds))
 
@@ -808,7 +879,7 @@ class Office:
         for kind in kinds:
             self.stash.drop(f"{name}/kind={kind}")
 
-    def step(self, name: str, work: Callable[[int, Mail], None], *mail: DataFrame) -> None:
+    def step(self, name: str, work: Callable[[int, Mail], None], *mail: DataFrame, batches: int = 1) -> None:
         """Every part does its work with its mail."""
 
         def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -821,7 +892,9 @@ class Office:
         both = mail[0]
         for x in mail[1:]:
             both = both.unionByName(x)
-        self.post(lambda: both.groupBy("part").applyInArrow(run, MAIL), name)
+        for k in range(batches):
+            some = both.where(F.pmod("part", F.lit(batches)) == k) if batches > 1 else both
+            self.post(lambda some=some: some.groupBy("part").applyInArrow(run, MAIL), name, "append" if k else "overwrite")
 
     def rows_told(self, *names: str) -> list:
         both = self.kinds(names[0], *range(OPEN_HIGH, SUMS + 1))
@@ -840,59 +913,61 @@ class Office:
         return arrays, sums
 
 
-def chunks(docs: DataFrame, text: str, file: Column, row: Column) -> Column:
-    """Chunk of every row: rows that follow each other in a file, about CHUNK_BYTES of text; a LONG text alone.
+def extent(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Rows and bytes of text."""
+    n, total = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    return n, total or 0
+
+
+def parts_for(total: int) -> int:
+    """Parts grow with the texts alone: with the partitions of a session, lists between them would grow with their square."""
+    return max(1, ceil(total / PART_BYTES))
 
-    So no chunk is larger than MOST_ROWS * LONG bytes or one text.
+
+def chunks(text: str, file: Column, row: Column, n: int, total: int) -> Column:
+    """Chunk of every row: by hash of runs of rows that follow each other in a file, about CHUNK_BYTES of text; a LONG text alone.
+
+    The number of chunks grows with rows and bytes alone, however many files hold them.
     """
+    several = max(1, ceil(total / CHUNK_BYTES), ceil(n / MOST_ROWS))
+    run = max(1, n // (RUNS * several))
     size = F.coalesce(F.octet_length(text), F.lit(0))
-    n, total = docs.agg(F.count("*"), F.sum(size)).first()
-    rows = max(1, min(MOST_ROWS, int(CHUNK_BYTES * (n or 1) / max(1, total or 0))))
-    return F.when(size > LONG, F.xxhash64(file, row, F.lit(1))).otherwise(F.xxhash64(file, F.floor(row / rows)))
+    return F.when(size > LONG, F.xxhash64(file, row, F.lit(1))).otherwise(F.pmod(F.xxhash64(file, F.floor(row / run)), F.lit(several)))
 
 
-def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", shard: Column | None = None, tokens: bool = False) -> DataFrame:
+def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", shard: Column | None = None, tokens: bool = False, parts: int | None = None) -> DataFrame:
     """(doc_id, learn, n_tokens, n_known, train_tokens, base_score, score) of every row; the rows of `learn` are trained on.
 
-    tokens: also `token_scores`, the log10 probability of every token. shard: chunk that a row belongs to, best of `chunks`; hashed chunks are made without it.
+    tokens: also `token_scores`, the log10 probability of every token. shard: chunk that a row belongs to, best of `chunks`; hashed chunks are made
+    without it. parts: among how many restaurants are dealt, else that of `parts_for`.
     """
-    spark = docs.sparkSession
-    office = Office(Stash(spark, "lm"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if shard is None:
-        total = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)))).first()[0] or 0
-        shard = F.pmod(F.xxhash64(doc_id, text), F.lit(ceil(total / CHUNK_BYTES) or 1))
+    office = Office(Stash(docs.sparkSession, "lm"))
+    if shard is None or parts is None:
+        _, total = extent(docs, text)
+        parts = parts or parts_for(total)
+        shard = F.pmod(F.xxhash64(doc_id, text), F.lit(ceil(total / CHUNK_BYTES) or 1)) if shard is None else shard
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), shard.cast("long").alias("shard"))
 
+    def first(key: tuple, table: pa.Table) -> pa.Table:
+        held = Mail(None)
+        ask_grams(Chunk.of_docs(table, parts), key[0].as_py(), held)
+        out = held.table()
+        tidy()
+        return out
+
     def ask(name: str, work: Callable[[Chunk, int, Mail], None], *mail: DataFrame) -> None:
         """Every chunk writes to the parts, with the answers that it has."""
-        if mail:
-
-            def both(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
-                held = Mail(got)
-                if table.num_rows:
-                    work(Chunk(table, parts), key[0].as_py(), held)
-                return held.table()
+        office.step(name, lambda shard, held: work(Chunk.kept(held, parts), shard, held), office.kinds("grams", TOKENS), *mail, batches=BATCHES)
 
-            office.post(lambda: docs.groupBy("shard").cogroup(mail[0].groupBy("part")).applyInArrow(both, MAIL), name)
-        else:
-
-            def alone(key: tuple, table: pa.Table) -> pa.Table:
-                held = Mail(None)
-                work(Chunk(table, parts), key[0].as_py(), held)
-                return held.table()
-
-            office.post(lambda: docs.groupBy("shard").applyInArrow(alone, MAIL), name)
-
-    ask("grams", ask_grams)
+    office.post(lambda: docs.groupBy("shard").applyInArrow(first, MAIL), "grams")
     office.step("gram-counts", count_grams, office.kinds("grams", GRAMS))
-    office.drop("grams")
+    office.forget("grams", GRAMS)
     ask("pairs", ask_pairs, office.kinds("gram-counts", GRAM_COUNTS))
-    office.step("pair-classes", count_pairs, office.kinds("pairs", PAIRS, DISHES))
+    office.step("pair-classes", count_pairs, office.kinds("pairs", PAIRS, DISHES), batches=BATCHES)
     office.forget("pairs", PAIRS, DISHES)
     asked = office.kinds("pairs", ASKED_GRAMS)
     ask("words", ask_words, office.kinds("pair-classes", PAIR_CLASSES))
-    office.step("dishes", lambda part, mail: gather(part, mail, parts), office.kinds("pair-classes", FOUND_PAIRS), office.kinds("words", LOW_DISHES, WORDS))
+    office.step("dishes", lambda part, mail: gather(part, mail, parts), office.kinds("pair-classes", FOUND_PAIRS), office.kinds("words", LOW_DISHES, WORDS), batches=BATCHES)
     office.forget("pair-classes", FOUND_PAIRS)
     office.forget("words", LOW_DISHES)
     _, sums = office.told("dishes")
@@ -949,22 +1024,23 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     office.step("pair-answers", answer, high, office.kinds("dishes", LOW), office.kinds("words", ASKED_PAIRS), *seats_of("high", HIGH_SEATS), *seats_of("low", LOW_SEATS))
     office.drop(*(f"{name}-{k}" for k in kept for name in ("high", "low")), "dishes", "words")
     office.forget("pair-classes", HIGH)
-    answers = office.kinds("word-answers", WORD_ANSWERS)
-    for name, kind in (("gram-answers", GRAM_ANSWERS), ("pair-answers", PAIR_ANSWERS), ("gram-counts", GRAM_COUNTS), ("pair-classes", PAIR_CLASSES)):
+    answers = office.kinds("grams", TOKENS)
+    for name, kind in (("word-answers", WORD_ANSWERS), ("gram-answers", GRAM_ANSWERS), ("pair-answers", PAIR_ANSWERS), ("gram-counts", GRAM_COUNTS), ("pair-classes", PAIR_CLASSES)):
         answers = answers.unionByName(office.kinds(name, kind))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     schema += ", token_scores array<double>" if tokens else ""
-    kinds = [pa.field(x, pa.int64()) for x in ("n_tokens", "n_known", "train_tokens")] + [pa.field(x, pa.float64()) for x in ("base_score", "score")]
-    kinds += [pa.field("token_scores", pa.list_(pa.float64()))] if tokens else []
-
-    def final(table: pa.Table, got: pa.Table) -> pa.Table:
-        out = pa.schema([table.schema.field("doc_id"), table.schema.field("learn"), *kinds])
-        if not table.num_rows:
-            return out.empty_table()
-        found = pa.Table.from_batches(list(scores_of(Chunk(table, parts), Mail(got), total, vocabulary, samples, tokens)), out)
+
+    def final(table: pa.Table) -> pa.Table:
+        held = Mail(table)
+        found = scores_of(Chunk.kept(held, parts), held, total, vocabulary, samples, tokens)
         tidy()
         return found
 
-    return docs.groupBy("shard").cogroup(answers.groupBy("part")).applyInArrow(final, schema)
+    def batch(k: int) -> DataFrame:
+        return answers.where(F.pmod("part", F.lit(BATCHES)) == k).groupBy("part").applyInArrow(final, schema)
+
+    scored = [office.rows(lambda k=k: batch(k), f"scores-{k}") for k in range(BATCHES)]
+    office.drop("grams", "gram-counts", "pair-classes", "word-answers", "gram-answers", "pair-answers")
+    return reduce(DataFrame.unionByName, scored)

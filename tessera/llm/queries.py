@@ -74,9 +74,10 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    shard = pitman_yor.chunks(docs, "text", F.col("file"), F.col("row"))
+    n, total = pitman_yor.extent(docs, "text")
+    shard = pitman_yor.chunks("text", F.col("file"), F.col("row"), n, total)
     learn = F.coalesce(crc_mod("doc_id", 10) != 0, F.lit(True))
-    scored = pitman_yor.score(docs, learn, shard=shard)
+    scored = pitman_yor.score(docs, learn, shard=shard, parts=pitman_yor.parts_for(total))
     return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

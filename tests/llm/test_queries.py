@@ -458,3 +458,23 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd_folders):
     ids = {r.doc_id for r in out}
     assert None in ids and 2 in ids and 20 < len(out) and all(r.round_trip for r in out)
     assert corpus_pipeline.run(spark, none).collect() == []
+
+
+def test_mail_of_op10_grows_with_texts_alone(spark, tmp_path, monkeypatch):
+    """Forty small files and forty partitions of shuffles: no list for each two of them."""
+    texts = [" ".join(f"w{(k * j) % 23}" for j in range(12)) for k in range(400)]
+    table(spark, texts).select("doc_id", "text").repartition(40).write.parquet(str(tmp_path / "documents.parquet"))
+    sent, post, before = {}, pitman_yor.Office.post, spark.conf.get("spark.sql.shuffle.partitions")
+
+    def counted(self, mail, name, *mode):
+        post(self, mail, name, *mode)
+        if name in ("grams", "gram-counts"):
+            sent[name] = self.at[name].where(F.col("kind") < 40).count()
+
+    monkeypatch.setattr(pitman_yor.Office, "post", counted)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert queries.op10_pitman_yor(spark, str(tmp_path)).count() == 400
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sent["grams"] <= 4 and sent["gram-counts"] <= 2

@@ -391,3 +391,22 @@ def test_lists_as_bytes():
 
 def test_chi_square():
     assert abs(neighbours.chi_square_at(0.95, 8) - 15.507) < 0.01
+
+
+def test_order_of_is_stable_where_leading_bits_agree():
+    """Values that differ in their last bits alone, in any number, stand in full order and equal ones as they came."""
+    rng = np.random.default_rng(5)
+    close = np.uint64(1 << 63) + rng.integers(0, 5, 5000).astype(np.uint64)
+    for x in (close, rng.integers(0, 1 << 62, 5000).astype(np.uint64), np.zeros(0, np.uint64), np.zeros(3, np.uint64)):
+        assert (pitman_yor.order_of(x) == np.argsort(x, kind="stable")).all()
+
+
+def test_kept_chunk_is_the_same():
+    docs = pa.table({"doc_id": ["x", None, "y"], "learn": [True, False, True], "text": ["A b a", None, "b c"]})
+    mail = pitman_yor.Mail(None)
+    chunk = pitman_yor.Chunk.of_docs(docs, 7)
+    chunk.keep(3, mail)
+    back = pitman_yor.Chunk.kept(pitman_yor.Mail(mail.table()), 7)
+    assert back.ids.to_pylist() == ["x", None, "y"] and back.sizes.tolist() == [4, 1, 3] and back.learn.tolist() == [True] * 4 + [False] + [True] * 3
+    for name in ("word", "gram", "pair", "two", "one"):
+        assert (getattr(chunk, name) == getattr(back, name)).all()
