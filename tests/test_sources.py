@@ -179,8 +179,8 @@ def test_markup_of_other_layouts(spark, tmp_path):
         assert {(r.node_id, r.size) for r in g.node_attrs.where("size is not null").collect()} == {("B", 1)}
 
 
-def test_written_graph_without_rows_leaves_the_plan(spark, graph):
-    """A hyperedge is read once for its direction and its arcs; joins with tables that have no rows aren't planned."""
+def test_tables_without_rows_leave_the_plan(spark):
+    """Joins with tables that have no rows are not planned."""
     g = build.add_edges(empty(spark, True), spark.createDataFrame([("h", ["A"], ["B"])], "edge_id string, head array<string>, tail array<string>"), unique=True)
     plan = g.members._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
