@@ -47,11 +47,13 @@ PIECE_BYTES = 256 << 10  # of texts that are cut into words at once, so that the
 LONG = 64 << 10  # a longer text is a chunk of its own
 MOST_ROWS = 4096
 RUNS = 512  # of rows that follow each other in a file, for each chunk
+BLOCK = 1 << 17  # of numbers that are worked out at once, so that what lies between stays in the cache
 BATCHES = 4  # in which receivers of much mail get it, so that not all of it is shuffled at once
 END = np.uint64(0x9D39247E33776D41 & ~255)
 START = np.uint64(0x51ED270B9F3C8A6D & ~255)
 WORD_BITS = np.uint64(~255 & (1 << 64) - 1)
 KEY = np.uint64(40)
+LOW_BITS = np.uint64((1 << 40) - 1)
 EXACT_BINS, OCTAVE = 1024, 64
 DISCOUNTS = np.arange(0.02, 0.99, 0.02)
 STRENGTHS = 10 ** np.arange(-1, 3.01, 1 / 3)
@@ -75,7 +77,10 @@ def token_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix64(mix64(a) * np.uint64(0x9E3779B97F4A7C15) + b)
+    out = np.empty(len(a), np.uint64)
+    for k in range(0, len(a), BLOCK):
+        out[k : k + BLOCK] = mix64(mix64(a[k : k + BLOCK]) * np.uint64(0x9E3779B97F4A7C15) + b[k : k + BLOCK])
+    return out
 
 
 def gram_codes(word: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -94,10 +99,18 @@ def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     by = order_of(x)
     sort = x[by]
     new = np.append(True, sort[1:] != sort[:-1])[: len(x)]
-    place = np.empty(len(x), np.int64)
-    place[by] = np.cumsum(new) - 1
-    cut = np.flatnonzero(new)
-    return sort[cut], by[cut], place
+    kind = index_type(len(x))
+    cut = np.flatnonzero(new).astype(kind)
+    keys, first = sort[cut], by[cut].astype(kind)
+    del sort
+    place = np.empty(len(x), kind)
+    place[by] = np.cumsum(new, dtype=kind) - kind(1)
+    return keys, first, place
+
+
+def index_type(n: int) -> type:
+    """Places among n values, in half the memory unless there are very many."""
+    return np.int32 if n < 1 << 31 else np.int64
 
 
 def order_of(x: np.ndarray) -> np.ndarray:
@@ -108,7 +121,12 @@ def order_of(x: np.ndarray) -> np.ndarray:
     bits = max(1, (len(x) - 1).bit_length())
     free = np.uint64(64 - int(x.max()).bit_length() if len(x) else 0)
     low = np.uint64((1 << bits) - 1)
-    by = (np.sort(x << free & ~low | np.arange(len(x), dtype=np.uint64)) & low).astype(np.int64)
+    both = x << free
+    both &= ~low
+    both |= np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    both &= low
+    by = both.view(np.int64)
     sort = x[by]
     return by if bool((sort[1:] >= sort[:-1]).all()) else np.argsort(x, kind="stable")
 
@@ -255,22 +273,31 @@ class Chunk:
     @classmethod
     def kept(cls, mail: Mail, parts: int) -> Chunk:
         ids, learn, sizes, codes, at = mail.own(TOKENS)
-        return cls(pa.ipc.open_stream(ids.tobytes()).read_all()["doc_id"], learn, sizes.astype(np.int64), codes, at.astype(np.int64), parts)
+        return cls(pa.ipc.open_stream(ids.tobytes()).read_all()["doc_id"], learn, sizes.astype(np.int64), codes, at.astype(index_type(len(codes))), parts)
 
     def grams(self) -> None:
-        lead = home(self.two, self.parts) >> KEY << KEY  # a dish lives with its context
-        self.keys3, self.first3, self.at3 = ranked(lead | self.gram >> np.uint64(24))
+        """Once; the codes of grams go, as no step needs them but by their ranks."""
+        lead = home(self.two, self.parts)
+        lead &= ~LOW_BITS  # a dish lives with its context
+        self.gram >>= np.uint64(24)
+        lead |= self.gram
+        self.gram = None
+        self.keys3, self.first3, self.at3 = ranked(lead)
 
     def pairs(self) -> None:
+        """Once and after grams(), if at all; the codes go."""
         start = pair(np.array([START]), np.array([START]))
-        self.keys2, self.first2, at = ranked(home(np.append(self.pair, start), self.parts))
+        codes = np.append(self.pair, start)
+        begin = self.two == start[0]
+        self.gram = self.pair = self.two = None
+        self.keys2, self.first2, at = ranked(home(codes, self.parts))
         self.at2 = at[:-1]
-        self.ahead = np.where(self.two == start[0], at[-1], np.append(at[-1], self.at2[:-1]))  # of the context of two words
+        self.ahead = np.where(begin, at[-1], np.append(at[-1], self.at2[:-1]))  # of the context of two words
 
     def words(self) -> None:
         part = word_home(self.seen, self.parts)
         by = np.lexsort((self.seen, part))
-        place = np.empty(len(by), np.int64)
+        place = np.empty(len(by), index_type(len(by)))
         place[by] = np.arange(len(by))
         self.codes, self.code_part = self.seen[by], part[by]
         at = place[self.at]
@@ -287,9 +314,6 @@ def in_order(mail: Mail, kind: int) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*held)]
 
 
-LOW_BITS = np.uint64((1 << 40) - 1)
-
-
 def ask_grams(chunk: Chunk, name: int, mail: Mail) -> None:
     chunk.keep(name, mail)
     chunk.grams()
@@ -770,19 +794,24 @@ Level = tuple[float, float]  # strength and discount
 
 
 def scores_of(chunk: Chunk, mail: Mail, total: float, vocabulary: float, samples: list[tuple[Level, Level, Level, float]], tokens: bool) -> pa.Table:
+    """Scores of the texts of a chunk. Counts stay in the few bytes that they come in until a block of grams is worked out."""
     chunk.grams()
     chunk.pairs()
     chunk.words()
-    n, _ = (x.astype(np.int64) for x in in_order(mail, GRAM_COUNTS))
+    length = len(chunk.learn)
+    first2 = np.minimum(chunk.first2, length - 1)  # the pair of two starts is no token's
+    one, word = chunk.at_one[first2], chunk.at1[first2]
+    chunk.word = chunk.one = chunk.at_one = chunk.first2 = chunk.keys2 = None
+    # what all tokens of a pair or of a gram share is worked out once for each
+    ahead, shorter = chunk.ahead[chunk.first3], chunk.at2[chunk.first3]
+    grams_held = len(chunk.keys3)
+    chunk.ahead = chunk.at2 = chunk.first3 = chunk.keys3 = None
+    n, _ = in_order(mail, GRAM_COUNTS)
     kind, _, dynamic, open_two, held_two = in_order(mail, PAIR_CLASSES)
     known, *root = in_order(mail, WORD_ANSWERS)
     multi, asked = np.flatnonzero(n > 1), np.flatnonzero((kind == 2) | dynamic)
     grams, pairs = in_order(mail, GRAM_ANSWERS), in_order(mail, PAIR_ANSWERS)
-    # what all tokens of a pair or of a gram share is worked out once for each
-    first2 = np.minimum(chunk.first2, len(chunk.word) - 1)  # the pair of two starts is no token's
-    one, word = chunk.at_one[first2], chunk.at1[first2]
-    ahead, shorter = chunk.ahead[chunk.first3], chunk.at2[chunk.first3]
-    chance = np.zeros(len(chunk.keys3))
+    chance = np.zeros(grams_held)
     for k, ((s0, d0), (s1, d1), (s2, d2), customers) in enumerate(samples):
         at_root, opened, held = (x.astype(np.float64) for x in root[3 * k : 3 * k + 3])
         p = np.where(at_root > 0, at_root - d0, s0 + d0 * vocabulary) / (s0 + customers)
@@ -792,17 +821,30 @@ def scores_of(chunk: Chunk, mail: Mail, total: float, vocabulary: float, samples
             c, t, o = (x.astype(np.float64) for x in pairs[3 * k : 3 * k + 3])
             count[asked], tables[asked] = np.where(c > 0, c, count[asked]), np.where(c > 0, t, tables[asked])
             context[asked] = np.where(dynamic[asked], o, context[asked])
+            del c, t, o
         p = (np.maximum(0, count - d1 * tables) + (s1 + d1 * opened[one]) * p[word]) / (s1 + held[one])
-        seats = np.minimum(n, 1).astype(np.float64)
-        if len(multi):
-            seats[multi] = grams[k]
-        chance += (np.maximum(0, n - d2 * seats) + (s2 + d2 * context[ahead]) * p[shorter]) / (s2 + held_two[ahead])
-    log_p = np.log10(chance / len(samples))[chunk.at3]
-    c = known[chunk.at1]
-    base = np.log10((known + 0.1) / (total + 0.1 * (vocabulary + 1)))[chunk.at1]
+        del count, tables
+        for a in range(0, grams_held, BLOCK):
+            some = slice(a, a + BLOCK)
+            own, two, less = n[some].astype(np.int64), ahead[some], shorter[some]
+            seats = np.minimum(own, 1).astype(np.float64)
+            if len(multi):
+                i, j = np.searchsorted(multi, (a, a + BLOCK))
+                seats[multi[i:j] - a] = grams[k][i:j]
+            chance[some] += (np.maximum(0, own - d2 * seats) + (s2 + d2 * context[two]) * p[less]) / (s2 + held_two[two])
+    del one, word, ahead, shorter, n, kind, dynamic, open_two, held_two, root, multi, asked, grams, pairs
+    chance /= len(samples)
+    log_p = np.log10(chance, out=chance)[chunk.at3]
+    del chance
+    chunk.at3 = None
+    known = known.astype(np.int64)
     size = chunk.sizes
     begin = np.cumsum(size) - size
-    rows = [np.add.reduceat(x, begin) for x in ((c > 0).astype(np.int64), base, log_p)]
+
+    def sums(of_words: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(of_words[chunk.at1], begin)
+
+    rows = [sums((known > 0).astype(np.int64)), sums(np.log10((known + 0.1) / (total + 0.1 * (vocabulary + 1)))), np.add.reduceat(log_p, begin)]
     names = ["doc_id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     arrays = [chunk.ids, *map(pa.array, (chunk.learned, size, rows[0], np.full(len(size), int(total)), rows[1], rows[2]))]
     if tokens:

@@ -3,6 +3,7 @@
 import io
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -410,3 +411,32 @@ def test_kept_chunk_is_the_same():
     assert back.ids.to_pylist() == ["x", None, "y"] and back.sizes.tolist() == [4, 1, 3] and back.learn.tolist() == [True] * 4 + [False] + [True] * 3
     for name in ("word", "gram", "pair", "two", "one"):
         assert (getattr(chunk, name) == getattr(back, name)).all()
+
+
+def test_scoring_memory():
+    """Scoring a chunk takes a bounded number of bytes a token: two run in an executor at once, beside its heap."""
+    rng = np.random.default_rng(3)
+    n_tokens = 1 << 18
+    codes = np.append(pitman_yor.mix64(np.arange(1, 40_001, dtype=np.uint64)) & pitman_yor.WORD_BITS, pitman_yor.START)
+    at = np.append(rng.integers(0, 40_000, n_tokens), 40_000)
+    chunk = pitman_yor.Chunk(pa.chunked_array([np.arange(256)]), np.ones(256, bool), np.full(256, n_tokens // 256), codes, at, 1)
+    mail = pitman_yor.Mail(None)
+    chunk.keep(0, mail)
+    chunk.grams()
+    chunk.pairs()
+    chunk.words()
+    grams, pairs, words = (len(x) for x in (chunk.keys3, chunk.keys2, chunk.codes))
+    byte = lambda n, k=1: [rng.integers(1, 3, n).astype(np.uint8) for _ in range(k)]
+    count = np.bincount(chunk.at3, minlength=grams).astype(np.uint8)
+    got = {pitman_yor.GRAM_COUNTS: [count, count > 0], pitman_yor.PAIR_CLASSES: [*byte(pairs), np.ones(pairs, bool), np.ones(pairs, bool), *byte(pairs, 2)]}
+    got |= {pitman_yor.WORD_ANSWERS: byte(words, 10), pitman_yor.GRAM_ANSWERS: byte(np.count_nonzero(count > 1), 3), pitman_yor.PAIR_ANSWERS: byte(pairs, 9)}
+    mail.got = {k: [(0, pitman_yor.pack(*x))] for k, x in got.items()} | {pitman_yor.TOKENS: [(0, mail.out[0][3])]}
+    del chunk
+    tracemalloc.start()
+    try:
+        held = pitman_yor.scores_of(pitman_yor.Chunk.kept(mail, 1), mail, 1e6, 1e4, [((1.0, 0.5), (2.0, 0.6), (3.0, 0.7), 1e5)] * 3, False)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert held.num_rows == 256 and np.isfinite(held["score"].to_numpy()).all()
+    assert peak < 200 * n_tokens, peak / n_tokens
