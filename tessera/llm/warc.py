@@ -96,8 +96,7 @@ def record_bytes(r: dict) -> bytes:
     head = ["WARC/1.1", f"WARC-Type: {r['warc_type']}", f"WARC-Record-ID: <{r['record_id']}>"]
     head += [f"{k}: {v}" for k, v in (("WARC-Target-URI", r["uri"]), ("WARC-Date", r["date"]), ("WARC-Profile", NOT_MODIFIED if revisit else None)) if v is not None]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
-    member = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return member.compress(b"".join(("\r\n".join(head).encode(), b"\r\n\r\n", block, b"\r\n\r\n"))) + member.flush()
+    return zlib.compress(b"".join(("\r\n".join(head).encode(), b"\r\n\r\n", block, b"\r\n\r\n")), 1, 31)
 
 
 def fields_of(raw: bytes) -> dict[str, str]:
@@ -107,15 +106,19 @@ def fields_of(raw: bytes) -> dict[str, str]:
     for line in raw.decode("utf-8", "replace").splitlines():
         if line[:1] in " \t" and last:
             out[last] += " " + line.strip()
-        elif ":" in line:
-            last, _, value = line.partition(":")
-            last = last.strip().lower()
+            continue
+        name, colon, value = line.partition(":")
+        if colon:
+            last = name.strip().lower()
             out[last] = value.strip()
     return out
 
 
-def inflated(stream, size: int = 1 << 20) -> Iterator[bytes]:
-    """Parts of a plain stream, or of one of gzip members."""
+def inflated(stream, size: int = 1 << 20, step: int = 1 << 14) -> Iterator[bytes]:
+    """Parts of a plain stream, or of one of gzip members.
+
+    Members are fed `step` bytes at a time: what lies behind a member's end is copied, for every member.
+    """
     held = stream.read(size)
     if held[:2] != b"\x1f\x8b":
         while held:
@@ -124,18 +127,20 @@ def inflated(stream, size: int = 1 << 20) -> Iterator[bytes]:
         return
     member = zlib.decompressobj(31)
     while held:
-        out = [member.decompress(held)]
-        while member.eof and member.unused_data:
-            rest, member = member.unused_data, zlib.decompressobj(31)
-            out.append(member.decompress(rest))
-        if member.eof:
-            member = zlib.decompressobj(31)
+        out, view = [], memoryview(held)
+        for at in range(0, len(held), step):
+            out.append(member.decompress(view[at : at + step]))
+            while member.eof and (rest := member.unused_data):
+                member = zlib.decompressobj(31)
+                out.append(member.decompress(rest))
+            if member.eof:
+                member = zlib.decompressobj(31)
         yield b"".join(out)
         held = stream.read(size)
 
 
-def parse(stream) -> Iterator[dict]:
-    """Response and revisit records of a plain or gzipped stream, one at a time; a record that is cut off is left out."""
+def parse(stream, fields_too: bool = True) -> Iterator[dict]:
+    """Response and revisit records of a plain or gzipped stream, one at a time; a record that is cut off is left out. Header fields of HTTP are left out unless asked for."""
     parts, held, at = inflated(stream), b"", 0
 
     def more() -> bool:
@@ -162,7 +167,7 @@ def parse(stream) -> Iterator[dict]:
             top, _, body = held[begin:at].partition(b"\r\n\r\n")
             line, _, fields = top.partition(b"\r\n")
             status = line.split()
-            yield {"record_id": head.get("warc-record-id", "").strip("<>"), "warc_type": kind, "uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None, "headers": fields_of(fields), "body": body if kind == "response" else None}
+            yield {"record_id": head.get("warc-record-id", "").strip("<>"), "warc_type": kind, "uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None, "headers": fields_of(fields) if fields_too else None, "body": body if kind == "response" else None}
 
 
 ARROW = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
@@ -203,7 +208,7 @@ def read(spark: SparkSession, names: DataFrame, folder: str, only: tuple[str, ..
             for name in batch.column(0).to_pylist():
                 with store.open_input_stream(f"{root}/{name}", compression=None) as raw:
                     held: list[tuple] = []
-                    for r in parse(raw):
+                    for r in parse(raw, "headers" in columns):
                         if bodies and (r["warc_type"], r["status"]) != ("response", 200):
                             continue
                         held.append(tuple(list(r[c].items()) if c == "headers" else r[c] for c in columns))

@@ -440,3 +440,27 @@ def test_scoring_memory():
         tracemalloc.stop()
     assert held.num_rows == 256 and np.isfinite(held["score"].to_numpy()).all()
     assert peak < 200 * n_tokens, peak / n_tokens
+
+
+def test_members_are_fed_once(monkeypatch):
+    """What lies behind the end of a gzip member is not handed on for every member: reading grows with the file, not with members times the size of a read."""
+    rows = [{"record_id": f"r{k}", "warc_type": "response", "uri": f"http://x/{k}", "date": "2024-01-01T00:00:00Z", "status": 200, "headers": {"etag": f'"{k}"'}, "body": bytes([k % 251]) * 50} for k in range(3000)]
+    raw, fed = b"".join(map(warc.record_bytes, rows)), [0]
+    made = warc.zlib.decompressobj
+
+    class Counted:
+        def __init__(self, bits):
+            self.held = made(bits)
+
+        def decompress(self, data):
+            fed[0] += len(data)
+            return self.held.decompress(data)
+
+        def __getattr__(self, name):
+            return getattr(self.held, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    got = list(warc.parse(io.BytesIO(raw)))
+    assert [(r["record_id"], r["headers"], r["body"]) for r in got] == [(r["record_id"], r["headers"], r["body"]) for r in rows]
+    assert fed[0] < 60 * len(raw), fed[0] / len(raw)
+    assert [(r["record_id"], r["headers"], r["body"]) for r in warc.parse(io.BytesIO(raw), False)] == [(r["record_id"], None, r["body"]) for r in rows]
