@@ -15,8 +15,9 @@ number of parts change a result.
 
 Restaurants and dishes live in parts, by hash. Chunks of documents and parts, whose numbers grow with the bytes of text alone, write each other lists:
 a chunk asks with sorted keys, the part answers in the same order. A chunk keeps its tokens, so texts are read once. Dishes with one customer have
-one table whatever the sweep, so they are only counted. Parts and chunks are rows of one table of mail that is
-grouped by receiver in each step; no list is larger than a part or a chunk.
+one table whatever the sweep, so they are only counted. Lists are rows of one table of mail that is
+grouped by receiver in each step; no list is larger than a part or a chunk. Long lists stay in files of the shared folder, which the sender
+writes and the receiver reads: what is shuffled says where they are.
 
 Keys of grams are 40 bits of a hash within their part; words are 56-bit hashes. Of grams of a chunk that share a key, the first one's words stand for all.
 
@@ -29,18 +30,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 from math import ceil, lgamma
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, Stash, mix64, pieces, prefix_hashes, range_hashes, text_buffer, tidy, words_of
+from tessera.llm.common import LOWER, Stash, mix64, open_store, pieces, prefix_hashes, range_hashes, text_buffer, tidy, words_of
 
 BURN_IN, SAMPLES = 2, 3
 MOVES = 8  # customers of a dish up to which its tables are rows of a matrix
-FEW = 100  # dishes below which a sweep goes on one by one
-TRIALS = 8  # draws at once for customers whose first was not accepted
+FEW = 64  # dishes below which a sweep goes on one by one
+NUMBERS = 1 << 15  # random numbers of a sweep that are drawn at once
+TRIALS = 2, 4, 8, 16  # draws at once for customers whose first was not accepted
 CHUNK_BYTES = 8 << 20  # of texts, on average
 PART_BYTES = 16 << 20  # of texts for each part
 PIECE_BYTES = 256 << 10  # of texts that are cut into words at once, so that their arrays stay in the cache
@@ -48,7 +51,8 @@ LONG = 64 << 10  # a longer text is a chunk of its own
 MOST_ROWS = 4096
 RUNS = 512  # of rows that follow each other in a file, for each chunk
 BLOCK = 1 << 17  # of numbers that are worked out at once, so that what lies between stays in the cache
-BATCHES = 4  # in which receivers of much mail get it, so that not all of it is shuffled at once
+INLINE = 1 << 10  # bytes up to which a list stands in its row
+TASKS = 4  # for each core, at most, among which receivers are dealt
 END = np.uint64(0x9D39247E33776D41 & ~255)
 START = np.uint64(0x51ED270B9F3C8A6D & ~255)
 WORD_BITS = np.uint64(~255 & (1 << 64) - 1)
@@ -96,15 +100,17 @@ def gram_codes(word: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values, where each stands first, and the place of every value among them."""
-    by = order_of(x)
-    sort = x[by]
-    new = np.append(True, sort[1:] != sort[:-1])[: len(x)]
+    by, sort = sorted_by(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(sort[1:], sort[:-1], out=new[1:])
     kind = index_type(len(x))
-    cut = np.flatnonzero(new).astype(kind)
-    keys, first = sort[cut], by[cut].astype(kind)
-    del sort
+    cut = np.flatnonzero(new)
+    keys, first = sort.take(cut), by.take(cut).astype(kind)
+    del sort, cut
     place = np.empty(len(x), kind)
-    place[by] = np.cumsum(new, dtype=kind) - kind(1)
+    rank = np.cumsum(new, dtype=kind)
+    rank -= kind(1)
+    place[by] = rank
     return keys, first, place
 
 
@@ -114,7 +120,12 @@ def index_type(n: int) -> type:
 
 
 def order_of(x: np.ndarray) -> np.ndarray:
-    """Stable order of uint64 values: their leading bits and their places are sorted as one number, which costs a fifth of an argsort.
+    """Stable order of uint64 values."""
+    return sorted_by(x)[0]
+
+
+def sorted_by(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of uint64 values, and the values in it: their leading bits and their places are sorted as one number, which costs a fifth of an argsort.
 
     Values that differ in trailing bits alone may come out of order; then, which is rare for hashes, they are sorted in full.
     """
@@ -127,15 +138,18 @@ def order_of(x: np.ndarray) -> np.ndarray:
     both.sort()
     both &= low
     by = both.view(np.int64)
-    sort = x[by]
-    return by if bool((sort[1:] >= sort[:-1]).all()) else np.argsort(x, kind="stable")
+    sort = x.take(by)
+    if not bool((sort[1:] >= sort[:-1]).all()):
+        by = np.argsort(x, kind="stable")
+        sort = x.take(by)
+    return by, sort
 
 
 def ranked_few(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values and the place of every value among them, by a hash table: for values that repeat often."""
     held = pa.array(x).dictionary_encode()
     values, _, place = ranked(held.dictionary.to_numpy())
-    return values, place[held.indices.to_numpy()]
+    return values, place.take(held.indices.to_numpy())
 
 
 # lists of numbers as bytes
@@ -183,35 +197,79 @@ def small(x: np.ndarray) -> np.ndarray:
 
 
 class Mail:
-    """What one receiver got, by kind and sender, and what it sends."""
+    """What one receiver got, by kind and sender, and what it sends. root: the shared folder of long lists."""
 
-    def __init__(self, table: pa.Table | None):
+    def __init__(self, table: pa.Table | None, root: str | None = None):
         self.got: dict[int, list[tuple[int, bytes]]] = {}
         self.out: list[tuple] = []
+        self.files: dict[bytes, pa.NativeFile] = {}
+        self.root = root
         if table is not None:
-            for peer, kind, data in zip(table["peer"].to_pylist(), table["kind"].to_pylist(), table["data"].to_pylist()):
-                self.got.setdefault(kind, []).append((peer, data))
+            for peer, n, kind, data in zip(*(table[x].to_pylist() for x in ("peer", "n", "kind", "data"))):
+                self.got.setdefault(kind, []).append((peer, data, n) if n else (peer, data))
         for held in self.got.values():
             held.sort(key=lambda x: x[0])  # whatever order it came in
 
+    def list_of(self, data: bytes, n: int = 0) -> list[np.ndarray]:
+        """A list that stands in its row, or n bytes of a file."""
+        if not n:
+            return unpack(data)
+        name = data[8:]
+        if name not in self.files:
+            store, path = open_store(f"{self.root}/{name.decode()}")
+            self.files[name] = store.open_input_file(path)
+        return unpack(self.files[name].read_at(n, int.from_bytes(data[:8], "little")))
+
     def of(self, kind: int) -> list[tuple[int, list[np.ndarray]]]:
-        return [(peer, unpack(data)) for peer, data in self.got.get(kind, [])]
+        out = [(peer, self.list_of(*data)) for peer, *data in self.got.get(kind, [])]
+        self.close()
+        return out
 
     def own(self, kind: int) -> list[np.ndarray] | None:
         held = self.got.get(kind)
-        return unpack(held[0][1]) if held else None
+        return self.list_of(*held[0][1:]) if held else None
+
+    def close(self) -> None:
+        for file in self.files.values():
+            file.close()
+        self.files = {}
 
     def send(self, part: int, peer: int, kind: int, *arrays: np.ndarray) -> None:
         self.out.append((int(part), int(peer), 0, pack(*arrays), kind))
 
     def count(self, kind: int, values: np.ndarray) -> None:
         """Tell the driver how often each value occurs, large ones to within a hundredth."""
-        bins, times = np.unique(bin_of(values), return_counts=True)
-        self.out += [(-1, int(b), int(n), None, kind) for b, n in zip(bins, times)]
+        few = values < EXACT_BINS
+        times = np.bincount(values[few] if values.dtype.itemsize == 8 else values[few].astype(np.int64))
+        times[:1] = 0
+        bins = np.flatnonzero(times)
+        self.out += [(-1, b, n, None, kind) for b, n in zip(bins.tolist(), times[bins].tolist())]
+        bins, times = np.unique(bin_of(values[~few]), return_counts=True)
+        self.out += [(-1, b, n, None, kind) for b, n in zip(bins.tolist(), times.tolist())]
 
     def sum(self, which: int, value: int) -> None:
         self.out.append((-1, which, int(value), None, SUMS))
 
+    def shelve(self, name: str) -> None:
+        """Write long lists to files of the shared folder, one of each kind; rows keep where they stand.
+
+        A repeated task writes files of other names, and only rows of the one that ended well are read.
+        """
+        files: dict[int, tuple] = {}
+        for k, (part, peer, _, data, kind) in enumerate(self.out):
+            if data is None or len(data) <= INLINE:
+                continue
+            if kind not in files:
+                folder, file = f"{name}/kind={kind}", uuid4().hex
+                store, path = open_store(f"{self.root}/{folder}")
+                store.create_dir(path, recursive=True)
+                files[kind] = store.open_output_stream(f"{path}/{file}"), f"{folder}/{file}".encode()
+            out, at = files[kind]
+            self.out[k] = part, peer, len(data), out.tell().to_bytes(8, "little") + at, kind
+            out.write(data)
+        for out, _ in files.values():
+            out.close()
+
     def table(self) -> pa.Table:
         names, kinds = ["part", "peer", "n", "data", "kind"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
         columns = list(zip(*self.out)) or [()] * 5
@@ -247,7 +305,7 @@ class Chunk:
 
     def __init__(self, ids: pa.ChunkedArray, learn: np.ndarray, sizes: np.ndarray, codes: np.ndarray, at: np.ndarray, parts: int):
         self.parts, self.ids, self.learned, self.sizes, self.seen, self.at = parts, ids, learn, sizes, codes, at
-        self.word, self.learn = codes[at[:-1]], np.repeat(learn, sizes)
+        self.word, self.learn = codes.take(at[:-1]), np.repeat(learn, sizes)
         self.gram, self.pair, self.two, self.one = gram_codes(self.word, np.cumsum(sizes) - sizes)
 
     @classmethod
@@ -296,11 +354,12 @@ class Chunk:
 
     def words(self) -> None:
         part = word_home(self.seen, self.parts)
-        by = np.lexsort((self.seen, part))
+        by = order_of(self.seen)
+        by = by.take(np.argsort(part.take(by).astype(np.uint16 if self.parts <= 1 << 16 else np.uint64), kind="stable"))
         place = np.empty(len(by), index_type(len(by)))
-        place[by] = np.arange(len(by))
-        self.codes, self.code_part = self.seen[by], part[by]
-        at = place[self.at]
+        place[by] = np.arange(len(by), dtype=place.dtype)
+        self.codes, self.code_part = self.seen.take(by), part.take(by)
+        at = place.take(self.at)
         self.at1 = at[:-1]
         self.at_one = np.where(self.one == START, at[-1], np.append(at[-1], self.at1[:-1]))  # of the word before
 
@@ -333,7 +392,7 @@ def count_grams(part: int, mail: Mail) -> None:
     first[held[np.unique(which[held], return_index=True)[1]]] = True
     at = 0
     for peer, (k, _) in asked:
-        mail.send(peer, part, GRAM_COUNTS, small(total[which[at : at + len(k)]]), first[at : at + len(k)])
+        mail.send(peer, part, GRAM_COUNTS, small(total.take(which[at : at + len(k)])), first[at : at + len(k)])
         at += len(k)
 
 
@@ -341,9 +400,9 @@ def ask_pairs(chunk: Chunk, name: int, mail: Mail) -> None:
     chunk.grams()
     chunk.pairs()
     total, first = in_order(mail, GRAM_COUNTS)
-    n, size = total[chunk.at3], len(chunk.keys2)
+    n, size = total.take(chunk.at3), len(chunk.keys2)
     lone, several = np.flatnonzero(chunk.learn & (n == 1)), np.flatnonzero(chunk.learn & (n > 1))
-    fields = [chunk.tally(chunk.at2[lone], size), chunk.tally(chunk.at2[several], size) > 0, chunk.tally(chunk.ahead[lone], size), chunk.tally(chunk.ahead[chunk.learn], size)]
+    fields = [chunk.tally(chunk.at2.take(lone), size), chunk.tally(chunk.at2.take(several), size) > 0, chunk.tally(chunk.ahead.take(lone), size), chunk.tally(chunk.ahead[chunk.learn], size)]
     for p, a, b in by_part(chunk.keys2 >> KEY):
         mail.send(p, name, PAIRS, chunk.keys2[a:b] & LOW_BITS, *(small(x[a:b]) for x in fields))
     multi = np.flatnonzero(total > 1)
@@ -387,7 +446,7 @@ def count_pairs(part: int, mail: Mail) -> None:
     at = 0
     for peer, (k, *_) in asked:
         w = which[at : at + len(k)]
-        mail.send(peer, part, PAIR_CLASSES, kind[w].astype(np.uint8), fresh[at : at + len(k)], dynamic[w], small(opened[w]), small(held[w]))
+        mail.send(peer, part, PAIR_CLASSES, kind.take(w).astype(np.uint8), fresh[at : at + len(k)], dynamic.take(w), small(opened.take(w)), small(held.take(w)))
         at += len(k)
 
 
@@ -403,7 +462,7 @@ def ask_words(chunk: Chunk, name: int, mail: Mail) -> None:
     for p, a, b in by_part(chunk.keys2[asked] >> KEY):
         mail.send(p, name, ASKED_PAIRS, chunk.keys2[asked[a:b]] & LOW_BITS)
     size = len(chunk.codes)
-    lone = np.flatnonzero(chunk.learn & (kind[chunk.at2] == 1))  # such a pair stands once in all training texts
+    lone = np.flatnonzero(chunk.learn & (kind.take(chunk.at2) == 1))  # such a pair stands once in all training texts
     fields = [chunk.tally(chunk.at1[chunk.learn], size), chunk.tally(chunk.at1[lone], size), chunk.tally(chunk.at_one[lone], size)]
     for p, a, b in by_part(chunk.code_part):
         mail.send(p, name, WORDS, chunk.codes[a:b], *(small(x[a:b]) for x in fields))
@@ -513,6 +572,25 @@ def whole_sweep(key: np.ndarray, want: np.ndarray, tables: np.ndarray, sizes: np
         count[d[gone]] -= 1
         free[at[d[gone]] + count[d[gone]]] = table[gone]
 
+    def tried_again(d: np.ndarray, who: np.ndarray, others: np.ndarray, number: int) -> np.ndarray:
+        """Tables of customers whose first draw was not accepted."""
+        table, left, trial, turn = np.empty(len(d), np.int64), np.arange(len(d)), 1, 0
+        while len(left):
+            e, several = d.take(left), TRIALS[min(turn, len(TRIALS) - 1)]
+            numbers = np.array([number + (k << 48) & WORD for k in range(trial, trial + several)], np.uint64)
+            x = numbered(keys.take(e)[:, None], numbers) * others.take(left)[:, None]
+            j = x.astype(np.int64)
+            found = seat.take(at.take(e)[:, None] + j + (j >= who.take(left)[:, None]))
+            held = size.take(found)
+            x -= j
+            x *= held
+            sure = x < held - discount
+            first = sure.argmax(axis=1)
+            row = np.arange(len(left))
+            table[left] = found[row, first]  # of those without one, any, until their turn
+            left, trial, turn = left[~sure[row, first]], trial + several, turn + 1
+        return table
+
     def find_table(d: np.ndarray, who: np.ndarray, others: np.ndarray, number: int) -> None:
         # one number decides all of it: where it falls among the weights, which customer that is, and how far into them
         places, tables = at[d], count[d]
@@ -526,19 +604,8 @@ def whole_sweep(key: np.ndarray, want: np.ndarray, tables: np.ndarray, sizes: np
         table[fresh] = free[places[fresh] + tables[fresh]]
         count[d[fresh]] += 1
         held = size[table]
-        left, trial = np.flatnonzero(~fresh & ((x - j) * held >= held - discount)), 1
-        while len(left):
-            e = d[left]
-            numbers = np.array([number + (k << 48) & WORD for k in range(trial, trial + TRIALS)], np.uint64)
-            x = numbered(keys[e][:, None], numbers) * others[left][:, None]
-            j = x.astype(np.int64)
-            found = seat[at[e][:, None] + j + (j >= who[left][:, None])]
-            held = size[found]
-            sure = (x - j) * held < held - discount
-            first = sure.argmax(axis=1)
-            hit = sure[np.arange(len(left)), first]
-            table[left[hit]] = found[hit, first[hit]]
-            left, trial = left[~hit], trial + TRIALS
+        left = np.flatnonzero(~fresh & ((x - j) * held >= held - discount))
+        table[left] = tried_again(d[left], who[left], others[left], number)
         size[table] += 1
         seat[at[d] + who] = table
 
@@ -549,47 +616,127 @@ def whole_sweep(key: np.ndarray, want: np.ndarray, tables: np.ndarray, sizes: np
         leave_table(d, seat[j])
         now[d] -= 1
         seat[j] = seat[at[d] + now[d]]
-    for step in range(int(np.max(wanted - have, initial=0))):
-        d = np.flatnonzero(wanted - have > step)
+    more = wanted - have
+    rising = np.sort(more)[::-1]
+    several = max(0, int(rising[FEW])) if len(rising) > FEW else 0
+    for step in range(several):
+        d = np.flatnonzero(more > step)
         find_table(d, now[d], now[d], base + 4 * step)
         now[d] += 1
+    for d in np.flatnonzero(more > several).tolist():
+        # the same for a few dishes, draw by draw, in plain numbers
+        first, k, others, tables_now = int(at[d]), int(keys[d]), int(now[d]), int(count[d])
+        cut = slice(first, first + int(room[d]))
+        seats, held, open_places = (seat[cut] - first).tolist(), size[cut].tolist(), (free[cut] - first).tolist()
+        fa, fb, fbegun = float(a[d]), float(b[d]), int(begun[d])
+        numbers = np.uint64(base) + np.uint64(4) * np.arange(several, int(more[d]), dtype=np.uint64)
+        for step, u in enumerate(numbered(keys[d : d + 1], numbers).tolist(), several):
+            new_weight = max(1e-300, fa + fb * (tables_now - fbegun))
+            old_weight = max(0.0, others - discount * tables_now)
+            x = u * (new_weight + old_weight) - new_weight
+            if x < 0 or not old_weight:
+                table = open_places[tables_now]
+                tables_now += 1
+            else:
+                x, trial = x / old_weight * others, 1
+                j = min(int(x), others - 1)
+                table = seats[j]
+                while (x - j) * held[table] >= held[table] - discount:
+                    x = numbered_one(k, base + 4 * step + (trial << 48)) * others
+                    j = int(x)
+                    table = seats[j]
+                    trial += 1
+            held[table] += 1
+            seats[others] = table
+            others += 1
+        seat[cut], size[cut], count[d] = np.array(seats) + first, held, tables_now
     base += 1 << 31
-    step, active = 0, len(wanted)
+    step, active = 0, int(np.searchsorted(-wanted, 0, "left"))
     while active > FEW:
-        d = np.arange(active)
-        leave_table(d, seat[at[:active] + step])
-        find_table(d, np.full(active, step), wanted[:active] - 1, base + 4 * step)
-        step += 1
+        # steps whose random numbers are drawn at once
+        ahead = min(max(1, NUMBERS // active), int(wanted[active - 1]) - step)
+        draws = numbered(keys[:active], (np.uint64(base) + np.uint64(4) * np.arange(step, step + ahead, dtype=np.uint64))[:, None])
+        places, n, tables, first, pull_now, slope_now = at[:active], wanted[:active] - 1, count[:active], begun[:active], a[:active], b[:active]
+        last = np.maximum(0, n - 1)
+        for u in draws:
+            here = places + step
+            table = seat.take(here)
+            held = size.take(table)
+            held -= 1
+            size[table] = held
+            d = (held == 0).nonzero()[0]
+            if len(d):
+                tables[d] -= 1
+                free[places[d] + tables[d]] = table[d]
+            fresh_weight = slope_now * (tables - first)
+            fresh_weight += pull_now
+            np.maximum(fresh_weight, 1e-300, out=fresh_weight)
+            rest = np.maximum(0.0, n - discount * tables)
+            x = u * (fresh_weight + rest)
+            x -= fresh_weight
+            d = np.flatnonzero((x < 0) | (rest == 0))
+            x[d], rest[d] = 0, 1
+            x /= rest
+            x *= n
+            j = np.minimum(x.astype(np.int64), last)
+            x -= j
+            j += j >= step
+            j += places
+            table = seat.take(j)
+            if len(d):
+                table[d] = free[places[d] + tables[d]]
+                tables[d] += 1
+            held = size.take(table)
+            x *= held
+            refused = x >= held - discount
+            refused[d] = False
+            left = np.flatnonzero(refused)
+            if len(left):
+                table[left] = tried_again(left, np.full(len(left), step), n[left], base + 4 * step)
+                held[left] = size[table[left]]
+            size[table] = held + 1
+            seat[here] = table
+            step += 1
         active = int(np.searchsorted(-wanted, -step, "left"))
     for d in range(active):
         # the same, draw by draw, in plain numbers
         n, first, k, tables_now = int(wanted[d]), int(at[d]), int(keys[d]), int(count[d])
         cut = slice(first, first + int(room[d]))
         seats, held, open_places = (seat[cut] - first).tolist(), size[cut].tolist(), (free[cut] - first).tolist()
-        fa, fb, fbegun = float(a[d]), float(b[d]), int(begun[d])
+        fa, fb, fbegun, most = float(a[d]), float(b[d]), int(begun[d]), n - 2
+        new_weight = max(1e-300, fa + fb * (tables_now - fbegun))
+        old_weight = max(0.0, n - 1 - discount * tables_now)
         for low in range(step, n, 1 << 16):
             numbers = np.uint64(base) + np.uint64(4) * np.arange(low, min(n, low + (1 << 16)), dtype=np.uint64)
             for i, u in enumerate(numbered(keys[d : d + 1], numbers).tolist(), low):
                 table = seats[i]
-                held[table] -= 1
-                if not held[table]:
+                left = held[table] - 1
+                held[table] = left
+                if not left:
                     tables_now -= 1
                     open_places[tables_now] = table
-                fresh_weight = max(1e-300, fa + fb * (tables_now - fbegun))
-                rest = max(0.0, n - 1 - discount * tables_now)
-                x = u * (fresh_weight + rest) - fresh_weight
-                if x < 0 or not rest:
+                    new_weight = max(1e-300, fa + fb * (tables_now - fbegun))
+                    old_weight = max(0.0, n - 1 - discount * tables_now)
+                x = u * (new_weight + old_weight) - new_weight
+                if x < 0 or not old_weight:
                     table = open_places[tables_now]
                     tables_now += 1
+                    new_weight = max(1e-300, fa + fb * (tables_now - fbegun))
+                    old_weight = max(0.0, n - 1 - discount * tables_now)
                 else:
-                    x, trial = x / rest * (n - 1), 1
-                    j = min(int(x), n - 2)
-                    table = seats[j + (j >= i)]
-                    while (x - j) * held[table] >= held[table] - discount:
-                        x = numbered_one(k, base + 4 * i + (trial << 48)) * (n - 1)
-                        j = int(x)
-                        table = seats[j + (j >= i)]
-                        trial += 1
+                    x = x / old_weight * (n - 1)
+                    j = int(x)
+                    if j > most:
+                        j = most
+                    table = seats[j + 1 if j >= i else j]
+                    size_now = held[table]
+                    if (x - j) * size_now >= size_now - discount:
+                        trial = 1
+                        while (x - j) * held[table] >= held[table] - discount:
+                            x = numbered_one(k, base + 4 * i + (trial << 48)) * (n - 1)
+                            j = int(x)
+                            table = seats[j + (j >= i)]
+                            trial += 1
                 held[table] += 1
                 seats[i] = table
         size[cut], count[d] = held, tables_now
@@ -772,18 +919,16 @@ def answer(part: int, mail: Mail) -> None:
             at = np.searchsorted(high[0], keys)
             mail.send(peer, part, GRAM_ANSWERS, *(small(tables[at]) for tables, _ in high_seats))
     for peer, (keys,) in mail.of(ASKED_PAIRS):
-        columns = []
+        columns, none = [], np.zeros(len(keys), np.int64)
+        if low is not None:
+            low_at = np.minimum(np.searchsorted(low[0], keys), len(low[0]) - 1)
+            low_hit = low[0].take(low_at) == keys
+        if high is not None:
+            high_at = np.minimum(np.searchsorted(high[3], keys), len(high[3]) - 1)
+            high_hit = high[3].take(high_at) == keys
         for k in range(SAMPLES):
-            dish = [np.zeros(len(keys), np.int64)] * 2
-            if low is not None:
-                at = np.minimum(np.searchsorted(low[0], keys), len(low[0]) - 1)
-                hit = low[0][at] == keys
-                dish = [np.where(hit, x[at], 0) for x in low_seats[k][:2]]
-            context = np.zeros(len(keys), np.int64)
-            if high is not None:
-                at = np.minimum(np.searchsorted(high[3], keys), len(high[3]) - 1)
-                context = np.where(high[3][at] == keys, opened[k][at], 0)
-            columns += [*dish, context]
+            dish = [none, none] if low is None else [np.where(low_hit, x.take(low_at), 0) for x in low_seats[k][:2]]
+            columns += [*dish, none if high is None else np.where(high_hit, opened[k].take(high_at), 0)]
         mail.send(peer, part, PAIR_ANSWERS, *map(small, columns))
     for peer, (codes, *_) in mail.of(WORDS):
         at = np.searchsorted(root[0], codes)
@@ -800,10 +945,10 @@ def scores_of(chunk: Chunk, mail: Mail, total: float, vocabulary: float, samples
     chunk.words()
     length = len(chunk.learn)
     first2 = np.minimum(chunk.first2, length - 1)  # the pair of two starts is no token's
-    one, word = chunk.at_one[first2], chunk.at1[first2]
+    one, word = chunk.at_one.take(first2), chunk.at1.take(first2)
     chunk.word = chunk.one = chunk.at_one = chunk.first2 = chunk.keys2 = None
     # what all tokens of a pair or of a gram share is worked out once for each
-    ahead, shorter = chunk.ahead[chunk.first3], chunk.at2[chunk.first3]
+    ahead, shorter = chunk.ahead.take(chunk.first3), chunk.at2.take(chunk.first3)
     grams_held = len(chunk.keys3)
     chunk.ahead = chunk.at2 = chunk.first3 = chunk.keys3 = None
     n, _ = in_order(mail, GRAM_COUNTS)
@@ -822,7 +967,7 @@ def scores_of(chunk: Chunk, mail: Mail, total: float, vocabulary: float, samples
             count[asked], tables[asked] = np.where(c > 0, c, count[asked]), np.where(c > 0, t, tables[asked])
             context[asked] = np.where(dynamic[asked], o, context[asked])
             del c, t, o
-        p = (np.maximum(0, count - d1 * tables) + (s1 + d1 * opened[one]) * p[word]) / (s1 + held[one])
+        p = (np.maximum(0, count - d1 * tables) + (s1 + d1 * opened).take(one) * p.take(word)) / (s1 + held).take(one)
         del count, tables
         for a in range(0, grams_held, BLOCK):
             some = slice(a, a + BLOCK)
@@ -831,10 +976,10 @@ def scores_of(chunk: Chunk, mail: Mail, total: float, vocabulary: float, samples
             if len(multi):
                 i, j = np.searchsorted(multi, (a, a + BLOCK))
                 seats[multi[i:j] - a] = grams[k][i:j]
-            chance[some] += (np.maximum(0, own - d2 * seats) + (s2 + d2 * context[two]) * p[less]) / (s2 + held_two[two])
+            chance[some] += (np.maximum(0, own - d2 * seats) + (s2 + d2 * context.take(two)) * p.take(less)) / (s2 + held_two.take(two))
     del one, word, ahead, shorter, n, kind, dynamic, open_two, held_two, root, multi, asked, grams, pairs
     chance /= len(samples)
-    log_p = np.log10(chance, out=chance)[chunk.at3]
+    log_p = np.log10(chance, out=chance).take(chunk.at3)
     del chance
     chunk.at3 = None
     known = known.astype(np.int64)
@@ -842,7 +987,7 @@ def scores_of(chunk: Chunk, mail: Mail, total: float, vocabulary: float, samples
     begin = np.cumsum(size) - size
 
     def sums(of_words: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(of_words[chunk.at1], begin)
+        return np.add.reduceat(of_words.take(chunk.at1), begin)
 
     rows = [sums((known > 0).astype(np.int64)), sums(np.log10((known + 0.1) / (total + 0.1 * (vocabulary + 1)))), np.add.reduceat(log_p, begin)]
     names = ["doc_id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -889,12 +1034,14 @@ def parameters(counts: dict[int, tuple[np.ndarray, np.ndarray]], old: Level, lev
 class Office:
     """Steps of the exchange: mail is written to the shared folder by kind and read by the kinds that a step needs."""
 
-    def __init__(self, stash: Stash):
+    def __init__(self, stash: Stash, parts: int = 1):
         self.stash, self.at = stash, {}
+        # rows say little, so adaptive execution would put all receivers into one task
+        self.tasks = max(1, min(2 * parts, TASKS * stash.spark.sparkContext.defaultParallelism))
 
-    def post(self, mail: Callable[[], DataFrame], name: str, mode: str = "overwrite") -> None:
+    def post(self, mail: Callable[[], DataFrame], name: str) -> None:
         path = f"{self.stash.root}/{name}"
-        mail().write.mode(mode).partitionBy("kind").parquet(path)
+        mail().write.mode("overwrite").partitionBy("kind").parquet(path)
         self.stash.sweep()  # nothing refers to the frame any more, so its shuffle files go
         self.at[name] = self.stash.spark.read.schema(MAIL).option("basePath", path).parquet(path)
 
@@ -915,28 +1062,32 @@ class Office:
         for name in names:
             if self.at.pop(name, None) is not None:
                 self.stash.drop(name)
+                self.stash.drop(f"lists/{name}")
 
     def forget(self, name: str, *kinds: int) -> None:
         """Mail that no later step reads."""
         for kind in kinds:
             self.stash.drop(f"{name}/kind={kind}")
+            self.stash.drop(f"lists/{name}/kind={kind}")
 
-    def step(self, name: str, work: Callable[[int, Mail], None], *mail: DataFrame, batches: int = 1) -> None:
+    def dealt(self, *mail: DataFrame):
+        """Mail by receiver."""
+        return reduce(DataFrame.unionByName, mail).repartition(self.tasks, "part").groupBy("part")
+
+    def step(self, name: str, work: Callable[[int, Mail], None], *mail: DataFrame) -> None:
         """Every part does its work with its mail."""
+        root = self.stash.root
 
         def run(key: tuple, table: pa.Table) -> pa.Table:
-            held = Mail(table)
+            held = Mail(table, root)
             work(key[0].as_py(), held)
+            held.close()
+            held.shelve(f"lists/{name}")
             out = held.table()
             tidy()
             return out
 
-        both = mail[0]
-        for x in mail[1:]:
-            both = both.unionByName(x)
-        for k in range(batches):
-            some = both.where(F.pmod("part", F.lit(batches)) == k) if batches > 1 else both
-            self.post(lambda some=some: some.groupBy("part").applyInArrow(run, MAIL), name, "append" if k else "overwrite")
+        self.post(lambda: self.dealt(*mail).applyInArrow(run, MAIL), name)
 
     def rows_told(self, *names: str) -> list:
         both = self.kinds(names[0], *range(OPEN_HIGH, SUMS + 1))
@@ -983,33 +1134,36 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     tokens: also `token_scores`, the log10 probability of every token. shard: chunk that a row belongs to, best of `chunks`; hashed chunks are made
     without it. parts: among how many restaurants are dealt, else that of `parts_for`.
     """
-    office = Office(Stash(docs.sparkSession, "lm"))
+    stash = Stash(docs.sparkSession, "lm")
+    root = stash.root
     if shard is None or parts is None:
         _, total = extent(docs, text)
         parts = parts or parts_for(total)
         shard = F.pmod(F.xxhash64(doc_id, text), F.lit(ceil(total / CHUNK_BYTES) or 1)) if shard is None else shard
+    office = Office(stash, parts)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), shard.cast("long").alias("shard"))
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
-        held = Mail(None)
+        held = Mail(None, root)
         ask_grams(Chunk.of_docs(table, parts), key[0].as_py(), held)
+        held.shelve("lists/grams")
         out = held.table()
         tidy()
         return out
 
     def ask(name: str, work: Callable[[Chunk, int, Mail], None], *mail: DataFrame) -> None:
         """Every chunk writes to the parts, with the answers that it has."""
-        office.step(name, lambda shard, held: work(Chunk.kept(held, parts), shard, held), office.kinds("grams", TOKENS), *mail, batches=BATCHES)
+        office.step(name, lambda shard, held: work(Chunk.kept(held, parts), shard, held), office.kinds("grams", TOKENS), *mail)
 
     office.post(lambda: docs.groupBy("shard").applyInArrow(first, MAIL), "grams")
     office.step("gram-counts", count_grams, office.kinds("grams", GRAMS))
     office.forget("grams", GRAMS)
     ask("pairs", ask_pairs, office.kinds("gram-counts", GRAM_COUNTS))
-    office.step("pair-classes", count_pairs, office.kinds("pairs", PAIRS, DISHES), batches=BATCHES)
+    office.step("pair-classes", count_pairs, office.kinds("pairs", PAIRS, DISHES))
     office.forget("pairs", PAIRS, DISHES)
     asked = office.kinds("pairs", ASKED_GRAMS)
     ask("words", ask_words, office.kinds("pair-classes", PAIR_CLASSES))
-    office.step("dishes", lambda part, mail: gather(part, mail, parts), office.kinds("pair-classes", FOUND_PAIRS), office.kinds("words", LOW_DISHES, WORDS), batches=BATCHES)
+    office.step("dishes", lambda part, mail: gather(part, mail, parts), office.kinds("pair-classes", FOUND_PAIRS), office.kinds("words", LOW_DISHES, WORDS))
     office.forget("pair-classes", FOUND_PAIRS)
     office.forget("words", LOW_DISHES)
     _, sums = office.told("dishes")
@@ -1022,8 +1176,8 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     root_total = 0.0
     samples: list[tuple[Level, Level, Level, float]] = []
     for sweep in range(BURN_IN + SAMPLES + 1):
-        root, one, two = levels
-        seats = (*root, root_total)
+        top, one, two = levels
+        seats = (*top, root_total)
         if sweep:
             last = f"-{sweep - 1}"
             office.step(f"chances-{sweep}", lambda part, mail, one=one, seats=seats: tell_chances(part, mail, *one, seats), low, office.kinds(f"low{last}", LOW_SEATS), office.kinds(f"root{last}", TOTALS))
@@ -1075,14 +1229,12 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     schema += ", token_scores array<double>" if tokens else ""
 
     def final(table: pa.Table) -> pa.Table:
-        held = Mail(table)
+        held = Mail(table, root)
         found = scores_of(Chunk.kept(held, parts), held, total, vocabulary, samples, tokens)
+        held.close()
         tidy()
         return found
 
-    def batch(k: int) -> DataFrame:
-        return answers.where(F.pmod("part", F.lit(BATCHES)) == k).groupBy("part").applyInArrow(final, schema)
-
-    scored = [office.rows(lambda k=k: batch(k), f"scores-{k}") for k in range(BATCHES)]
+    scored = office.rows(lambda: office.dealt(answers).applyInArrow(final, schema), "scores")
     office.drop("grams", "gram-counts", "pair-classes", "word-answers", "gram-answers", "pair-answers")
-    return reduce(DataFrame.unionByName, scored)
+    return scored

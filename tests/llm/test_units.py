@@ -464,3 +464,20 @@ def test_members_are_fed_once(monkeypatch):
     assert [(r["record_id"], r["headers"], r["body"]) for r in got] == [(r["record_id"], r["headers"], r["body"]) for r in rows]
     assert fed[0] < 60 * len(raw), fed[0] / len(raw)
     assert [(r["record_id"], r["headers"], r["body"]) for r in warc.parse(io.BytesIO(raw), False)] == [(r["record_id"], None, r["body"]) for r in rows]
+
+
+def test_long_lists_stay_out_of_the_rows(tmp_path):
+    """A row of mail says where a long list stands in a file of the shared folder; the receiver reads it there."""
+    keys = np.sort(pitman_yor.mix64(np.arange(50_000, dtype=np.uint64)))
+    mail = pitman_yor.Mail(None, f"file://{tmp_path}")
+    for peer in range(3):
+        mail.send(7, peer, pitman_yor.GRAMS, keys + np.uint64(peer), np.arange(50_000))
+    mail.send(7, 9, pitman_yor.GRAMS, keys[:3], np.arange(3))
+    mail.send(7, 7, pitman_yor.HIGH, keys)
+    mail.shelve("lists/step")
+    table = mail.table()
+    assert table.nbytes < 2000 and sorted(p.name for p in (tmp_path / "lists/step").iterdir()) == [f"kind={pitman_yor.GRAMS}", f"kind={pitman_yor.HIGH}"]
+    back = pitman_yor.Mail(table, f"file://{tmp_path}")
+    got = back.of(pitman_yor.GRAMS)
+    assert [peer for peer, _ in got] == [0, 1, 2, 9] and all((x == keys + np.uint64(peer)).all() for peer, (x, _) in got[:3]) and (got[3][1][0] == keys[:3]).all()
+    assert (back.own(pitman_yor.HIGH)[0] == keys).all() and not back.own(pitman_yor.LOW)
